@@ -36,3 +36,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``max_rows`` rows, else ``df`` as it is.
+
+    The rows are counted first, so that nothing is broadcast on trust.
+    """
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
