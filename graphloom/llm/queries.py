@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import fold
-from graphloom.llm import dedup, mixing, termstats
+from graphloom.llm import dedup, mixing, sentences, termstats
 from graphloom.tables import materialise, table
 
 TRIPLE = dedup.Node((dedup.Leaf(F.col("relation")), dedup.Node((dedup.Leaf(F.col("subject")), dedup.Leaf(F.col("object"))), ordered=False)))
@@ -59,8 +59,13 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(*_mixture(spark, d))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    found = sentences.sentences(table(spark, d, "documents"))
+    return found.select("doc_id", F.col("start").alias("sent_start"), F.col("end").alias("sent_end"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p4_found, p4_collapsed, p5_found, p5_frequencies, p7_found, p7_mixture, p7_report)
+    f.__name__: f for f in (p4_found, p4_collapsed, p5_found, p5_frequencies, p7_found, p7_mixture, p7_report, p8_found)
 }
 
 
