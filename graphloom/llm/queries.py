@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import fold
-from graphloom.llm import dedup, mixing, sentences, termstats
+from graphloom.llm import dedup, leakage, mixing, sentences, termstats
 from graphloom.tables import materialise, table
 
 TRIPLE = dedup.Node((dedup.Leaf(F.col("relation")), dedup.Node((dedup.Leaf(F.col("subject")), dedup.Leaf(F.col("object"))), ordered=False)))
@@ -40,6 +40,10 @@ def p5_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return _terms(spark, d).select("field", "term", "occurrences", F.col("records").alias("articles"), termstats.mark().alias("mark"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     tokens = mixing.document_tokens(table(spark, d, "documents"))
     return mixing.rates(tokens, table(spark, d, "source_targets")).filter("short").select("source")
@@ -65,7 +69,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p4_found, p4_collapsed, p5_found, p5_frequencies, p7_found, p7_mixture, p7_report, p8_found)
+    f.__name__: f for f in (p4_found, p4_collapsed, p5_found, p5_frequencies, p6_found, p7_found, p7_mixture, p7_report, p8_found)
 }
 
 

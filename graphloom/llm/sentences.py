@@ -111,7 +111,7 @@ def _quoted(b: Column, mixed: Column) -> Column:
 def cut_sentences(block: Column, mixed: Column) -> Column:
     """The sentences of a block of a working copy.
 
-    ``mixed`` says that the text has both capital and small letters, so that their use means something.
+    ``mixed`` says that it has both capital and small letters, so that their use means something.
     """
     b = F.regexp_replace(block, '"([^"]*)"', f"{OPEN}$1{CLOSE}")
     b = _quoted(_abbreviations(b, mixed), mixed)
@@ -130,11 +130,11 @@ def sentences(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     Rows with the same key are treated as separate texts.
     """
     rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.length("text") > 0)
-    mixed = F.col("text").rlike(r"\p{Lu}") & F.col("text").rlike(r"\p{Ll}")
-    rows = rows.select("key", blocks(working_copy(F.col("text"))).alias("parts"), mixed.alias("mixed"))
-    rows = rows.select("key", "mixed", F.explode(_pieces(F.col("parts"))).alias("b")).select("key", "mixed", F.col("b.start").alias("at"), F.col("b.part").alias("block"))
+    rows = rows.select("key", blocks(working_copy(F.col("text"))).alias("parts"))
+    rows = rows.select("key", F.explode(_pieces(F.col("parts"))).alias("b")).select("key", F.col("b.start").alias("at"), F.col("b.part").alias("block"))
     rows = rows.filter(F.col("block").rlike(r"[^ \n]"))
-    rows = rows.select("key", "at", cut_sentences(F.col("block"), F.col("mixed")).alias("parts"))
+    mixed = F.col("block").rlike(r"\p{Lu}") & F.col("block").rlike(r"\p{Ll}")
+    rows = rows.select("key", "at", cut_sentences(F.col("block"), mixed).alias("parts"))
     rows = rows.select("key", "at", F.explode(_pieces(F.col("parts"))).alias("s"))
     rows = rows.select("key", (F.col("at") + F.col("s.start")).alias("at"), F.col("s.part").alias("part"))
     blank = F.lit(" \n")
