@@ -8,12 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import fold
-from graphloom.llm import dedup, leakage, mixing, sentences, termstats
+from graphloom.llm import dedup, leakage, mixing, sentences, splitting, termstats
 from graphloom.tables import materialise, table
 
 TRIPLE = dedup.Node((dedup.Leaf(F.col("relation")), dedup.Node((dedup.Leaf(F.col("subject")), dedup.Leaf(F.col("object"))), ordered=False)))
 
 
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunks").select(F.lit("chunks").alias("src"), F.col("chunk_id").alias("item_id"), F.col("chunk_text").alias("text"))
+    essays = table(spark, d, "essay").select(F.lit("essay").alias("src"), F.col("essay_id").alias("item_id"), F.col("essay_content").alias("text"))
+    return splitting.pieces(chunks.unionByName(essays), ["src", "item_id"], "text")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_pieces(spark, d).filter("piece > 0").select("src", "item_id").distinct()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return dedup.copies(table(spark, d, "triples"), "triple_id", ["doc_id"], TRIPLE)
 
@@ -69,7 +79,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p4_found, p4_collapsed, p5_found, p5_frequencies, p6_found, p7_found, p7_mixture, p7_report, p8_found)
+    f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_collapsed, p5_found, p5_frequencies, p6_found, p7_found, p7_mixture, p7_report, p8_found)
 }
 
 
@@ -92,7 +102,12 @@ u AS (SELECT * FROM t WHERE term <> '' AND doc_id IS NOT NULL), w AS (SELECT fie
 g AS (SELECT field, term, count(*) AS occurrences, count(DISTINCT doc_id) AS articles, any_value(whole) AS whole FROM u JOIN w USING (field) GROUP BY field, term),
 m AS (SELECT *, CASE WHEN articles <= 2 THEN 'rare' WHEN articles * 100 > whole * 15 THEN 'common' END AS mark FROM g)"""
 
+_CLEAN_SQL = "trim(regexp_replace(replace(replace({}, ' @-@ ', '-'), ' @,@ ', ','), '[\\s\\p{{Z}}\\x0b\\x1c-\\x1f\\x85]+', ' ', 'g'))"
+
 SQL: dict[str, str] = {
+    "p2_found": f"""
+WITH t AS (SELECT 'chunks' AS src, chunk_id AS item_id, {_CLEAN_SQL.format('chunk_text')} AS t FROM chunks UNION ALL SELECT 'essay', essay_id, {_CLEAN_SQL.format('essay_content')} FROM essay)
+SELECT DISTINCT src, item_id FROM t WHERE length(t) > 4000 OR len(string_split(t, ' ')) > 550""",
     "p4_found": _TRIPLES_SQL + " SELECT first_id, triple_id AS copy_id FROM (SELECT triple_id, min(triple_id) OVER (PARTITION BY doc_id, r, a, b) AS first_id FROM k) WHERE triple_id > first_id",
     "p4_collapsed": _TRIPLES_SQL + " SELECT doc_id, min(triple_id) AS first_id, count(DISTINCT triple_id) AS n_copies FROM k GROUP BY doc_id, r, a, b",
     "p5_found": _TERMS_SQL + " SELECT field, term FROM m WHERE mark IS NOT NULL",
