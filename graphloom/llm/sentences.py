@@ -73,15 +73,15 @@ def blocks(copy: Column) -> Column:
 
 
 WORD = r"(?<![\p{L}\p{N}\p{M}])"
+SHORT = r"(?<!\p{L}{7}\.)"  # a word this long is no abbreviation; spares most stops the rest
 
 
 def _abbreviations(b: Column, mixed: Column) -> Column:
     """Masks the full stops of abbreviations; each pattern looks back from a stop, so that only stops cost time."""
-    b = F.regexp_replace(b, rf"(?iu)\.(?:(?<={WORD}(?:{'|'.join(CLOSING_PARTS)}|{_words(CLOSING)})\.)(?![ \n]*kg\b)|(?<=[0-9] ?г\.))", MAYBE)
+    b = F.regexp_replace(b, rf"(?iu)\.{SHORT}(?:(?<={WORD}(?:{'|'.join(CLOSING_PARTS)}|{_words(CLOSING)})\.)(?![ \n]*kg\b)|(?<=[0-9] ?г\.))", MAYBE)
     listed = _words(" ".join(ABBREVIATIONS.values()))
     inside = (
         r"(?<=[0-9@]\.)(?=[0-9@])",
-        r"(?<=(?:://|www\.)[^ \n]{0,300}\.)(?=[^ \n])",
         rf"(?<={WORD}(?:{listed}|co|[ivx]{{2,6}})\.)",
         r"(?<=[0-9] [ad]\.)(?=[ \n]?c\.)",
         rf"(?<={WORD}[ap]\.)(?=[ \n]?m[.{MAYBE}])",
@@ -91,7 +91,8 @@ def _abbreviations(b: Column, mixed: Column) -> Column:
         # spaced dots stand for something left out
         r"(?<=[ \n]\.)(?=\.)|(?<=[ \n]\.\.)|(?<=[ \n]\.\.\.)",
     )
-    b = F.regexp_replace(b, rf"(?iu)\.(?:{'|'.join(inside)})", MASK)
+    url = r"(?<=(?:://|www\.)[^ \n]{0,300}\.)(?=[^ \n])"
+    b = F.regexp_replace(b, rf"(?iu)\.(?:{SHORT}(?:{'|'.join(inside)})|{url})", MASK)
     starts = rf"[ \n]*(?:\z|[\p{{Lu}}\p{{Lt}}\p{{Lo}}\p{{N}}¿¡—{OPEN}{CLOSE}]|\p{{Ll}}\p{{Lu}})"
     goes_on = rf"(?iu)[ \n]*(?:{_words(CONTINUATIONS)})(?![\p{{L}}\p{{M}}])"
     one_case = rf"(?=[ \n]*(?:\z|[\p{{L}}\p{{N}}¿¡—{OPEN}{CLOSE}]))(?!{goes_on})"
@@ -108,18 +109,20 @@ def _quoted(b: Column, mixed: Column) -> Column:
     return F.regexp_replace(b, report, f"$1{MASK}$2")
 
 
-def cut_sentences(block: Column, mixed: Column) -> Column:
+def cut_sentences(block: Column) -> Column:
     """The sentences of a block of a working copy.
 
-    ``mixed`` says that it has both capital and small letters, so that their use means something.
+    In a block in one letter case, capital and small letters mean nothing.
     """
+    mixed = block.rlike(r"\p{Lu}") == block.rlike(r"\p{Ll}")
     b = F.regexp_replace(block, '"([^"]*)"', f"{OPEN}$1{CLOSE}")
     b = _quoted(_abbreviations(b, mixed), mixed)
     end = rf"([{ENDS}]++(?:[ \n]*{CLOSE}|[)\]’'])*+[ \n]*+)(?=[^,;:.)\]，；：、])"
     b = F.regexp_replace(b, end, f"$1{CUT}")
     thai, free = r"[ก-ฺเ-ๅ็-๎]", r"[^\p{IsLatin}\p{Nd}ๆ \n]"
     blank = rf"([ \n]++)(?:(?<={thai}[ \n]{{1,20}})(?={free})|(?<={free}[ \n]{{1,20}})(?={thai}))"
-    return F.split(F.regexp_replace(b, blank, f"$1{CUT}"), CUT)
+    blank = F.when(block.rlike(thai), blank).otherwise(r"(\z)\A.")
+    return F.split(F.regexp_replace(b, blank, F.lit(f"$1{CUT}")), CUT)
 
 
 def sentences(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -133,8 +136,7 @@ def sentences(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = rows.select("key", blocks(working_copy(F.col("text"))).alias("parts"))
     rows = rows.select("key", F.explode(_pieces(F.col("parts"))).alias("b")).select("key", F.col("b.start").alias("at"), F.col("b.part").alias("block"))
     rows = rows.filter(F.col("block").rlike(r"[^ \n]"))
-    mixed = F.col("block").rlike(r"\p{Lu}") & F.col("block").rlike(r"\p{Ll}")
-    rows = rows.select("key", "at", cut_sentences(F.col("block"), mixed).alias("parts"))
+    rows = rows.select("key", "at", cut_sentences(F.col("block")).alias("parts"))
     rows = rows.select("key", "at", F.explode(_pieces(F.col("parts"))).alias("s"))
     rows = rows.select("key", (F.col("at") + F.col("s.start")).alias("at"), F.col("s.part").alias("part"))
     blank = F.lit(" \n")
