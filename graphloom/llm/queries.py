@@ -8,12 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import fold
-from graphloom.llm import dedup, leakage, mixing, sentences, splitting, termstats
+from graphloom.llm import dedup, leakage, mixing, neighbours, sentences, splitting, termstats
 from graphloom.tables import materialise, table
 
 TRIPLE = dedup.Node((dedup.Leaf(F.col("relation")), dedup.Node((dedup.Leaf(F.col("subject")), dedup.Leaf(F.col("object"))), ordered=False)))
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.close_pairs(neighbours.neighbours(table(spark, d, "name_vectors")), 0.85)
+
+
+def p1_nearest(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "name_vectors")
+    return neighbours.search(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks").select(F.lit("chunks").alias("src"), F.col("chunk_id").alias("item_id"), F.col("chunk_text").alias("text"))
     essays = table(spark, d, "essay").select(F.lit("essay").alias("src"), F.col("essay_id").alias("item_id"), F.col("essay_content").alias("text"))
@@ -79,7 +88,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_collapsed, p5_found, p5_frequencies, p6_found, p7_found, p7_mixture, p7_report, p8_found)
+    f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_pieces, p4_found, p4_collapsed, p5_found, p5_frequencies, p6_found, p7_found, p7_mixture, p7_report, p8_found)
 }
 
 
