@@ -166,16 +166,19 @@ def _block(docs: DataFrame, index: ItemIndex) -> DataFrame:
                 out += [(doc, item) for item in candidates if ix.holds(coded, item)]
             yield pd.DataFrame(out, columns=["doc_id", "item_id"])
 
-    hits = materialise(docs.mapInPandas(scan, "doc_id long, shingles array<int>"), "leak-hits")
-    hits = hits.select("doc_id", F.explode("shingles").alias("shingle"))
+    held = materialise(docs.mapInPandas(scan, "doc_id long, shingles array<int>"), "leak-hits")
+    hits = held.select("doc_id", F.explode("shingles").alias("shingle"))
     own = spark.createDataFrame(pd.DataFrame(index.rows, columns=["item_id", "shingle", "prefix"]))
     rarity = hits.groupBy("shingle").agg(F.count("*").alias("documents"))
     order = Window.partitionBy("item_id").orderBy("documents", "shingle")
-    prefixes = own.join(rarity, "shingle").withColumn("rank", F.row_number().over(order))
     # shingles that no document holds are the rarest: they take their places in the prefix
-    absent = own.join(rarity, "shingle", "left_anti").groupBy("item_id").agg(F.count("*").alias("absent"))
-    prefixes = prefixes.join(absent, "item_id", "left").filter(F.col("rank") + F.coalesce("absent", F.lit(0)) <= F.col("prefix"))
+    ranked = own.join(rarity, "shingle", "left").withColumn("documents", F.coalesce("documents", F.lit(0)))
+    prefixes = ranked.withColumn("rank", F.row_number().over(order)).filter("rank <= prefix and documents > 0")
     pairs = hits.join(small(prefixes.select("shingle", "item_id"), 5_000_000), "shingle").select("doc_id", "item_id").distinct()
+    # a passage keeps k shingles, so the document holds as many of the item's
+    wanted = own.groupBy("item_id").agg(F.collect_list("shingle").alias("own"), (F.count("*") - F.max("prefix") + 1).alias("k"))
+    pairs = pairs.join(small(wanted, 50_000), "item_id").join(held, "doc_id")
+    pairs = pairs.filter(F.size(F.array_intersect("shingles", "own")) >= F.col("k"))
     candidates = materialise(pairs.groupBy("doc_id").agg(F.collect_set("item_id").alias("items")), "leak-candidates")
     checked = docs.join(small(candidates, 500_000), "doc_id").mapInPandas(verify, "doc_id long, item_id long")
     return checked.distinct()
