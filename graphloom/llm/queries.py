@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import fold
-from graphloom.llm import dedup, leakage, mixing, neighbours, sentences, splitting, termstats
+from graphloom.llm import dedup, leakage, mixing, names, neighbours, sentences, splitting, termstats
 from graphloom.tables import materialise, table
 
 TRIPLE = dedup.Node((dedup.Leaf(F.col("relation")), dedup.Node((dedup.Leaf(F.col("subject")), dedup.Leaf(F.col("object"))), ordered=False)))
@@ -33,6 +33,22 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_pieces(spark, d).filter("piece > 0").select("src", "item_id").distinct()
 
 
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    """Names linked within their article; ``kg.entity_map`` gives names and hints."""
+    triples = table(spark, d, "triples").select(F.col("doc_id").alias("scope"), F.col("subject").alias("raw"))
+    known = table(spark, d, "kg").select(F.col("doc_id").alias("scope"), F.explode("entity_map").alias("raw", "meant"))
+    mentions = triples.unionByName(known.select("scope", "raw")).unionByName(known.select("scope", F.col("meant").alias("raw")))
+    return names.variants(mentions, known)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.pairs(_names(spark, d)).select(F.col("scope").alias("doc_id"), "name_a", "name_b")
+
+
+def p3_variants(spark: SparkSession, d: str) -> DataFrame:
+    return _names(spark, d).select(F.col("scope").alias("doc_id"), "name", F.col("label").alias("entity"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return dedup.copies(table(spark, d, "triples"), "triple_id", ["doc_id"], TRIPLE)
 
@@ -88,7 +104,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_pieces, p4_found, p4_collapsed, p5_found, p5_frequencies, p6_found, p7_found, p7_mixture, p7_report, p8_found)
+    f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_pieces, p3_found, p3_variants, p4_found, p4_collapsed, p5_found, p5_frequencies, p6_found, p7_found, p7_mixture, p7_report, p8_found)
 }
 
 
