@@ -141,15 +141,19 @@ def cells(found: DataFrame, radius: int = RADIUS, cell_rows: int = CELL_ROWS) ->
     root of their number.
     """
     group = ["scope", "class"]
-    sizes = found.groupBy(*group).agg(F.count("*").alias("n")).filter(F.col("n") > cell_rows)
+    one_cell = [*found.columns, F.lit("").alias("cell"), F.lit(True).alias("home")]
+    wide = materialise(found.groupBy("scope").agg(F.count("*").alias("n")).filter(F.col("n") > cell_rows), "wide-scopes")
+    if wide.isEmpty():  # no class can be crowded
+        return found.select(*one_cell)
+    sizes = found.join(wide.select("scope"), "scope", "left_semi").groupBy(*group).agg(F.count("*").alias("n")).filter(F.col("n") > cell_rows)
     crowded = materialise(found.join(sizes, group), "crowded-names")
-    one = found.join(sizes, group, "left_anti").select(*found.columns, F.lit("").alias("cell"), F.lit(True).alias("home"))
+    one = found.join(sizes, group, "left_anti").select(*one_cell)
     if crowded.isEmpty():
         return one
     share = 2.0 / F.sqrt("n")
     pivots = crowded.select(*group, "form", "n").distinct().filter(F.pmod(F.xxhash64(F.lit(3), "form"), F.lit(1 << 30)) / float(1 << 30) < share)
     pivots = pivots.select(*group, F.col("form").alias("pivot"))
-    lone = crowded.join(pivots.select(*group).distinct(), group, "left_anti").select(*found.columns, F.lit("").alias("cell"), F.lit(True).alias("home"))
+    lone = crowded.join(pivots.select(*group).distinct(), group, "left_anti").select(*one_cell)
     # each form is compared with the pivots of its group once, however many names have it
     distinct = crowded.select(*group, "form").distinct().join(pivots, group).withColumn("far", F.levenshtein("form", "pivot"))
     best = distinct.groupBy(*group, "form").agg(F.min(F.struct("far", "pivot")).alias("best"))
@@ -169,20 +173,56 @@ def links(celled: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Strong links ``(scope, a, b)`` and weak ones ``(scope, asks, meant)``, by exact joins in the cells."""
     meet = lambda a, b: (F.col(f"{a}.scope") == F.col(f"{b}.scope")) & (F.col(f"{a}.class") == F.col(f"{b}.class")) & (F.col(f"{a}.cell") == F.col(f"{b}.cell"))
     strong = celled.filter("role = ''")
-    a, b = strong.filter("home").alias("a"), strong.alias("b")
-    same = a.join(b, meet("a", "b") & (F.col("a.name") != F.col("b.name")) & _close("a", "b"))
+    a, b = strong.alias("a"), strong.alias("b")  # the same on both sides, to be sent once
+    same = a.join(b, meet("a", "b") & F.col("a.home") & (F.col("a.name") != F.col("b.name")) & _close("a", "b"))
     same = same.select("a.scope", F.least("a.name", "b.name").alias("a"), F.greatest("a.name", "b.name").alias("b")).distinct()
     x, y = celled.filter("role = 'asks' and home").alias("x"), celled.filter("role = 'meant'").alias("y")
     weak = x.join(y, meet("x", "y") & (F.col("x.name") != F.col("y.name")) & _close("x", "y"))
     return same, weak.select("x.scope", F.col("x.name").alias("asks"), F.col("y.name").alias("meant")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, gathered: int = 5_000) -> DataFrame:
     """``(scope, name, label)``: the smallest name that each name of some edge is connected with.
 
-    Labels are passed on, and jump to the label of their label, until nothing changes;
-    each round is written to the shared folder.
+    A scope with at most ``gathered`` edges is solved in one place; the rest by passing
+    labels on, however large they are.
     """
+    wide = materialise(edges.groupBy("scope").agg(F.count("*").alias("n")).filter(F.col("n") > gathered).select("scope"), "wide-links")
+    if wide.isEmpty():
+        return _gathered_components(edges)
+    narrow = edges.join(wide, "scope", "left_anti")
+    return _gathered_components(narrow).unionByName(_passed_components(edges.join(wide, "scope", "left_semi")))
+
+
+def smallest_connected(a: list[str], b: list[str]) -> dict[str, str]:
+    """The smallest name that each name is connected with."""
+    up: dict[str, str] = {}
+
+    def top(x: str) -> str:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for x, y in zip(a, b):
+        x, y = top(x), top(y)
+        up[max(x, y)] = min(x, y)
+    return {x: top(x) for x in list(up)}
+
+
+def _gathered_components(edges: DataFrame) -> DataFrame:
+    @F.pandas_udf("array<struct<name:string,label:string>>")
+    def solve(firsts: pd.Series, seconds: pd.Series) -> pd.Series:
+        found = (smallest_connected(list(a), list(b)) for a, b in zip(firsts, seconds))
+        return pd.Series([[{"name": k, "label": v} for k, v in labels.items()] for labels in found])
+
+    rows = edges.groupBy("scope").agg(F.collect_list(F.struct("a", "b")).alias("e"))
+    rows = rows.select("scope", F.explode(solve("e.a", "e.b")).alias("x"))
+    return rows.select("scope", "x.name", "x.label")
+
+
+def _passed_components(edges: DataFrame) -> DataFrame:
+    """Labels are passed on, and jump to the label of their label, until nothing changes; each round is written to the shared folder."""
     both = materialise(edges.unionByName(edges.select("scope", F.col("b").alias("a"), F.col("a").alias("b"))), "name-edges")
     labels = materialise(both.groupBy("scope", "a").agg(F.min("b").alias("b")).select("scope", F.col("a").alias("name"), F.least("a", "b").alias("label")), "name-labels")
     while True:
@@ -203,7 +243,7 @@ def resolve(same: DataFrame, weak: DataFrame, hints: DataFrame) -> DataFrame:
     If a short form can mean several entities, the one that ``hints`` ``(scope, name, meant)``
     name is taken, and none without a hint. Hints alone link nothing.
     """
-    strong = components(same)
+    strong = materialise(components(same), "strong-names")
     label = lambda rows, c, to: rows.join(strong.select("scope", F.col("name").alias(c), F.col("label").alias(to)), ["scope", c], "left").withColumn(to, F.coalesce(to, c))
     aimed = label(label(weak, "meant", "target"), "asks", "source").filter("target <> source")
     aimed = aimed.groupBy("scope", "source", "target").agg(F.min("asks").alias("asks"), F.min("meant").alias("meant"))
@@ -233,7 +273,7 @@ def variants(mentions: DataFrame, hints: DataFrame | None = None) -> DataFrame:
     hints = hints.select("scope", fold(F.col("raw")).alias("name"), fold(F.col("meant")).alias("meant")).filter("length(name) > 0 and length(meant) > 0 and name <> meant").distinct()
     same, weak = links(cells(materialise(points(names), "name-forms")))
     same, weak = materialise(same, "same-names"), materialise(weak, "short-names")
-    return components(resolve(same, weak, hints))
+    return components(materialise(resolve(same, weak, hints), "name-links"))
 
 
 def pairs(labels: DataFrame) -> DataFrame:
