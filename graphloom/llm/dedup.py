@@ -19,9 +19,9 @@ from graphloom.functions.text import fold
 
 @dataclass(frozen=True)
 class Leaf:
-    """A string column, or a list of strings (kept in order)."""
+    """The name of a string column, or of a list of strings (kept in order)."""
 
-    value: Column
+    column: str
     normalise: Callable[[Column], Column] = fold
     is_list: bool = False
 
@@ -39,7 +39,7 @@ def leaves(tree) -> list[Leaf]:
 
 
 def _text(leaf: Leaf) -> Column:
-    return F.transform(leaf.value, leaf.normalise) if leaf.is_list else leaf.normalise(leaf.value)
+    return F.transform(leaf.column, leaf.normalise) if leaf.is_list else leaf.normalise(F.col(leaf.column))
 
 
 def digest(tree) -> Column:

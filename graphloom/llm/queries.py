@@ -11,7 +11,7 @@ from graphloom.functions.text import fold
 from graphloom.llm import dedup, leakage, mixing, names, neighbours, sentences, splitting, termstats
 from graphloom.tables import materialise, table
 
-TRIPLE = dedup.Node((dedup.Leaf(F.col("relation")), dedup.Node((dedup.Leaf(F.col("subject")), dedup.Leaf(F.col("object"))), ordered=False)))
+TRIPLE = dedup.Node((dedup.Leaf("relation"), dedup.Node((dedup.Leaf("subject"), dedup.Leaf("object")), ordered=False)))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
