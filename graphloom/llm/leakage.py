@@ -128,18 +128,18 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, errors: fl
     """``(doc_id, item_id)`` of every document with a continuous passage of at least ``share`` of an item's units.
 
     Up to ``errors`` of the passage's units may be others. An item's instruction line
-    does not count. Null and empty texts hold nothing and leak nothing; of items with the
-    same id the last row counts. The items are held against all documents in blocks of
+    does not count. Null and empty texts hold nothing and leak nothing, rows without an id do not
+    count; of items with the same id the last in letter order counts. The items are held against all documents in blocks of
     ``block``, which bounds what is sent to the workers.
     """
     spark = documents.sparkSession
-    docs = documents.select("doc_id", "text").filter(F.length("text") > 0)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and length(text) > 0")
     result = spark.createDataFrame([], "doc_id long, item_id long")
     bounds = items.select("item_id").filter("item_id is not null").distinct()
     total = bounds.count()
     slices = max(1, math.ceil(total / block))
     for k in range(slices):
-        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k).filter("item_id is not null").select("item_id", "text").toPandas()
+        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k).filter("item_id is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.max("text").alias("text")).orderBy("item_id").toPandas()
         index = ItemIndex(part["item_id"].tolist(), part["text"].tolist(), share, errors)
         if index.items:
             result = result.unionByName(_block(docs, index))

@@ -91,10 +91,13 @@ def mixture(tokens: DataFrame, rated: DataFrame, seed: int = 17) -> DataFrame:
 
 
 def emit(documents: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The documents of a mixture, each as often as it is to be used; ``copy`` counts from 1."""
-    ids = mixed.select(F.col("doc_id").alias("mixed_id"), "copies")
-    rows = documents.join(ids, documents["doc_id"] == ids["mixed_id"]).drop("mixed_id")
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies")
+    """The documents of a mixture, each as often as it is to be used.
+
+    ``copy`` counts from 1 and replaces a column of that name. Documents without an id are not emitted.
+    """
+    ids = mixed.select(F.col("doc_id").alias("__mixed_id"), F.col("copies").alias("__copies"))
+    rows = documents.join(ids, F.col("doc_id") == F.col("__mixed_id"))
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "__copies"))).drop("__mixed_id", "__copies")
 
 
 def report(mixed: DataFrame, rated: DataFrame) -> DataFrame:

@@ -24,10 +24,15 @@ FILE_ROWS = 20_000  # queries that one task holds against a file
 
 
 def usable(df: DataFrame, key: str = "vec_id", vector: str = "vec") -> DataFrame:
-    """``(vec_id, vec)`` of vectors that have a direction: not null, not empty, finite numbers only, not all zero."""
-    rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vec"))
+    """``(vec_id, vec)`` of vectors that have a direction: not null, not empty, finite numbers only, not all zero.
+
+    Where lengths differ, only vectors of the most common length are usable.
+    """
+    rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vec"))
     odd = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return rows.filter(F.col("vec_id").isNotNull() & (F.size("vec") > 0) & ~odd & F.exists("vec", lambda x: x != 0))
+    rows = rows.filter(F.col("vec_id").isNotNull() & (F.size("vec") > 0) & ~odd & F.exists("vec", lambda x: x != 0))
+    lengths = rows.groupBy(F.size("vec").alias("length")).count().orderBy(F.desc("count"), F.desc("length")).limit(2).collect()
+    return rows.filter(F.size("vec") == lengths[0]["length"]) if len(lengths) > 1 else rows
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -122,8 +127,8 @@ def neighbours(df: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "ve
 
     Ties in the cosine go to the smaller id. Vectors of equal direction are one entry of
     the index and are expanded afterwards, so that any number of copies costs as
-    much as one. A table with fewer than two usable vectors gives no rows; ids are
-    taken to be unique and vectors to have one length.
+    much as one. A table with fewer than two usable vectors gives no rows. A repeated row
+    counts once; an id that has several vectors is answered for each of them.
     """
     vectors = usable(df, key, vector)
     pivots = choose_pivots(vectors, vectors.count())
@@ -131,9 +136,9 @@ def neighbours(df: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "ve
         return df.sparkSession.createDataFrame([], "vec_id long, neighbour long, cosine double, rank int")
     entries = materialise(permutations(vectors, pivots), "permutations")
     # of each direction: the entry with the smallest id, and the k + 1 smallest ids of its copies
-    first = entries.withColumn("n", F.row_number().over(Window.partitionBy("digest").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
+    first = entries.dropDuplicates(["digest", "vec_id"]).withColumn("n", F.row_number().over(Window.partitionBy("digest").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
     kept = first.filter("n = 1").select("vec_id", "unit", "pivots")
-    ids = first.groupBy("digest").agg(F.min("vec_id").alias("entry"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    ids = first.groupBy("digest").agg(F.min("vec_id").alias("entry"), F.sort_array(F.collect_set("vec_id")).alias("ids"))
     ids = materialise(ids, "directions")
 
     near = _search(kept, k, posted, reranked)
@@ -142,7 +147,7 @@ def neighbours(df: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "ve
     other = ids.select(F.col("entry").alias("b"), "ids")
     best = near.join(other, "b").select("a", F.transform("ids", lambda i: F.struct((-F.col("cosine")).alias("far"), i.alias("id"))).alias("some"))
     best = best.groupBy("a").agg(F.slice(F.sort_array(F.flatten(F.collect_list("some"))), 1, k + 1).alias("best"))
-    members = entries.select("vec_id", "digest").join(ids.select("digest", "entry"), "digest")
+    members = entries.select("vec_id", "digest").distinct().join(ids.select("digest", "entry"), "digest")
     rows = members.join(best, members["entry"] == best["a"])
     own = F.slice(F.filter("best", lambda x: x["id"] != F.col("vec_id")), 1, k)
     rows = rows.select("vec_id", F.posexplode(own).alias("at", "x"))

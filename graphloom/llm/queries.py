@@ -130,6 +130,11 @@ m AS (SELECT *, CASE WHEN articles <= 2 THEN 'rare' WHEN articles * 100 > whole
 _CLEAN_SQL = "trim(regexp_replace(replace(replace({}, ' @-@ ', '-'), ' @,@ ', ','), '[\\s\\p{{Z}}\\x0b\\x1c-\\x1f\\x85]+', ' ', 'g'))"
 
 SQL: dict[str, str] = {
+    "p1_found": """
+WITH v AS (SELECT vec_id, CAST(vec AS DOUBLE[]) AS v FROM name_vectors WHERE vec IS NOT NULL), u AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM v WHERE list_dot_product(v, v) > 0),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y, list_dot_product(a.v, b.v) / (a.n * b.n) AS c FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY x ORDER BY c DESC, y) <= 5)
+SELECT DISTINCT least(x, y) AS vec_a, greatest(x, y) AS vec_b FROM k WHERE c >= 0.85""",
     "p2_found": f"""
 WITH t AS (SELECT 'chunks' AS src, chunk_id AS item_id, {_CLEAN_SQL.format('chunk_text')} AS t FROM chunks UNION ALL SELECT 'essay', essay_id, {_CLEAN_SQL.format('essay_content')} FROM essay)
 SELECT DISTINCT src, item_id FROM t WHERE length(t) > 4000 OR len(string_split(t, ' ')) > 550""",
