@@ -147,3 +147,13 @@ def test_prompts(spark):
     listed = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.struct(F.lit("c").alias("name"), F.lit("d").alias("definition"), t.alias("example")))
     text = row.select(prompts.same_relation(F.col("title"), F.col("name"), F.lit(None).cast("string"), t, listed)).head()[0]
     assert "\nA. " in text and "\nL. " in text
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from graphloom.__main__ import main
+
+    (tmp_path / "in.jsonl").write_text(json.dumps({"id": "1", "title": "T", "text": "Ann likes the tower. " * 20}) + "\n")
+    for _ in range(2):
+        main(["wiki", str(tmp_path / "in.jsonl"), str(tmp_path / "out")])
+    assert readers.graphs(spark, str(tmp_path / "out/graphs"), lines=True).count() == 1
+    assert "nothing to do" in capsys.readouterr().out
