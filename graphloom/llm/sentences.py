@@ -17,6 +17,8 @@ ENDS = ".!?…。！？؟।॥"
 BLANKS = "".join(map(chr, (9, 11, 12, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)))
 LINE_ENDS = "".join(map(chr, (0x2028, 0x2029)))
 
+QUOTED = 1000  # a quotation of more characters is taken for a stray mark
+
 # Abbreviations after which a sentence goes on, by language.
 ABBREVIATIONS = {
     "en": "Dr Mr Mrs Ms Prof Rev Hon Gen Col Capt Lt Sgt Gov Sen Rep St Mt Ft Jr Sr No Nos vol vols pp cf vs fig figs ed eds approx sq viz ca al Intl Cttee Assn Coll Mus Jan Feb Aug Sept Oct Nov Dec",
@@ -33,7 +35,7 @@ CLOSING = "Co Cía Cia Cie Ltd Inc Corp Bros etc usw руб др"
 CLOSING_PARTS = (r"a\. ?m", r"p\. ?m", r"u\. ?a\. ?m", r"т\. ?д", r"т\. ?п", r"u\. ?s\. ?w")
 # Words that go on with a sentence after such an abbreviation, for texts in one letter case.
 CONTINUATIONS = (
-    "and or on of at to by with for from near beside despite though while much as see who which "
+    "and or on of at to with for from near beside despite though while much as who which "
     "und oder seit trotz unweit wie sehr mit bei et ou avec depuis non au malgré près "
     "y o desde cerca con como para pese и или в на а где как вопреки недалеко с"
 )
@@ -42,7 +44,11 @@ AFTER_ORDINAL = "Jahrhunderts? Jh Januar Februar März April Mai Juni Juli Augus
 
 
 def _words(text: str) -> str:
-    return "|".join(sorted(text.split(), key=lambda w: (-len(w), w)))
+    """A pattern for any of the words, which looks at their first letter first."""
+    by: dict[str, list[str]] = {}
+    for w in sorted(set(text.split()), key=lambda w: (-len(w), w)):
+        by.setdefault(w[0].lower(), []).append(w[1:])
+    return "|".join(f"{first}(?:{'|'.join(dict.fromkeys(rest))})" for first, rest in by.items())
 
 
 def working_copy(text: Column) -> Column:
@@ -54,29 +60,44 @@ def working_copy(text: Column) -> Column:
     return F.translate(text, "\r" + BLANKS + LINE_ENDS + taken + marks, to)
 
 
-def _pieces(parts: Column) -> Column:
-    """``struct(start, part)`` of the consecutive parts of a text; ``parts`` is a plain column, as it is read twice."""
+def _running(parts: Column, length) -> Column:
+    """``struct(at, starts)``: where consecutive parts start, and where the last ends."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    step = lambda a, x: F.struct((a.at + F.length(x)).alias("at"), F.concat(a.starts, F.array(a.at)).alias("starts"))
-    return F.arrays_zip(F.aggregate(parts, start, step, lambda a: a.starts).alias("start"), parts.alias("part"))
+    return F.aggregate(parts, start, lambda a, x: F.struct((a.at + length(x)).alias("at"), F.concat(a.starts, F.array(a.at)).alias("starts")))
+
+
+def _pieces(parts: str, step: int = 500) -> Column:
+    """Explodes an array of the consecutive parts of a text into ``struct(start, part)``.
+
+    The lengths of many parts are added up in groups and then over the groups, as appending one
+    by one takes time as the square of their number.
+    """
+    groups = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1)), F.lit(step)), lambda i: _running(F.slice(parts, i, step), F.length))
+    offsets = _running(F.transform(groups, lambda g: g["at"]), lambda n: n)["starts"]
+    many = F.flatten(F.zip_with(groups, offsets, lambda g, o: F.transform(g["starts"], lambda x: x + o)))
+    starts = F.when(F.size(parts) <= step, _running(F.col(parts), F.length)["starts"]).otherwise(many)
+    return F.explode(F.arrays_zip(starts.alias("start"), F.col(parts).alias("part"))).alias("p")
 
 
 # Every step below reads its argument once: Spark would repeat the whole chain of
 # expressions for each further use. Where a pattern depends on the text, it is chosen as a value.
 
 
-def blocks(copy: Column) -> Column:
-    """Cuts a working copy after blank lines and around heading lines."""
-    cut = F.regexp_replace(copy, r"(\n[ \n]*\n[ \n]*)", f"$1{CUT}")
-    head = r"(?m)^( *(?:=[^\n]*[^= \n][^\n]*=|#{1,6} [^\n]*) *(?:\n|\z))"
-    return F.split(F.regexp_replace(cut, head, f"{CUT}$1{CUT}"), CUT)
+def _blocks(rows: DataFrame, copy: str) -> DataFrame:
+    """Replaces the working copy by ``parts``, cut after blank lines and around heading lines."""
+    c = F.col(copy)
+    rows = rows.withColumn(copy, F.regexp_replace(c, r"(\n[ \n]*\n[ \n]*)", f"$1{CUT}"))
+    head = rf"(?m)(?:^|(?<={CUT}))( *(?:=[^\n]*[^= \n][^\n]*=|#{{1,6}} [^\n]*) *(?:\n|\z))"
+    marked = F.contains(c, F.lit("=")) | F.contains(c, F.lit("#"))
+    rows = rows.withColumn(copy, F.when(marked, F.regexp_replace(c, head, f"{CUT}$1{CUT}")).otherwise(c))
+    return rows.withColumn("parts", F.split(c, CUT)).drop(copy)
 
 
 WORD = r"(?<![\p{L}\p{N}\p{M}])"
 SHORT = r"(?<!\p{L}{7}\.)"  # a word this long is no abbreviation; spares most stops the rest
 
 
-def _abbreviations(b: Column, mixed: Column) -> Column:
+def _abbreviations(b: Column, mixed: Column, linked: Column) -> Column:
     """Masks the full stops of abbreviations; each pattern looks back from a stop, so that only stops cost time."""
     b = F.regexp_replace(b, rf"(?iu)\.{SHORT}(?:(?<={WORD}(?:{'|'.join(CLOSING_PARTS)}|{_words(CLOSING)})\.)(?![ \n]*kg\b)|(?<=[0-9] ?г\.))", MAYBE)
     listed = _words(" ".join(ABBREVIATIONS.values()))
@@ -92,37 +113,51 @@ def _abbreviations(b: Column, mixed: Column) -> Column:
         r"(?<=[ \n]\.)(?=\.)|(?<=[ \n]\.\.)|(?<=[ \n]\.\.\.)",
     )
     url = r"(?<=(?:://|www\.)[^ \n]{0,300}\.)(?=[^ \n])"
-    b = F.regexp_replace(b, rf"(?iu)\.(?:{SHORT}(?:{'|'.join(inside)})|{url})", MASK)
+    stops = rf"{SHORT}(?:{'|'.join(inside)})"
+    b = F.regexp_replace(b, F.when(linked, rf"(?iu)\.(?:{stops}|{url})").otherwise(rf"(?iu)\.{stops}"), F.lit(MASK))
     starts = rf"[ \n]*(?:\z|[\p{{Lu}}\p{{Lt}}\p{{Lo}}\p{{N}}¿¡—{OPEN}{CLOSE}]|\p{{Ll}}\p{{Lu}})"
     goes_on = rf"(?iu)[ \n]*(?:{_words(CONTINUATIONS)})(?![\p{{L}}\p{{M}}])"
     one_case = rf"(?=[ \n]*(?:\z|[\p{{L}}\p{{N}}¿¡—{OPEN}{CLOSE}]))(?!{goes_on})"
-    return F.regexp_replace(b, F.when(mixed, f"{MAYBE}(?={starts})").otherwise(f"{MAYBE}{one_case}"), F.lit("."))
+    return F.regexp_replace(b, F.when(mixed, f"{MAYBE}(?={starts})").otherwise(f"(?<![гГ]){MAYBE}{one_case}"), F.lit("."))
+
+
+GOES_ON = r"(?=[ \n]*[—–][ \n]*\p{L})"
+SMALL = r"(?=[)\]]?[ \n]*\p{Ll}(?!\p{Lu}))"  # unless a capital follows the small letter
+
+
+def _plain(b: Column, mixed: Column) -> Column:
+    """Masks ends before what goes on with the sentence: a dash, a small letter."""
+    return F.regexp_replace(b, F.when(mixed, f"[{ENDS}](?:{SMALL}|{GOES_ON})").otherwise(f"[{ENDS}]{GOES_ON}"), F.lit(MASK))
 
 
 def _quoted(b: Column, mixed: Column) -> Column:
-    """Masks ends inside quotations and before what goes on with the sentence: a reporting clause, a dash, a small letter."""
-    inner = rf"(?![ \n]*{CLOSE})(?=[^{OPEN}{CLOSE}]*{CLOSE})|(?=[ \n]*[—–][ \n]*\p{{L}})"
-    small = r"(?=[)\]]?[ \n]*\p{Ll}(?!\p{Lu}))"  # unless a capital follows the small letter
-    b = F.regexp_replace(b, F.when(mixed, f"[{ENDS}](?:{inner}|{small})").otherwise(f"[{ENDS}](?:{inner})"), F.lit(MASK))
+    """The same, and masks ends inside quotations and before a reporting clause."""
+    inner = rf"(?![ \n]*{CLOSE})(?=[^{OPEN}{CLOSE}]{{0,{QUOTED}}}+{CLOSE})|{GOES_ON}"
+    b = F.regexp_replace(b, F.when(mixed, f"[{ENDS}](?:{inner}|{SMALL})").otherwise(f"[{ENDS}](?:{inner})"), F.lit(MASK))
     opens = rf"{OPEN}(?<=(?:\A|\A[ \n]{{1,8}}|[{ENDS}]|[{ENDS}][ \n]?[{CLOSE})\]]|[{ENDS}][ \n]{{1,4}}|[{ENDS}][ \n]?[{CLOSE})\]][ \n]{{1,4}}){OPEN})"
-    report = rf"({opens}[^{OPEN}{CLOSE}]*)[!?！？؟。]([ \n]*{CLOSE})(?![ \n]*(?:{OPEN}|\z))"
+    report = rf"({opens}[^{OPEN}{CLOSE}]{{0,{QUOTED}}})[!?！？؟。]([ \n]*{CLOSE})(?![ \n]*(?:{OPEN}|\z))"
     return F.regexp_replace(b, report, f"$1{MASK}$2")
 
 
-def cut_sentences(block: Column) -> Column:
-    """The sentences of a block of a working copy.
+def _cut(rows: DataFrame, block: str) -> DataFrame:
+    """Replaces the column ``block`` by ``parts``, the sentences of a block of a working copy.
 
-    In a block in one letter case, capital and small letters mean nothing.
+    In a block in one letter case, capital and small letters mean nothing. What is needed for
+    quotations or Thai only is kept from other blocks.
     """
-    mixed = block.rlike(r"\p{Lu}") == block.rlike(r"\p{Ll}")
-    b = F.regexp_replace(block, '"([^"]*)"', f"{OPEN}$1{CLOSE}")
-    b = _quoted(_abbreviations(b, mixed), mixed)
-    end = rf"([{ENDS}]++(?:[ \n]*{CLOSE}|[)\]’'])*+[ \n]*+)(?=[^,;:.)\]，；：、])"
-    b = F.regexp_replace(b, end, f"$1{CUT}")
     thai, free = r"[ก-ฺเ-ๅ็-๎]", r"[^\p{IsLatin}\p{Nd}ๆ \n]"
+    b = F.col(block)
+    mixed = b.rlike(r"\p{Lu}") == b.rlike(r"\p{Ll}")
+    linked = F.contains(b, F.lit("://")) | F.contains(b, F.lit("www."))
+    marked = F.regexp_replace(b, '"([^"]*)"', f"{OPEN}$1{CLOSE}")
+    rows = rows.withColumns({"__mixed": mixed, "__linked": linked, "__thai": b.rlike(thai), block: marked})
+    rows = rows.withColumns({block: _abbreviations(b, F.col("__mixed"), F.col("__linked")), "__quoted": F.contains(b, F.lit(CLOSE))})
+    rows = rows.withColumn(block, F.when(F.col("__quoted"), _quoted(b, F.col("__mixed"))).otherwise(_plain(b, F.col("__mixed"))))
+    end = rf"([{ENDS}](?<![{ENDS}]{{2}})[{ENDS}]*+(?:[ \n]*{CLOSE}|[)\]’'])*+[ \n]*+)(?=[^,;:.)\]，；：、])"
     blank = rf"([ \n]++)(?:(?<={thai}[ \n]{{1,20}})(?={free})|(?<={free}[ \n]{{1,20}})(?={thai}))"
-    blank = F.when(block.rlike(thai), blank).otherwise(r"(\z)\A.")
-    return F.split(F.regexp_replace(b, blank, F.lit(f"$1{CUT}")), CUT)
+    rows = rows.withColumn(block, F.regexp_replace(b, end, f"$1{CUT}"))
+    rows = rows.withColumn(block, F.when(F.col("__thai"), F.regexp_replace(b, blank, f"$1{CUT}")).otherwise(b))
+    return rows.withColumn("parts", F.split(b, CUT)).drop(block, "__mixed", "__linked", "__thai", "__quoted")
 
 
 def sentences(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -133,12 +168,10 @@ def sentences(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     Rows with the same key are treated as separate texts.
     """
     rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.length("text") > 0)
-    rows = rows.select("key", blocks(working_copy(F.col("text"))).alias("parts"))
-    rows = rows.select("key", F.explode(_pieces(F.col("parts"))).alias("b")).select("key", F.col("b.start").alias("at"), F.col("b.part").alias("block"))
-    rows = rows.filter(F.col("block").rlike(r"[^ \n]"))
-    rows = rows.select("key", "at", cut_sentences(F.col("block")).alias("parts"))
-    rows = rows.select("key", "at", F.explode(_pieces(F.col("parts"))).alias("s"))
-    rows = rows.select("key", (F.col("at") + F.col("s.start")).alias("at"), F.col("s.part").alias("part"))
+    rows = _blocks(rows.select("key", working_copy(F.col("text")).alias("copy")), "copy").select("key", _pieces("parts"))
+    rows = rows.select("key", F.col("p.start").alias("at"), F.col("p.part").alias("block")).filter(F.col("block").rlike(r"[^ \n]"))
+    rows = _cut(rows, "block").select("key", "at", _pieces("parts"))
+    rows = rows.select("key", (F.col("at") + F.col("p.start")).alias("at"), F.col("p.part").alias("part"))
     blank = F.lit(" \n")
     left = F.length("part") - F.length(F.ltrim("part", blank))
     rows = rows.select("key", (F.col("at") + left).alias("start"), (F.col("at") + F.length(F.rtrim("part", blank))).alias("end"))
