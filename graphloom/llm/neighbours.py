@@ -85,16 +85,16 @@ def footrule_order(query: np.ndarray, lists: np.ndarray) -> np.ndarray:
     listed = lists.shape[1]
     names, codes = np.unique(lists, return_inverse=True)
     codes = codes.reshape(lists.shape)
-    place = np.full((len(query), len(names)), listed, dtype=np.int16)
+    # a column for each query, so that what a listed pivot adds is read in whole rows
+    place = np.full((len(names), len(query)), listed, dtype=np.int16)
     at = np.searchsorted(names, query)
     known = names[np.minimum(at, len(names) - 1)] == query
     row, col = np.nonzero(known)
-    place[row, at[row, col]] = col
-    distance = np.zeros((len(query), len(lists)), dtype=np.int16)
-    for j in range(listed):  # what a listed pivot adds beyond one that is missing
-        there = place[:, codes[:, j]]
-        distance += np.abs(there - j) + there
-    return distance
+    place[at[row, col], row] = col
+    distance = np.zeros((len(lists), len(query)), dtype=np.int16)
+    for j in range(listed):  # beyond what a missing pivot adds
+        distance += np.take(np.abs(place - j) + place, codes[:, j], axis=0)
+    return np.ascontiguousarray(distance.T)
 
 
 def rank(ids: np.ndarray, units: np.ndarray, lists: np.ndarray, queries: np.ndarray, k: int, reranked: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
