@@ -77,27 +77,34 @@ def rates(tokens: DataFrame, targets: DataFrame, fit: str = "size") -> DataFrame
     return rows.withColumn("short", F.col("max_repeats") * F.col("tokens") < F.col("wanted")).drop("whole", "limit", "size")
 
 
+def _copies(doc_id: Column, rate: Column, seed: int) -> Column:
+    """floor(rate) copies and one more by a draw, which is the same wherever the document is met."""
+    draw = F.pmod(F.xxhash64(F.lit(seed), doc_id), F.lit(1 << 52)) / float(1 << 52)
+    whole = F.floor(rate)
+    return (whole + (draw < rate - whole).cast("int")).cast("int")
+
+
 def mixture(tokens: DataFrame, rated: DataFrame, seed: int = 17) -> DataFrame:
     """``(doc_id, key, tokens, copies)`` with at least one copy.
 
     The fraction of a rate is a Bernoulli draw by hash. A rate of ``max_repeats`` has no
     fraction, so no document exceeds it.
     """
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 52)) / float(1 << 52)
-    whole = F.floor("rate")
     rows = tokens.join(small(rated.select("key", "rate").dropDuplicates(["key"])), "key")
-    copies = (whole + (draw < F.col("rate") - whole).cast("int")).cast("int")
-    return rows.select("doc_id", "key", "tokens", copies.alias("copies")).filter("copies > 0")
+    return rows.select("doc_id", "key", "tokens", _copies(F.col("doc_id"), F.col("rate"), seed).alias("copies")).filter("copies > 0")
 
 
-def emit(documents: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The documents of a mixture, each as often as it is to be used.
+def emit(documents: DataFrame, rated: DataFrame, seed: int = 17) -> DataFrame:
+    """The documents of the mixture with this seed, each as often as it is to be used.
 
-    ``copy`` counts from 1 and replaces a column of that name. Documents without an id are not emitted.
+    Texts are not sent anywhere: each document draws for itself. ``copy`` counts from 1 and
+    replaces a column of that name.
     """
-    ids = mixed.select(F.col("doc_id").alias("__mixed_id"), F.col("copies").alias("__copies"))
-    rows = documents.join(ids, F.col("doc_id") == F.col("__mixed_id"))
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "__copies"))).drop("__mixed_id", "__copies")
+    rates_ = rated.select(F.col("key").alias("__key"), F.col("rate").alias("__rate")).dropDuplicates(["__key"])
+    rows = documents.withColumn("__key", source_key(F.col("source"))).join(small(rates_), "__key")
+    rows = rows.withColumn("__n", _copies(F.col("doc_id"), F.col("__rate"), seed)).filter("__n > 0")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "__n")))
+    return rows.drop("__key", "__rate", "__n")
 
 
 def report(mixed: DataFrame, rated: DataFrame) -> DataFrame:

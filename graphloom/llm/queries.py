@@ -84,18 +84,18 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return mixing.rates(tokens, table(spark, d, "source_targets")).filter("short").select("source")
 
 
-def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _rated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     tokens = materialise(mixing.document_tokens(table(spark, d, "documents")), "tokens")
-    rated = mixing.rates(tokens, table(spark, d, "source_targets"), fit="shares")
-    return mixing.mixture(tokens, rated), rated
+    return tokens, materialise(mixing.rates(tokens, table(spark, d, "source_targets"), fit="shares"), "rates")
 
 
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.emit(table(spark, d, "documents"), _mixture(spark, d)[0]).select("doc_id", "copy")
+    return mixing.emit(table(spark, d, "documents"), _rated(spark, d)[1]).select("doc_id", "copy")
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.report(*_mixture(spark, d))
+    tokens, rated = _rated(spark, d)
+    return mixing.report(mixing.mixture(tokens, rated), rated)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

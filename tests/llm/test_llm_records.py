@@ -83,7 +83,7 @@ def test_mixture(spark, docs):
         assert abs(rows["small"]["actual_share"] - 0.7 / 0.95) < 0.03
         again = mixing.mixture(tokens.repartition(7), rated)
         assert sorted(map(tuple, mixed.collect())) == sorted(map(tuple, again.collect()))
-        emitted = mixing.emit(docs, mixed)
+        emitted = mixing.emit(docs, rated)
         assert emitted.count() == mixed.agg(F.sum("copies")).head()[0] and emitted.columns == [*docs.columns, "copy"]
     few = targets.withColumn("max_repeats", F.lit(1))
     rows = {r["source"]: r for r in mixing.rates(tokens, few).collect()}
