@@ -26,14 +26,15 @@ def _items(text: Column, limit: int, headings: bool) -> Column:
 
     no, yes, zero = F.lit(False), F.lit(True), F.lit(0)
 
-    def of(line: Column) -> Column:
-        head, n = heading(line), token_count(line)
+    def of(x: Column) -> Column:
+        line, n = x["line"], x["n"]  # counted once: a lambda would count at each use
+        head = heading(line)
         pieces = F.transform(sentences(line), lambda s, i: item(zero, s, token_count(s), yes, i == 0))
         plain = F.when(n > limit, pieces).otherwise(F.array(item(zero, line, n, no, no)))
         return F.when(head.isNotNull(), F.array(item(head["level"], head["name"], zero, no, no))).otherwise(plain) if headings else plain
 
     kept = F.filter(F.transform(lines(text), strip), lambda line: line != "")
-    return F.flatten(F.transform(kept, of))
+    return F.flatten(F.transform(F.transform(kept, lambda line: F.struct(line.alias("line"), token_count(line).alias("n"))), of))
 
 
 def pack(text: Column, title: Column, cfg: Config, headings: bool = True, titled: bool = False) -> Column:

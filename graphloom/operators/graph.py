@@ -63,7 +63,7 @@ def property_nodes(node_table: DataFrame) -> DataFrame:
 
 def property_edges(triples: DataFrame, relation_table: DataFrame) -> DataFrame:
     """``(src, rel_type, dst, relation_name, definition, concepts)``, one for each pair and type; the last one's properties stay."""
-    rows = triples.join(relation_table, ["doc_id", "relation"], "left")
+    rows = triples.select("doc_id", "pos", "subject", "relation", "object").join(relation_table.select("doc_id", "relation", "definition", "concepts"), ["doc_id", "relation"], "left")
     last = F.max(F.struct("doc_id", "pos", "relation", "definition", "concepts")).alias("last")
     rows = rows.groupBy(F.col("subject").alias("src"), relation_type(F.col("relation")).alias("rel_type"), F.col("object").alias("dst")).agg(last)
     return rows.select("src", "rel_type", "dst", F.col("last.relation").alias("relation_name"), F.coalesce("last.definition", F.lit("")).alias("definition"), F.coalesce("last.concepts", F.array().cast(NO_CONCEPTS)).alias("concepts"))

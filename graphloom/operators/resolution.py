@@ -142,10 +142,11 @@ def relation_map(ordered: DataFrame, groups: DataFrame, shortened: DataFrame) ->
 
 
 def apply_map(triples: DataFrame, mapping: DataFrame, *fields: str) -> DataFrame:
-    """Replaces the named fields by their canonical names; what is not in the mapping stays."""
+    """Replaces the named fields by their canonical names; what is not in the mapping stays. Further columns are dropped."""
+    triples = triples.select("doc_id", "pos", "subject", "relation", "object")
     for c in fields:
-        keyed = mapping.select("doc_id", F.col("variant").alias(c), F.col("canonical").alias("new"))
-        triples = triples.join(keyed, ["doc_id", c], "left").withColumn(c, F.coalesce("new", c)).drop("new")
+        keyed = mapping.select("doc_id", F.col("variant").alias(c), F.col("canonical").alias("__new"))
+        triples = triples.join(keyed, ["doc_id", c], "left").withColumn(c, F.coalesce("__new", c)).drop("__new")
     return triples.select("doc_id", "pos", "subject", "relation", "object")
 
 
