@@ -137,3 +137,12 @@ def test_empty_tables(spark, parts):
     kinds = spark.createDataFrame([], "doc_id long, name string, concepts array<string>")
     for df in (triples.dedup(rows), triples.context(rows), triples.entity_order(rows), graph.nodes(rows, kinds), graph.counts(rows), triples.rule_triples(spark.createDataFrame([], "doc_id long, chunk_index int, chunk_text string"))):
         assert df.filter(F.lit(True)).count() == 0
+
+
+def test_partitions_do_not_matter(spark):
+    base = spark.range(400).select(
+        (F.col("id") % 7).alias("doc_id"), F.col("id").alias("pos"), F.concat(F.lit("s"), F.col("id") % 11).alias("subject"), F.concat(F.lit("r"), F.col("id") % 5).alias("relation"),
+        F.concat(F.lit("s"), F.col("id") % 13).alias("object"), F.lit("x").alias("context"),
+    )
+    for f in (triples.dedup, triples.dedup_stats, triples.context, triples.relation_examples, triples.entity_order, graph.counts):
+        assert len({tuple(got(f(base.repartition(n)))) for n in (1, 7, 40)}) == 1
