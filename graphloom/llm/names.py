@@ -34,7 +34,7 @@ ABBREVIATIONS = dict(
 # Words before a person's name.
 TITLES = {"dr", "prof", "professor", "sir", "lady", "lord", "mr", "mrs", "ms", "miss", "mme", "rev", "capt", "col", "gen", "dame"}
 # Words that say nothing about who is meant.
-STOP = {"the", "of", "for", "in", "and", "at", "de", "la"}
+STOP = {"the", "of", "for", "in", "and", "at"}
 # Words of names that are no persons' names.
 KINDS = {
     *"port lake mount valley lighthouse river bay island cape hill fort abbey church saint expedition university museum institute academy society".split(),
@@ -80,9 +80,9 @@ def words(raw: str) -> tuple[list[str], bool]:
 def forms(raw: str) -> list[tuple[str, str, str, str]]:
     """``(class, form, initials, role)`` of a name.
 
-    Strong classes: ``w`` as written, ``b`` bag of words. Weak ones: ``i`` family name
-    under an initial, ``l`` family name, ``a`` acronym; their role says whether the name
-    is the short one that asks or a full one that may be meant.
+    Strong classes: ``w`` as written, ``b`` bag of words; ``v`` and ``c`` are the same of names
+    with one initial. Weak ones: ``i`` family name under an initial, ``l`` family name, ``a`` acronym;
+    their role says whether the name is the short one that asks or a full one that may be meant.
     """
     given, _ = words(raw)
     digits = ".".join(w for w in given if w[0].isdigit())
@@ -91,7 +91,7 @@ def forms(raw: str) -> list[tuple[str, str, str, str]]:
     if not letters:
         return [("w" + digits, digits, "", "")] if digits else []
     initials = lambda ws: "".join(sorted(w[0] for w in ws))
-    out = [("w" + digits, "".join(letters), initials(letters), "")]
+    written = ["w" + digits, "".join(letters), initials(letters), ""]
     if letters[0] in TITLES and len(letters) > 1:
         letters = letters[1:]
     full = [ABBREVIATIONS.get(w, w) for w in letters]
@@ -99,13 +99,14 @@ def forms(raw: str) -> list[tuple[str, str, str, str]]:
     person = not digits and not KINDS & set(full) and len(content) == len(full) <= 3
     if person and len(content) == 3:  # a middle name may be left out
         content = [content[0], content[2]] if len(content[1]) > 1 or len(content[0]) > 1 else content[1:]
+    out, bag_class = [], "b" + digits
     if person and len(content) == 2:
         content = [NICKNAMES.get(w, w) for w in content]
         short = [w for w in content if len(w) <= 2]
         long = [w for w in content if len(w) > 2]
-        if len(short) == 1:
+        if len(short) == 1:  # compared with its like only, so that one letter is no edit of a short name
             out.append((f"i{short[0][0]}", long[0], long[0][0], "asks"))
-            content = [short[0][0], *long]
+            content, bag_class, written[0] = [short[0][0], *long], f"c{short[0][0]}", f"v{short[0][0]}"
         elif not short:
             for a, b in (content, content[::-1]):
                 out.append((f"i{a[0]}", b, b[0], "meant"))
@@ -118,8 +119,7 @@ def forms(raw: str) -> list[tuple[str, str, str, str]]:
     elif len(content) > 2:
         out.append(("a" + "".join(w[0] for w in content), "", "", "meant"))
     bag = sorted(content)
-    out.append(("b" + digits, " ".join(bag), initials(bag), ""))
-    return list(dict.fromkeys(out))
+    return list(dict.fromkeys([tuple(written), *out, (bag_class, " ".join(bag), initials(bag), "")]))
 
 
 def points(names: DataFrame) -> DataFrame:

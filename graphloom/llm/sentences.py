@@ -153,7 +153,7 @@ def _cut(rows: DataFrame, block: str) -> DataFrame:
     rows = rows.withColumns({"__mixed": mixed, "__linked": linked, "__thai": b.rlike(thai), block: marked})
     rows = rows.withColumns({block: _abbreviations(b, F.col("__mixed"), F.col("__linked")), "__quoted": F.contains(b, F.lit(CLOSE))})
     rows = rows.withColumn(block, F.when(F.col("__quoted"), _quoted(b, F.col("__mixed"))).otherwise(_plain(b, F.col("__mixed"))))
-    end = rf"([{ENDS}](?<![{ENDS}]{{2}})[{ENDS}]*+(?:[ \n]*{CLOSE}|[)\]’'])*+[ \n]*+)(?=[^,;:.)\]，；：、])"
+    end = rf"([{ENDS}](?<![{ENDS}]{{2}})[{ENDS}]*+(?:[ \n]*{CLOSE}|[)\]’'])*+[ \n]*+)(?=[^,;:.)\]，；：、{MASK}])"
     blank = rf"([ \n]++)(?:(?<={thai}[ \n]{{1,20}})(?={free})|(?<={free}[ \n]{{1,20}})(?={thai}))"
     rows = rows.withColumn(block, F.regexp_replace(b, end, f"$1{CUT}"))
     rows = rows.withColumn(block, F.when(F.col("__thai"), F.regexp_replace(b, blank, f"$1{CUT}")).otherwise(b))

@@ -13,7 +13,7 @@ SAME = [
 ]
 OTHER = [
     ("Noor Raspel", "Rebecca Raspel"), ("Ulver Expedition 8", "Ulver Expedition 9"), ("Port Ulver", "Ulver Expedition 8"), ("Museum of Botany of Cork", "Museum of Geology of Cork"), ("Глеб Ренов", "Олег Ренов"),
-    ("N. Raspel", "Rebecca Raspel"), ("DHA", "Delnes Botany Association"), ("Lake Corby", "Mount Corby"), ("University of Ulver", "Port Ulver"),
+    ("N. Raspel", "Rebecca Raspel"), ("N. Raspel", "R. Raspel"), ("DHA", "Delnes Botany Association"), ("Lake Corby", "Mount Corby"), ("University of Ulver", "Port Ulver"),
 ]
 
 
@@ -42,6 +42,11 @@ def test_a_family_name_of_two_needs_a_hint(spark):
     assert linked(spark, rows, [(1, "Raspelnes", "Noor Raspelnes"), (1, "Noor Raspelnes", "Rebecca Raspelnes")]) == {(1, "noorraspelnes", "raspelnes")}
 
 
+def test_an_initial_of_two_needs_a_hint(spark):
+    rows = [(1, x) for x in ("Léa Raspelnes", "Lars Raspelnes", "L. Raspelnes", "Raspelnes, L.")]
+    assert linked(spark, rows) == {(1, "lraspelnes", "raspelnesl")}
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
