@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,19 @@ from pyspark.sql import functions as F
 _WRITTEN: list[str] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once an application; needed where it is not installed on them."""
+    context = spark.sparkContext
+    if not getattr(context, "_graphloom_shipped", False):
+        package = Path(__file__).parent
+        path = Path(tempfile.mkdtemp(prefix="graphloom-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        context.addPyFile(str(path))
+        context._graphloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
