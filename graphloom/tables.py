@@ -15,7 +15,10 @@ _WRITTEN: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once an application; needed where it is not installed on them."""
+    """Sends this package to the Python workers, once an application; needed where it is not installed on them.
+
+    The archive is read on the driver only: Spark's own file server hands it to the executors, also to those that come later.
+    """
     context = spark.sparkContext
     if not getattr(context, "_graphloom_shipped", False):
         package = Path(__file__).parent
