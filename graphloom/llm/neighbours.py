@@ -1,9 +1,10 @@
 """The most similar vectors of every vector, by a permutation index.
 
 A vector is represented by its nearest pivots in order. It is posted in the inverted
-file of each of its first pivots, with its whole ordered list; within a file,
-vectors are ranked by the footrule distance between the lists, and the closest are ranked
-again by their exact cosine. Results of the files are merged.
+file of each of its first pivots; within a file, all vectors are compared by their exact
+cosine. Where vectors crowd, close ones may share no first pivot: a vector also asks every
+cell of a pivot in which, by the triangle inequality, a close one can lie. Results of the
+files are merged.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ from pyspark.sql import functions as F
 
 from graphloom.tables import materialise, small
 
-PIVOTS_PER_ROOT, LISTED, POSTED, RERANKED = 2.0, 16, 6, 64
+PIVOTS_PER_ROOT, LISTED, POSTED = 2.0, 16, 6
+CLOSE = 0.85  # cosine from which no neighbour in a crowd is left out
+REGION = 16  # cells that are asked together
 FILE_ROWS = 20_000  # queries that one task holds against a file
 
 
@@ -60,9 +63,28 @@ def _nearest(rows: np.ndarray, pivots: np.ndarray, listed: int) -> np.ndarray:
     return np.take_along_axis(best, order, 1).astype(np.int32)
 
 
-def permutations(vectors: DataFrame, pivots: np.ndarray, listed: int = LISTED) -> DataFrame:
-    """``(vec_id, digest, unit, pivots)``: the vector at length 1 as bytes, a digest of it, and its ordered pivots."""
-    sent = vectors.sparkSession.sparkContext.broadcast(pivots)
+def regions(pivots: np.ndarray) -> np.ndarray:
+    """The region of each pivot: the nearest of every ``REGION``-th pivot."""
+    leaders = pivots[::REGION]
+    return np.concatenate([np.argmax(pivots[i : i + 2000] @ leaders.T, axis=1) for i in range(0, len(pivots), 2000)])
+
+
+def _reach(rows: np.ndarray, pivots: np.ndarray, region: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The region that each row lives in, -1 if no pivot is close to it, and the regions it has to ask besides its files.
+
+    A close vector that is close to its own nearest pivot lies in the cell of a pivot at
+    twice that angle at most. The cells of the ``first`` pivots are part of their files.
+    """
+    near = rows.astype(np.float32) @ pivots.T
+    home = np.where(near[np.arange(len(near)), first[:, 0]] >= CLOSE - 1e-5, region[first[:, 0]], -1)
+    np.put_along_axis(near, first, -2, 1)
+    within = near >= 2 * CLOSE**2 - 1 - 1e-5
+    return home, [np.unique(region[np.flatnonzero(w)]) for w in within]
+
+
+def permutations(vectors: DataFrame, pivots: np.ndarray, listed: int = LISTED, posted: int = POSTED) -> DataFrame:
+    """``(vec_id, digest, unit, pivots, home, reach)``: the vector at length 1 as bytes, a digest of it, its ordered pivots, and regions (see ``_reach``)."""
+    sent = vectors.sparkSession.sparkContext.broadcast((pivots, regions(pivots)))
     listed = min(listed, len(pivots))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,9 +94,11 @@ def permutations(vectors: DataFrame, pivots: np.ndarray, listed: int = LISTED) -
                 rows = _matrix(part["vec"])
                 digests = [hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in rows.round(5) + 0.0]
                 units = [r.tobytes() for r in rows.astype(np.float32)]
-                yield pd.DataFrame({"vec_id": part["vec_id"].to_numpy(), "digest": digests, "unit": units, "pivots": list(_nearest(rows, sent.value, listed))})
+                lists = _nearest(rows, sent.value[0], listed)
+                home, reach = _reach(rows, *sent.value, lists[:, :posted])
+                yield pd.DataFrame({"vec_id": part["vec_id"].to_numpy(), "digest": digests, "unit": units, "pivots": list(lists), "home": home, "reach": reach})
 
-    return vectors.mapInPandas(assign, "vec_id long, digest binary, unit binary, pivots array<int>")
+    return vectors.mapInPandas(assign, "vec_id long, digest binary, unit binary, pivots array<int>, home int, reach array<int>")
 
 
 def footrule_order(query: np.ndarray, lists: np.ndarray) -> np.ndarray:
@@ -97,51 +121,56 @@ def footrule_order(query: np.ndarray, lists: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(distance.T)
 
 
-def rank(ids: np.ndarray, units: np.ndarray, lists: np.ndarray, queries: np.ndarray, k: int, reranked: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(query, neighbour, cosine)``: the ``k`` best of each query row among all rows of a file."""
-    n, out = len(ids), ([], [], [])
-    if n < 2:
-        return (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-    step = max(1, 4_000_000 // n)
-    for i in range(0, len(queries), step):
-        q = queries[i : i + step]
-        far = footrule_order(lists[q], lists)
-        far[np.arange(len(q)), q] = np.iinfo(np.int16).max
-        c = min(reranked, n - 1)
-        near = np.argpartition(far, c - 1, axis=1)[:, :c]
-        cosine = np.einsum("bd,bcd->bc", units[q].astype(np.float64), units[near].astype(np.float64))
-        order = np.lexsort((ids[near], -cosine), axis=1)[:, :k]
-        out[0].append(np.repeat(ids[q], order.shape[1]))
-        out[1].append(np.take_along_axis(ids[near], order, 1).ravel())
-        out[2].append(np.take_along_axis(cosine, order, 1).ravel())
-    return tuple(np.concatenate(x) for x in out)
+def rank(ids: np.ndarray, units: np.ndarray, asking: np.ndarray, asking_units: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(query, neighbour, cosine)``: the ``k`` best of each asking row among all rows of a file with another id."""
+    n, out = len(ids), [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    step, many = max(1, 4_000_000 // max(n, 1)), 200_000
+    for i in range(0, len(asking) if n else 0, step):
+        names, rows = asking[i : i + step], asking_units[i : i + step]
+        near = rows @ units.T
+        near[names[:, None] == ids] = -2
+        c = min(k, n)
+        # whatever may be among the best before rounding
+        least = np.maximum(np.partition(near, n - c, axis=1)[:, n - c] - 1e-5, -1.5)
+        q, x = np.nonzero(near >= least[:, None])
+        cosine = [np.einsum("id,id->i", rows[q[p : p + many]].astype(np.float64), units[x[p : p + many]].astype(np.float64)) for p in range(0, len(q), many)]
+        cosine = np.concatenate([np.empty(0), *cosine])
+        order = np.lexsort((ids[x], -cosine, q))
+        q = q[order]
+        kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+        out.append((names[q[kept]], ids[x[order[kept]]], cosine[order[kept]]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _units(file: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(file["unit"]), dtype=np.float32).reshape(len(file), -1)
 
 
 def _arrays(file: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    units = np.frombuffer(b"".join(file["unit"]), dtype=np.float32).reshape(len(file), -1)
-    return file["vec_id"].to_numpy(), units, np.stack(file["pivots"].to_numpy())
+    return file["vec_id"].to_numpy(), _units(file), np.stack(file["pivots"].to_numpy())
 
 
-def neighbours(df: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "vec", posted: int = POSTED, reranked: int = RERANKED) -> DataFrame:
+def neighbours(df: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "vec", posted: int = POSTED) -> DataFrame:
     """``(vec_id, neighbour, cosine, rank)``: the ``k`` most similar other vectors of every usable one.
 
     Ties in the cosine go to the smaller id. Vectors of equal direction are one entry of
     the index and are expanded afterwards, so that any number of copies costs as
-    much as one. A table with fewer than two usable vectors gives no rows. A repeated row
+    much as one. Where vectors crowd, no neighbour with a cosine of ``CLOSE`` or more is left
+    out that is as close to a pivot. A table with fewer than two usable vectors gives no rows. A repeated row
     counts once; an id that has several vectors is answered for each of them.
     """
     vectors = usable(df, key, vector)
     pivots = choose_pivots(vectors, vectors.count())
     if not len(pivots):
         return df.sparkSession.createDataFrame([], "vec_id long, neighbour long, cosine double, rank int")
-    entries = materialise(permutations(vectors, pivots), "permutations")
+    entries = materialise(permutations(vectors, pivots, posted=posted), "permutations")
     # of each direction: the entry with the smallest id, and the k + 1 smallest ids of its copies
     first = entries.dropDuplicates(["digest", "vec_id"]).withColumn("n", F.row_number().over(Window.partitionBy("digest").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
-    kept = first.filter("n = 1").select("vec_id", "unit", "pivots")
+    kept = first.filter("n = 1").select("vec_id", "unit", "pivots", "home", "reach")
     ids = first.groupBy("digest").agg(F.min("vec_id").alias("entry"), F.sort_array(F.collect_set("vec_id")).alias("ids"))
     ids = materialise(ids, "directions")
 
-    near = _search(kept, k, posted, reranked)
+    near = _search(kept, k, posted)
     # the entry itself stands for its copies, at cosine 1
     near = near.unionByName(ids.filter(F.size("ids") > 1).select(F.col("entry").alias("a"), F.col("entry").alias("b"), F.lit(1.0).alias("cosine")))
     other = ids.select(F.col("entry").alias("b"), "ids")
@@ -154,28 +183,53 @@ def neighbours(df: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "ve
     return rows.select("vec_id", F.col("x.id").alias("neighbour"), (-F.col("x.far")).alias("cosine"), (F.col("at") + 1).alias("rank"))
 
 
-def _search(entries: DataFrame, k: int, posted: int, reranked: int) -> DataFrame:
-    """``(a, b, cosine)``, the ``k`` best of each entry over all its files.
+def _search(entries: DataFrame, k: int, posted: int) -> DataFrame:
+    """``(a, b, cosine)``, the ``k`` best of each entry over all its files and the regions it asks.
 
     A file with more than ``FILE_ROWS`` entries is held by several tasks, each with a
     part of its queries, so that a crowded pivot is no burden to one of them.
     """
-    posts = entries.select("vec_id", "unit", "pivots", F.explode(F.slice("pivots", 1, posted)).alias("pivot"))
-    long_files = posts.groupBy("pivot").count().filter(F.col("count") > FILE_ROWS).select("pivot", F.ceil(F.col("count") / FILE_ROWS).cast("int").alias("parts"))
-    posts = posts.join(small(long_files, 1_000_000), "pivot", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    posts = entries.select("vec_id", "unit", F.explode(F.slice("pivots", 1, posted)).alias("pivot"))
+    posts = posts.join(_parts(posts, "pivot"), "pivot", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     posts = posts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     posts = posts.withColumn("asks", F.pmod(F.xxhash64("vec_id"), "parts") == F.col("part")).drop("parts")
 
     def search(file: pd.DataFrame) -> pd.DataFrame:
-        a, b, cosine = rank(*_arrays(file), np.flatnonzero(file["asks"].to_numpy()), k, reranked)
-        return pd.DataFrame({"a": a, "b": b, "cosine": cosine})
+        ids, units, asks = file["vec_id"].to_numpy(), _units(file), file["asks"].to_numpy()
+        return pd.DataFrame(dict(zip(("a", "b", "cosine"), rank(ids, units, ids[asks], units[asks], k), strict=True)))
 
     found = posts.groupBy("pivot", "part").applyInPandas(search, "a long, b long, cosine double")
+    if not entries.filter(F.size("reach") > 0).isEmpty():
+        found = found.unionByName(_crowded(entries, k))
     found = found.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     order = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
     return found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).drop("n")
 
 
+def _parts(posts: DataFrame, file: str) -> DataFrame:
+    """``(file, parts)`` of the files with more than ``FILE_ROWS`` posts."""
+    long_files = posts.groupBy(file).count().filter(F.col("count") > FILE_ROWS)
+    return small(long_files.select(file, F.ceil(F.col("count") / FILE_ROWS).cast("int").alias("parts")), 1_000_000)
+
+
+def _crowded(entries: DataFrame, k: int) -> DataFrame:
+    """``(a, b, cosine)``, the ``k`` best of each entry in every region it asks, and the close ones from the other side."""
+    visits = entries.select("vec_id", "unit", F.lit(True).alias("asks"), (F.col("home") < 0).alias("lone"), F.explode("reach").alias("region"))
+    parts = _parts(visits, "region")
+    living = entries.filter("home >= 0").select("vec_id", "unit", F.lit(False).alias("asks"), F.lit(False).alias("lone"), F.col("home").alias("region"))
+    one = F.coalesce("parts", F.lit(1))
+    visits = visits.join(parts, "region", "left").withColumn("part", F.pmod(F.xxhash64("vec_id"), one).cast("int")).drop("parts")
+    living = living.join(parts, "region", "left").withColumn("part", F.explode(F.sequence(F.lit(0), one - 1))).drop("parts")
+
+    def search(file: pd.DataFrame) -> pd.DataFrame:
+        ids, units, asks, lone = file["vec_id"].to_numpy(), _units(file), file["asks"].to_numpy(), file["lone"].to_numpy()
+        # who lives in no region is asked by nobody
+        both = [rank(ids[~asks], units[~asks], ids[asks], units[asks], k), rank(ids[lone], units[lone], ids[~asks], units[~asks], k)]
+        return pd.DataFrame({c: np.concatenate(x) for c, x in zip(("a", "b", "cosine"), zip(*both, strict=True), strict=True)})
+
+    return visits.unionByName(living).groupBy("region", "part").applyInPandas(search, "a long, b long, cosine double")
+
+
 def close_pairs(near: DataFrame, least: float) -> DataFrame:
     """``(vec_a, vec_b)``, each pair once, where one is among the most similar of the other with at least ``least``."""
     rows = near.filter(F.col("cosine") >= least)

@@ -34,6 +34,16 @@ def test_recall_and_cosines(spark):
     assert sorted(r["rank"] for r in rows if r["vec_id"] == 0) == [1, 2, 3, 4, 5]
 
 
+def test_recall_in_a_crowd(spark):
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(3000, 64))
+    vectors[::3] = rng.normal(size=64) + 0.3 * rng.normal(size=(1000, 64))  # a third, each pair at about 0.92
+    best, near = exact(vectors, 5)
+    got = {tuple(r) for r in nb.close_pairs(nb.neighbours(frame(spark, enumerate(vectors))), 0.85).collect()}
+    close = {(min(i, int(j)), max(i, int(j))) for i in range(len(best)) for j in best[i] if near[i, j] >= 0.85}
+    assert len(close) > 2500 and got == close
+
+
 def test_search_recall(spark):
     vectors = np.random.default_rng(2).normal(size=(3000, 32))
     best, _ = exact(vectors, 5)
