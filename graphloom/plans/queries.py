@@ -359,7 +359,7 @@ def kg_documents(spark, d):
 @query
 def json_answers(spark, d):
     """The ladder of JSON repairs over a fenced, a prosaic and a broken answer about every chunk."""
-    rows = _chunk_rows(spark, d).select("chunk_id", F.to_json(F.struct(F.left("chunk_text", F.lit(200)).alias("a"))).alias("j"))
+    rows = _chunk_rows(spark, d).select("chunk_id", F.to_json(F.struct(F.col("chunk_text").alias("a"))).alias("j"))
     forms = {"fenced": ("```json\n[", "]\n```"), "prose": ("Sure: [", "] I hope so."), "comma": ("[", ", ,]"), "two": ("[", "] [2]"), "object": ("", "")}
     raw = F.explode(F.array(*(F.struct(F.lit(k).alias("form"), F.concat(F.lit(a), F.col("j"), F.lit(b)).alias("raw")) for k, (a, b) in forms.items())))
     rows = rows.select("chunk_id", raw.alias("x")).select("chunk_id", "x.form", "x.raw")

@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from graphloom.plans import queries as core
@@ -34,6 +35,11 @@ def test_like_sql(spark, duck, name):
     assert got == sorted((tuple(plain(r[at.index(c)]) for c in columns) for r in want.fetchall()), key=repr)
 
 
+def test_answers_hold_whole_chunks(spark, monkeypatch):
+    monkeypatch.setattr(core.json_repair, "parsed", lambda raw, kind: F.when(F.length(raw) > 2000, raw))
+    assert driver.queries()["json_answers"](spark, SF).filter("parsed").count() > 0
+
+
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
 
