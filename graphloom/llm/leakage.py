@@ -47,6 +47,20 @@ def instruction_units(texts: list[str | None]) -> list[int]:
     return [len(f) if len(f) > 3 and seen[f] > 1 and len(f) < len(units(t)) else 0 for f, t in zip(first, texts, strict=True)]
 
 
+def _openings(items: DataFrame) -> DataFrame:
+    """Adds ``skip`` to ``(item_id, text)``: ``instruction_units``, counted over all items."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            first = [units(m[1]) if t and (m := _FIRST.match(t)) else [] for t in batch["text"]]
+            can = [len(f) if 3 < len(f) < len(units(t)) else 0 for f, t in zip(first, batch["text"], strict=True)]
+            yield pd.DataFrame({"item_id": batch["item_id"], "text": batch["text"], "first": [" ".join(f) for f in first], "skip": can})
+
+    rows = materialise(items.mapInPandas(read, "item_id long, text string, first string, skip int"), "leak-items")
+    several = rows.groupBy("first").agg(F.count("*").alias("n")).filter("n > 1")
+    return rows.join(several, "first", "left").select("item_id", "text", F.when(F.col("n") > 1, F.col("skip")).otherwise(0).alias("skip"))
+
+
 def kept_shingles(n_units: int, q: int, share: float, errors: float) -> int:
     """The fewest shingles that a passage of at least ``share`` of an item shares with it."""
     least = max(1, math.ceil(share * n_units - 1e-9))
@@ -59,11 +73,11 @@ class ItemIndex:
     An item too short for a shingle in half of it gets shorter shingles.
     """
 
-    def __init__(self, ids: list[int], texts: list[str | None], share: float, errors: float):
+    def __init__(self, ids: list[int], texts: list[str | None], skips: list[int], share: float, errors: float):
         self.share, self.errors, self.vocabulary, self.items = share, errors, {}, {}
         table: dict[tuple[int, int], int] = {}
         self.rows: list[tuple[int, int, int]] = []  # item, shingle, prefix length
-        for item, text, skip in zip(ids, texts, instruction_units(texts), strict=True):
+        for item, text, skip in zip(ids, texts, skips, strict=True):
             words = units(text)[skip:]
             if not words:
                 continue
@@ -135,12 +149,12 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, errors: fl
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and length(text) > 0")
     result = spark.createDataFrame([], "doc_id long, item_id long")
-    bounds = items.select("item_id").filter("item_id is not null").distinct()
-    total = bounds.count()
-    slices = max(1, math.ceil(total / block))
+    once = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null").groupBy("item_id").agg(F.max("text").alias("text"))
+    read = materialise(_openings(once), "leak-openings")
+    slices = max(1, math.ceil(read.count() / block))
     for k in range(slices):
-        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k).filter("item_id is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.max("text").alias("text")).orderBy("item_id").toPandas()
-        index = ItemIndex(part["item_id"].tolist(), part["text"].tolist(), share, errors)
+        part = read.filter(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k).orderBy("item_id").toPandas()
+        index = ItemIndex(part["item_id"].tolist(), part["text"].tolist(), part["skip"].tolist(), share, errors)
         if index.items:
             result = result.unionByName(_block(docs, index))
     return result
@@ -155,7 +169,7 @@ def _block(docs: DataFrame, index: ItemIndex) -> DataFrame:
         for batch in batches:
             found = [ix.shingles(ix.code(t)) for t in batch["text"]]
             keep = [i for i, f in enumerate(found) if len(f)]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[keep].to_numpy(), "shingles": [found[i] for i in keep]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[keep].to_numpy(), "shingles": pd.Series([found[i] for i in keep], dtype=object)})
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = sent.value

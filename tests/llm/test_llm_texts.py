@@ -96,6 +96,13 @@ def test_leaks_like_brute_force(spark):
     assert lk.leaks(D.limit(0), I).count() == 0 == lk.leaks(D, I.limit(0)).count()
 
 
+def test_instructions_are_told_over_all_blocks(spark):
+    items = [(i, "Answer the following question with care. " + " ".join(f"w{i}x{j}" for j in range(12))) for i in range(3)]
+    docs = [(i, "x y " + " ".join(f"w{i}x{j}" for j in range(6)) + " z") for i in range(3)]
+    items, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(tuple(r) for r in lk.leaks(docs, items, block=1).collect()) == [(i, i) for i in range(3)]
+
+
 def test_units():
     assert lk.units("L'Été @-@ 4 @,@ 312 Straße!") == ["l", "ete", "4", "312", "strasse"]
     assert lk.units("柏岚 No.5") == ["柏", "岚", "no", "5"] and lk.units(None) == []
