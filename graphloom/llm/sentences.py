@@ -17,7 +17,7 @@ ENDS = ".!?…。！？؟।॥"
 BLANKS = "".join(map(chr, (9, 11, 12, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)))
 LINE_ENDS = "".join(map(chr, (0x2028, 0x2029)))
 
-QUOTED = 1000  # a quotation of more characters is taken for a stray mark
+QUOTED = 1000  # how far before a closing mark without an opening one of its own ends are masked
 
 # Abbreviations after which a sentence goes on, by language.
 ABBREVIATIONS = {
@@ -135,8 +135,11 @@ def _quoted(b: Column, mixed: Column) -> Column:
     inner = rf"(?![ \n]*{CLOSE})(?=[^{OPEN}{CLOSE}]{{0,{QUOTED}}}+{CLOSE})|{GOES_ON}"
     b = F.regexp_replace(b, F.when(mixed, f"[{ENDS}](?:{inner}|{SMALL})").otherwise(f"[{ENDS}](?:{inner})"), F.lit(MASK))
     opens = rf"{OPEN}(?<=(?:\A|\A[ \n]{{1,8}}|[{ENDS}]|[{ENDS}][ \n]?[{CLOSE})\]]|[{ENDS}][ \n]{{1,4}}|[{ENDS}][ \n]?[{CLOSE})\]][ \n]{{1,4}}){OPEN})"
-    report = rf"({opens}[^{OPEN}{CLOSE}]{{0,{QUOTED}}})[!?！？؟。]([ \n]*{CLOSE})(?![ \n]*(?:{OPEN}|\z))"
-    return F.regexp_replace(b, report, f"$1{MASK}$2")
+    report = rf"({opens}[^{OPEN}{CLOSE}]*)[!?！？؟。]([ \n]*{CLOSE})(?![ \n]*(?:{OPEN}|\z))"
+    b = F.regexp_replace(b, report, f"$1{MASK}$2")
+    # from an opening mark on to its own closing one, however far, each match goes on where the last one ended
+    far = rf"((?:{OPEN}(?=[^{OPEN}{CLOSE}]{{{QUOTED},}}+{CLOSE})|(?!\A)\G)[^{ENDS}{OPEN}{CLOSE}]*+)[{ENDS}](?![ \n]*{CLOSE})"
+    return F.regexp_replace(b, far, f"$1{MASK}")
 
 
 def _cut(rows: DataFrame, block: str) -> DataFrame:

@@ -36,6 +36,16 @@ def test_sentences(spark, marked):
     assert [text[r["start"] : r["end"]] for r in rows] == want
 
 
+def test_long_quotations(spark):
+    long = "We saw it. Was it so? " * 200
+    parts = [f'He said: "{long}It was."', f'"{long}Is it?" asked Bo.', "Then he left.", "So did we."]
+    stray = "So it goes. " * 200
+    texts = [(1, " ".join(parts)), (2, f"A «stray mark. {stray}End.")]
+    rows = se.sentences(spark.createDataFrame(texts, "doc_id long, text string")).orderBy("start").collect()
+    assert [texts[0][1][r["start"] : r["end"]] for r in rows if r["doc_id"] == 1] == parts
+    assert sum(r["doc_id"] == 2 for r in rows) == 202
+
+
 def test_offsets_cover_the_text(spark):
     random.seed(7)
     texts = [(i, "".join(random.choices("aB é字ไ.!?。「」“”«»„\"—\n\r 　 😀1=", k=300))) for i in range(200)]
