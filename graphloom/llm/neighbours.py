@@ -240,9 +240,9 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", v
     """``(vec_id, neighbour, cosine, rank)`` of a stated set of query vectors against all vectors.
 
     For neighbours that are hardly more similar than any other vector, a short list of
-    candidates does not do. Every part of the collection keeps the inverted files of its
-    own rows, ranks them all by footrule distance and ranks the closest ``share`` again by
-    their cosine. Queries are sent in blocks of ``block``.
+    candidates does not do. This is a footrule scan without inverted files: every batch of
+    the collection is ranked whole by footrule distance, and the closest ``share`` of it again
+    by their cosine. Queries are sent in blocks of ``block``.
     """
     vectors, asked = usable(df, key, vector), usable(queries, key, vector)
     n, total = vectors.count(), asked.count()
