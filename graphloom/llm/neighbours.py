@@ -1,41 +1,51 @@
 """The most similar vectors of every vector, by a permutation index.
 
 A vector is represented by its nearest pivots in order. It is posted in the inverted
-file of each of its first pivots; within a file, all vectors are compared by their exact
-cosine. Where vectors crowd, close ones may share no first pivot: a vector also asks every
-cell of a pivot in which, by the triangle inequality, a close one can lie. Results of the
-files are merged.
+file of each of its first pivots; what shares a file is ranked by the footrule distance of the two
+orders, and what is near enough by it is ranked again by the exact cosine. Only the orders and a few
+bytes of signs are posted; vectors are fetched for the pairs that are left.
+
+``neighbours`` finds for every vector those above a cosine; where vectors crowd, so that a file
+holds more than a short list of near ones, the vector asks instead every cell of a pivot
+in which, by the triangle inequality, a close one can lie. ``search`` finds for stated queries
+the most similar ones however far they are, by reading the files of more pivots.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.tables import materialise, small
 
 PIVOTS_PER_ROOT, LISTED, POSTED = 2.0, 16, 6
-CLOSE = 0.85  # cosine from which no neighbour in a crowd is left out
+CLOSE = 0.85
+SIGNS = 192  # bits; at the cosine asked for, less than one pair in 100,000 differs in more of them than is let through
+SHORT = 64  # a vector with more near ones than this in one file asks all cells in reach
 REGION = 16  # cells that are asked together
-FILE_ROWS = 20_000  # queries that one task holds against a file
+FILE_ROWS = 10_000  # of either side, that one task compares
+SAMPLE = 1_000  # vectors from which it is read how near by footrule a vector at the cosine asked for is
+ASKED_PIVOTS, ASKED_LISTED, ASKED_FILES, SHARE = 512, 64, 32, 0.04  # of ``search``
+SHARD_ROWS, QUERY_ROWS = 20_000, 20_000
 
 
 def usable(df: DataFrame, key: str = "vec_id", vector: str = "vec") -> DataFrame:
-    """``(vec_id, vec)`` of vectors that have a direction: not null, not empty, finite numbers only, not all zero.
-
-    Where lengths differ, only vectors of the most common length are usable.
-    """
-    rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vec"))
+    """``(vec_id, vec)`` of vectors that have a direction: not null, not empty, finite numbers only, not all zero."""
+    rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("vec"))
     odd = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = rows.filter(F.col("vec_id").isNotNull() & (F.size("vec") > 0) & ~odd & F.exists("vec", lambda x: x != 0))
-    lengths = rows.groupBy(F.size("vec").alias("length")).count().orderBy(F.desc("count"), F.desc("length")).limit(2).collect()
-    return rows.filter(F.size("vec") == lengths[0]["length"]) if len(lengths) > 1 else rows
+    return rows.filter(F.col("vec_id").isNotNull() & (F.size("vec") > 0) & ~odd & F.exists("vec", lambda x: x != 0))
+
+
+def lengths(vectors: DataFrame) -> dict[int, int]:
+    """How many vectors there are of each length; vectors of different length are collections of their own."""
+    return {r["length"]: r["count"] for r in vectors.groupBy(F.size("vec").alias("length")).count().orderBy("length").collect()}
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -43,49 +53,79 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def choose_pivots(vectors: DataFrame, n: int, seed: int = 5) -> np.ndarray:
-    """A sample of distinct vectors, of about ``PIVOTS_PER_ROOT`` times the root of their number.
+def choose_pivots(vectors: DataFrame, wanted: int, sample: int = SAMPLE, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """About ``wanted`` distinct vectors as pivots and ``sample`` others, drawn by hash.
 
-    The sample follows the density, so that crowded regions have as many more pivots
-    and files stay of like length. It is all that the index is fitted on.
+    The pivots follow the density, so that crowded regions have as many more of them and files stay
+    of like length. It is all that the index is fitted on.
     """
-    wanted = max(8, math.ceil(PIVOTS_PER_ROOT * math.sqrt(n)))
-    sample = vectors.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(wanted).select("vec").toPandas()
-    rows = _matrix(sample["vec"]) if len(sample) else np.empty((0, 1))
-    return np.unique(rows.round(6), axis=0).astype(np.float32)
+    drawn = vectors.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(wanted + sample).select("vec").toPandas()
+    rows = _matrix(drawn["vec"]).astype(np.float32)
+    cut = max(1, min(wanted, len(rows) - sample)) if len(rows) > sample else max(1, len(rows) // 2)
+    return np.unique(rows[:cut].round(6), axis=0), rows[cut:] if len(rows) > cut else rows
 
 
-def _nearest(rows: np.ndarray, pivots: np.ndarray, listed: int) -> np.ndarray:
-    """The ordered nearest pivots of each row."""
-    near = rows.astype(np.float32) @ pivots.T
+def _nearest(near: np.ndarray, listed: int) -> np.ndarray:
+    """The ordered nearest pivots of each row of cosines."""
     best = np.argpartition(-near, listed - 1, axis=1)[:, :listed] if listed < near.shape[1] else np.argsort(-near, axis=1)
     order = np.argsort(-np.take_along_axis(near, best, 1), axis=1, kind="stable")
-    return np.take_along_axis(best, order, 1).astype(np.int32)
+    return np.take_along_axis(best, order, 1)
 
 
-def regions(pivots: np.ndarray) -> np.ndarray:
-    """The region of each pivot: the nearest of every ``REGION``-th pivot."""
-    leaders = pivots[::REGION]
-    return np.concatenate([np.argmax(pivots[i : i + 2000] @ leaders.T, axis=1) for i in range(0, len(pivots), 2000)])
+def orders(rows: np.ndarray, pivots: np.ndarray, listed: int) -> np.ndarray:
+    step = max(1, 4_000_000 // len(pivots))
+    parts = [_nearest(rows[i : i + step].astype(np.float32) @ pivots.T, listed) for i in range(0, len(rows), step)]
+    return np.concatenate(parts) if parts else np.empty((0, listed), np.int64)
 
 
-def _reach(rows: np.ndarray, pivots: np.ndarray, region: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The region that each row lives in, -1 if no pivot is close to it, and the regions it has to ask besides its files.
+def _signs(rows: np.ndarray) -> np.ndarray:
+    """On which side of some random planes each row lies, as bits."""
+    planes = np.random.default_rng(11).normal(size=(rows.shape[1], SIGNS)).astype(np.float32)
+    return np.packbits(rows.astype(np.float32) @ planes > 0, axis=1)
 
-    A close vector that is close to its own nearest pivot lies in the cell of a pivot at
-    twice that angle at most. The cells of the ``first`` pivots are part of their files.
-    """
-    near = rows.astype(np.float32) @ pivots.T
-    home = np.where(near[np.arange(len(near)), first[:, 0]] >= CLOSE - 1e-5, region[first[:, 0]], -1)
-    np.put_along_axis(near, first, -2, 1)
-    within = near >= 2 * CLOSE**2 - 1 - 1e-5
-    return home, [np.unique(region[np.flatnonzero(w)]) for w in within]
 
+def most_signs(least: float) -> int:
+    """How many signs of two vectors with that cosine differ at most."""
+    p = math.acos(min(1.0, max(-1.0, least))) / math.pi
+    return math.ceil(SIGNS * p + 4.5 * math.sqrt(SIGNS * p * (1 - p)))
 
-def permutations(vectors: DataFrame, pivots: np.ndarray, listed: int = LISTED, posted: int = POSTED) -> DataFrame:
-    """``(vec_id, digest, unit, pivots, home, reach)``: the vector at length 1 as bytes, a digest of it, its ordered pivots, and regions (see ``_reach``)."""
-    sent = vectors.sparkSession.sparkContext.broadcast((pivots, regions(pivots)))
-    listed = min(listed, len(pivots))
+
+def nearness(asking: np.ndarray, lists: np.ndarray) -> np.ndarray:
+    """What two ordered lists have in common: ``listed * (listed + 1)`` less twice this is their footrule distance.
+
+    A pivot that is not listed counts as one place after the last. A row for each list, a column for each asking one.
+    """
+    listed = lists.shape[1]
+    kind = np.uint8 if listed * (listed + 1) // 2 < 256 else np.uint16
+    names = np.unique(asking)
+    weights = np.zeros((len(names) + 1, len(asking)), dtype=kind)  # the last row is for pivots that nobody asks for
+    weights[np.searchsorted(names, asking), np.arange(len(asking))[:, None]] = np.arange(listed, 0, -1, dtype=kind)
+    at = np.minimum(np.searchsorted(names, lists), len(names) - 1)
+    codes = np.where(names[at] == lists, at, len(names))
+    total, part = np.zeros((len(lists), len(asking)), dtype=kind), np.empty((len(lists), len(asking)), dtype=kind)
+    for j in range(listed):
+        np.take(weights, codes[:, j], axis=0, out=part, mode="clip")
+        total += np.minimum(part, kind(listed - j), out=part)
+    return total
+
+
+def least_nearness(sample: np.ndarray, pivots: np.ndarray, listed: int, least: float) -> int:
+    """What vectors at that cosine have in common by footrule, all but one pair in 100; closer ones have more."""
+    rng = np.random.default_rng(12)
+    off = rng.normal(size=sample.shape)
+    off -= np.einsum("id,id->i", off, sample)[:, None] * sample
+    norm = np.linalg.norm(off, axis=1, keepdims=True)
+    other = least * sample + math.sqrt(1 - least**2) * off / np.where(norm > 0, norm, 1)
+    a, b = orders(sample, pivots, listed), orders(other, pivots, listed)
+    same = a[:, :, None] == b[:, None, :]
+    left = np.arange(listed, 0, -1)
+    return int(np.quantile((same * np.minimum(left[:, None], left[None, :])).sum((1, 2)), 0.01))
+
+
+def permutations(vectors: DataFrame, pivots: np.ndarray, listed: int, posted: int) -> DataFrame:
+    """``(vec_id, digest, posted, code)``: a digest of the direction, the first pivots, and the bytes of the whole order and the signs."""
+    sent = vectors.sparkSession.sparkContext.broadcast(pivots)
+    kind = _code_type(len(pivots))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -93,141 +133,213 @@ def permutations(vectors: DataFrame, pivots: np.ndarray, listed: int = LISTED, p
                 part = batch.iloc[i : i + 2000]
                 rows = _matrix(part["vec"])
                 digests = [hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in rows.round(5) + 0.0]
-                units = [r.tobytes() for r in rows.astype(np.float32)]
-                lists = _nearest(rows, sent.value[0], listed)
-                home, reach = _reach(rows, *sent.value, lists[:, :posted])
-                yield pd.DataFrame({"vec_id": part["vec_id"].to_numpy(), "digest": digests, "unit": units, "pivots": list(lists), "home": home, "reach": reach})
+                lists = orders(rows, sent.value, listed)
+                codes = np.hstack([lists.astype(kind).view(np.uint8).reshape(len(lists), -1), _signs(rows)])
+                yield pd.DataFrame({"vec_id": part["vec_id"].to_numpy(), "digest": digests, "posted": list(lists[:, :posted].astype(np.int32)), "code": [c.tobytes() for c in codes]})
 
-    return vectors.mapInPandas(assign, "vec_id long, digest binary, unit binary, pivots array<int>, home int, reach array<int>")
+    return vectors.mapInPandas(assign, "vec_id long, digest binary, posted array<int>, code binary")
 
 
-def footrule_order(query: np.ndarray, lists: np.ndarray) -> np.ndarray:
-    """Footrule distances between ordered pivot lists, up to a constant for each query.
+def _code_type(pivots: int) -> str:
+    return "<u2" if pivots < 1 << 16 else "<u4"
 
-    A pivot that is not listed counts as one place after the last.
-    """
-    listed = lists.shape[1]
-    names, codes = np.unique(lists, return_inverse=True)
-    codes = codes.reshape(lists.shape)
-    # a column for each query, so that what a listed pivot adds is read in whole rows
-    place = np.full((len(names), len(query)), listed, dtype=np.int16)
-    at = np.searchsorted(names, query)
-    known = names[np.minimum(at, len(names) - 1)] == query
-    row, col = np.nonzero(known)
-    place[at[row, col], row] = col
-    distance = np.zeros((len(lists), len(query)), dtype=np.int16)
-    for j in range(listed):  # beyond what a missing pivot adds
-        distance += np.take(np.abs(place - j) + place, codes[:, j], axis=0)
-    return np.ascontiguousarray(distance.T)
-
-
-def rank(ids: np.ndarray, units: np.ndarray, asking: np.ndarray, asking_units: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(query, neighbour, cosine)``: the ``k`` best of each asking row among all rows of a file with another id."""
+
+def rank(ids: np.ndarray, units: np.ndarray, asking: np.ndarray, asking_units: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(query, neighbour, cosine)``: the ``k`` best of each asking row among all rows with another id and at least that cosine."""
     n, out = len(ids), [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-    step, many = max(1, 4_000_000 // max(n, 1)), 200_000
+    step = max(1, 4_000_000 // max(n, 1))
     for i in range(0, len(asking) if n else 0, step):
         names, rows = asking[i : i + step], asking_units[i : i + step]
         near = rows @ units.T
         near[names[:, None] == ids] = -2
         c = min(k, n)
         # whatever may be among the best before rounding
-        least = np.maximum(np.partition(near, n - c, axis=1)[:, n - c] - 1e-5, -1.5)
-        q, x = np.nonzero(near >= least[:, None])
-        cosine = [np.einsum("id,id->i", rows[q[p : p + many]].astype(np.float64), units[x[p : p + many]].astype(np.float64)) for p in range(0, len(q), many)]
-        cosine = np.concatenate([np.empty(0), *cosine])
-        order = np.lexsort((ids[x], -cosine, q))
-        q = q[order]
-        kept = np.arange(len(q)) - np.searchsorted(q, q) < k
-        out.append((names[q[kept]], ids[x[order[kept]]], cosine[order[kept]]))
+        floor = np.maximum(np.partition(near, n - c, axis=1)[:, n - c] - 1e-5, least - 1e-5)
+        q, x = np.nonzero(near >= floor[:, None])
+        out.append(_best(names, ids, q, x, _exact(rows, units, q, x), k))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _exact(rows: np.ndarray, units: np.ndarray, q: np.ndarray, x: np.ndarray, many: int = 200_000) -> np.ndarray:
+    parts = [np.einsum("id,id->i", rows[q[p : p + many]].astype(np.float64), units[x[p : p + many]].astype(np.float64)) for p in range(0, len(q), many)]
+    return np.concatenate([np.empty(0), *parts])
+
+
+def _best(names: np.ndarray, ids: np.ndarray, q: np.ndarray, x: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((ids[x], -score, q))
+    q = q[order]
+    kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return names[q[kept]], ids[x[order[kept]]], score[order[kept]]
+
+
 def _units(file: pd.DataFrame) -> np.ndarray:
     return np.frombuffer(b"".join(file["unit"]), dtype=np.float32).reshape(len(file), -1)
 
 
-def _arrays(file: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return file["vec_id"].to_numpy(), _units(file), np.stack(file["pivots"].to_numpy())
+def in_parts(rows: DataFrame, file: str, file_rows: int | None = None) -> DataFrame:
+    """Adds ``cell`` to rows with ``asks`` and ``held``: within a cell of a file, all that ask meet all that are held.
 
+    A file with more than ``file_rows`` of either is cut both ways into a grid, so that no task holds more of
+    either side; a row comes to the cells of its line or of its column, and asks or is held only there.
+    """
+    most = file_rows or FILE_ROWS
+    sizes = rows.groupBy(file).agg(F.count_if("asks").alias("a"), F.count_if("held").alias("h")).filter((F.col("a") > most) | (F.col("h") > most))
+    part = lambda c: F.greatest(F.ceil(F.col(c) / most).cast("int"), F.lit(1)).alias(c)
+    rows = rows.join(small(sizes.select(file, part("a"), part("h")), 1_000_000), file, "left").withColumns({"a": F.coalesce("a", F.lit(1)), "h": F.coalesce("h", F.lit(1))})
+    rows = rows.withColumns({"u": F.pmod(F.xxhash64("vec_id"), "a").cast("int"), "w": F.pmod(F.xxhash64("vec_id"), "h").cast("int")})
+    none = F.array().cast("array<int>")
+    line = F.when(F.col("asks"), F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda j: F.col("u") * F.col("h") + j)).otherwise(none)
+    column = F.when(F.col("held"), F.transform(F.sequence(F.lit(0), F.col("a") - 1), lambda i: i * F.col("h") + F.col("w"))).otherwise(none)
+    rows = rows.withColumn("cell", F.explode(F.array_union(line, column)))
+    own = {"asks": F.col("asks") & (F.floor(F.col("cell") / F.col("h")) == F.col("u")), "held": F.col("held") & (F.col("cell") % F.col("h") == F.col("w"))}
+    return rows.withColumns(own).drop("a", "h", "u", "w")
+
+
+def _shortlists(entries: DataFrame, listed: int, kind: str, common: int, signs: int, short: int) -> DataFrame:
+    """``(a, b, crowded)``: pairs that share a file and are near by footrule, and crowded entries, with more than a short list in a file, as a pair of their own."""
+    posts = entries.select("vec_id", "code", F.explode("posted").alias("pivot"), F.lit(True).alias("asks"), F.lit(True).alias("held"))
+    width = np.dtype(kind).itemsize * listed
 
-def neighbours(df: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "vec", posted: int = POSTED) -> DataFrame:
-    """``(vec_id, neighbour, cosine, rank)``: the ``k`` most similar other vectors of every usable one.
+    def search(file: pd.DataFrame) -> pd.DataFrame:
+        ids, codes = file["vec_id"].to_numpy(), np.frombuffer(b"".join(file["code"]), dtype=np.uint8).reshape(len(file), -1)
+        lists = codes[:, :width].copy().view(kind).astype(np.int64)
+        sides = np.ascontiguousarray(codes[:, width:]).view(np.uint64)
+        asks, held = np.flatnonzero(file["asks"].to_numpy()), np.flatnonzero(file["held"].to_numpy())
+        out_a, out_b, crowded = [], [], []
+        step = max(1, 4_000_000 // max(1, len(held)))
+        for i in range(0, len(asks) if len(held) else 0, step):
+            own = asks[i : i + step]
+            near = nearness(lists[own], lists[held])
+            x, q = np.nonzero(near >= common)
+            keep = (np.bitwise_count(sides[own[q]] ^ sides[held[x]]).sum(1) <= signs) & (ids[own[q]] != ids[held[x]])
+            x, q = x[keep], q[keep]
+            many = np.bincount(q, minlength=len(own)) > short
+            if many.any():
+                crowded.append(ids[own[many]])
+                a, b, _ = _best(ids[own], ids[held], q, x, near[x, q].astype(np.float64), short)
+            else:
+                a, b = ids[own[q]], ids[held[x]]
+            out_a.append(np.minimum(a, b))
+            out_b.append(np.maximum(a, b))
+        none = np.empty(0, np.int64)
+        pairs = pd.DataFrame({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b]), "crowded": False}).drop_duplicates()
+        more = np.concatenate([none, *crowded])
+        return pd.concat([pairs, pd.DataFrame({"a": more, "b": more, "crowded": True})])
+
+    return in_parts(posts, "pivot").groupBy("pivot", "cell").applyInPandas(search, "a long, b long, crowded boolean")
+
+
+def _cosines(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``(a, b, cosine)``; an id with several vectors stands with each of them."""
+
+    def angle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1) for c in ("x", "y"))
+            cosine = np.einsum("id,id->i", x, y) / np.sqrt(np.einsum("id,id->i", x, x) * np.einsum("id,id->i", y, y)) if len(x) else np.empty(0)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(cosine)], names=["a", "b", "cosine"])
 
-    Ties in the cosine go to the smaller id. Vectors of equal direction are one entry of
-    the index and are expanded afterwards, so that any number of copies costs as
-    much as one. Where vectors crowd, no neighbour with a cosine of ``CLOSE`` or more is left
-    out that is as close to a pivot. A table with fewer than two usable vectors gives no rows. A repeated row
-    counts once; an id that has several vectors is answered for each of them.
-    """
-    vectors = usable(df, key, vector)
-    pivots = choose_pivots(vectors, vectors.count())
-    if not len(pivots):
-        return df.sparkSession.createDataFrame([], "vec_id long, neighbour long, cosine double, rank int")
-    entries = materialise(permutations(vectors, pivots, posted=posted), "permutations")
-    # of each direction: the entry with the smallest id, and the k + 1 smallest ids of its copies
-    first = entries.dropDuplicates(["digest", "vec_id"]).withColumn("n", F.row_number().over(Window.partitionBy("digest").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
-    kept = first.filter("n = 1").select("vec_id", "unit", "pivots", "home", "reach")
-    ids = first.groupBy("digest").agg(F.min("vec_id").alias("entry"), F.sort_array(F.collect_set("vec_id")).alias("ids"))
-    ids = materialise(ids, "directions")
+    rows = pairs.join(vectors.select(F.col("vec_id").alias("a"), F.col("vec").alias("x")), "a")
+    rows = rows.join(vectors.select(F.col("vec_id").alias("b"), F.col("vec").alias("y")), "b")
+    return rows.select("a", "b", "x", "y").mapInArrow(angle, "a long, b long, cosine double")
 
-    near = _search(kept, k, posted)
-    # the entry itself stands for its copies, at cosine 1
-    near = near.unionByName(ids.filter(F.size("ids") > 1).select(F.col("entry").alias("a"), F.col("entry").alias("b"), F.lit(1.0).alias("cosine")))
-    other = ids.select(F.col("entry").alias("b"), "ids")
-    best = near.join(other, "b").select("a", F.transform("ids", lambda i: F.struct((-F.col("cosine")).alias("far"), i.alias("id"))).alias("some"))
-    best = best.groupBy("a").agg(F.slice(F.sort_array(F.flatten(F.collect_list("some"))), 1, k + 1).alias("best"))
-    members = entries.select("vec_id", "digest").distinct().join(ids.select("digest", "entry"), "digest")
-    rows = members.join(best, members["entry"] == best["a"])
-    own = F.slice(F.filter("best", lambda x: x["id"] != F.col("vec_id")), 1, k)
-    rows = rows.select("vec_id", F.posexplode(own).alias("at", "x"))
-    return rows.select("vec_id", F.col("x.id").alias("neighbour"), (-F.col("x.far")).alias("cosine"), (F.col("at") + 1).alias("rank"))
+
+def regions(pivots: np.ndarray) -> np.ndarray:
+    """The region of each pivot: the nearest of every ``REGION``-th pivot."""
+    leaders = pivots[::REGION]
+    return np.concatenate([np.argmax(pivots[i : i + 2000] @ leaders.T, axis=1) for i in range(0, len(pivots), 2000)])
 
 
-def _search(entries: DataFrame, k: int, posted: int) -> DataFrame:
-    """``(a, b, cosine)``, the ``k`` best of each entry over all its files and the regions it asks.
+def _crowded(crowd: DataFrame, entries: DataFrame, pivots: np.ndarray, k: int, least: float) -> DataFrame:
+    """``(a, b, cosine)``: the ``k`` best of each entry of ``crowd`` in every region it has to ask, and the same from the other side.
 
-    A file with more than ``FILE_ROWS`` entries is held by several tasks, each with a
-    part of its queries, so that a crowded pivot is no burden to one of them.
+    A close vector that is close to its own nearest pivot lives in the cell of a pivot at twice that
+    angle at most. Who is close to no pivot lives in no region and is found by asking only.
     """
-    posts = entries.select("vec_id", "unit", F.explode(F.slice("pivots", 1, posted)).alias("pivot"))
-    posts = posts.join(_parts(posts, "pivot"), "pivot", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    posts = posts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    posts = posts.withColumn("asks", F.pmod(F.xxhash64("vec_id"), "parts") == F.col("part")).drop("parts")
+    sent = entries.sparkSession.sparkContext.broadcast((pivots, regions(pivots)))
+
+    def live(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pivots, region = sent.value
+        for batch in batches:
+            step = max(1, 4_000_000 // len(pivots))
+            for i in range(0, len(batch), step):
+                part = batch.iloc[i : i + step]
+                rows = _matrix(part["vec"]).astype(np.float32)
+                near = rows @ pivots.T
+                first = near.argmax(1)
+                home = np.where(near[np.arange(len(near)), first] >= least - 1e-5, region[first], -1)
+                within = near >= 2 * least**2 - 1 - 1e-5
+                reach = [np.unique(region[np.flatnonzero(w)]) if asks else [] for w, asks in zip(within, part["asks"])]
+                yield pd.DataFrame({"vec_id": part["vec_id"].to_numpy(), "unit": [r.tobytes() for r in rows], "home": home, "reach": reach})
+
+    rows = entries.join(crowd.withColumn("asks", F.lit(True)), "vec_id", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    placed = materialise(rows.select("vec_id", "vec", "asks").mapInPandas(live, "vec_id long, unit binary, home int, reach array<int>"), "crowd")
+    asking = placed.select("vec_id", "unit", (F.col("home") < 0).alias("lone"), F.explode("reach").alias("region"), F.lit(True).alias("asks"), F.lit(False).alias("held"))
+    living = placed.filter("home >= 0").select("vec_id", "unit", F.lit(False).alias("lone"), F.col("home").alias("region"), F.lit(False).alias("asks"), F.lit(True).alias("held"))
 
     def search(file: pd.DataFrame) -> pd.DataFrame:
-        ids, units, asks = file["vec_id"].to_numpy(), _units(file), file["asks"].to_numpy()
-        return pd.DataFrame(dict(zip(("a", "b", "cosine"), rank(ids, units, ids[asks], units[asks], k), strict=True)))
+        ids, units, asks, held, lone = file["vec_id"].to_numpy(), _units(file), file["asks"].to_numpy(), file["held"].to_numpy(), file["lone"].to_numpy()
+        both = [rank(ids[held], units[held], ids[asks], units[asks], k, least), rank(ids[lone], units[lone], ids[held], units[held], k, least)]
+        return pd.DataFrame({c: np.concatenate(x) for c, x in zip(("a", "b", "cosine"), zip(*both, strict=True), strict=True)})
 
-    found = posts.groupBy("pivot", "part").applyInPandas(search, "a long, b long, cosine double")
-    if not entries.filter(F.size("reach") > 0).isEmpty():
-        found = found.unionByName(_crowded(entries, k))
-    found = found.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
-    order = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
-    return found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).drop("n")
+    return in_parts(asking.unionByName(living), "region").groupBy("region", "cell").applyInPandas(search, "a long, b long, cosine double")
 
 
-def _parts(posts: DataFrame, file: str) -> DataFrame:
-    """``(file, parts)`` of the files with more than ``FILE_ROWS`` posts."""
-    long_files = posts.groupBy(file).count().filter(F.col("count") > FILE_ROWS)
-    return small(long_files.select(file, F.ceil(F.col("count") / FILE_ROWS).cast("int").alias("parts")), 1_000_000)
+FOUND = "vec_id long, neighbour long, cosine double, rank int"
 
 
-def _crowded(entries: DataFrame, k: int) -> DataFrame:
-    """``(a, b, cosine)``, the ``k`` best of each entry in every region it asks, and the close ones from the other side."""
-    visits = entries.select("vec_id", "unit", F.lit(True).alias("asks"), (F.col("home") < 0).alias("lone"), F.explode("reach").alias("region"))
-    parts = _parts(visits, "region")
-    living = entries.filter("home >= 0").select("vec_id", "unit", F.lit(False).alias("asks"), F.lit(False).alias("lone"), F.col("home").alias("region"))
-    one = F.coalesce("parts", F.lit(1))
-    visits = visits.join(parts, "region", "left").withColumn("part", F.pmod(F.xxhash64("vec_id"), one).cast("int")).drop("parts")
-    living = living.join(parts, "region", "left").withColumn("part", F.explode(F.sequence(F.lit(0), one - 1))).drop("parts")
+def _each_length(vectors: DataFrame, find: Callable[[DataFrame, int, int], DataFrame]) -> DataFrame:
+    """Vectors of one length are a collection; the results of all lengths."""
+    found = vectors.sparkSession.createDataFrame([], FOUND)
+    for length, n in lengths(vectors).items():
+        found = found.unionByName(find(vectors.filter(F.size("vec") == length), n, length))
+    return found
 
-    def search(file: pd.DataFrame) -> pd.DataFrame:
-        ids, units, asks, lone = file["vec_id"].to_numpy(), _units(file), file["asks"].to_numpy(), file["lone"].to_numpy()
-        # who lives in no region is asked by nobody
-        both = [rank(ids[~asks], units[~asks], ids[asks], units[asks], k), rank(ids[lone], units[lone], ids[~asks], units[~asks], k)]
-        return pd.DataFrame({c: np.concatenate(x) for c, x in zip(("a", "b", "cosine"), zip(*both, strict=True), strict=True)})
 
-    return visits.unionByName(living).groupBy("region", "part").applyInPandas(search, "a long, b long, cosine double")
+def neighbours(df: DataFrame, k: int = 5, least: float = CLOSE, key: str = "vec_id", vector: str = "vec", short: int = SHORT) -> DataFrame:
+    """``(vec_id, neighbour, cosine, rank)``: of every usable vector the ``k`` most similar others with a cosine of at least ``least``.
+
+    Ties in the cosine go to the smaller id. Vectors of equal direction are one entry of
+    the index and are expanded afterwards, so that any number of copies costs as
+    much as one. Vectors of different lengths are compared with their like only. A table with fewer than two
+    usable vectors gives no rows. A repeated row counts once; an id with several vectors is as similar to another as its best one.
+    """
+    return _each_length(usable(df, key, vector), lambda vectors, n, _: _close_ones(vectors, n, k, least, short))
+
+
+def _close_ones(vectors: DataFrame, n: int, k: int, least: float, short: int) -> DataFrame:
+    pivots, sample = choose_pivots(vectors, max(8, math.ceil(PIVOTS_PER_ROOT * math.sqrt(n))))
+    listed = min(LISTED, len(pivots))
+    common, kind = least_nearness(sample, pivots, listed, least), _code_type(len(pivots))
+    entries = materialise(permutations(vectors, pivots, listed, POSTED), "permutations")
+    # of each direction: the entry with the smallest id, and the k + 1 smallest ids of its copies
+    order = Window.partitionBy("digest").orderBy("vec_id")
+    first = entries.select("vec_id", "digest").withColumn("n", F.dense_rank().over(order)).filter(F.col("n") <= k + 1)
+    ids = first.groupBy("digest").agg(F.min("vec_id").alias("entry"), F.sort_array(F.collect_set("vec_id")).alias("ids"))
+    ids = materialise(ids, "directions")
+    copied = ids.filter(F.size("ids") > 1)
+
+    spare = entries.select("vec_id", "digest").join(copied.select("digest", "entry"), "digest").filter("vec_id <> entry").select("vec_id", "digest")
+    kept = entries.join(spare, ["vec_id", "digest"], "left_anti")
+    found = materialise(_shortlists(kept, listed, kind, common, most_signs(least), short), "shortlists")
+    near = _cosines(found.filter("not crowded").select("a", "b").distinct(), vectors)
+    crowd = found.filter("crowded").select(F.col("a").alias("vec_id")).distinct()
+    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")
+    near = near.filter(F.col("cosine") >= least - 1e-9).select(both, "cosine").select("p.a", "p.b", "cosine")
+    if not crowd.isEmpty():
+        copies = spare.select("vec_id").join(kept.select("vec_id"), "vec_id", "left_anti")
+        near = near.unionByName(_crowded(crowd, vectors.join(copies, "vec_id", "left_anti"), pivots, k, least))
+    # the entry itself stands for its copies, at cosine 1
+    near = near.unionByName(copied.select(F.col("entry").alias("a"), F.col("entry").alias("b"), F.lit(1.0).alias("cosine")))
+    near = near.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    other = ids.select(F.col("entry").alias("b"), "ids")
+    best = near.join(other, "b").select("a", F.explode("ids").alias("id"), (-F.col("cosine")).alias("far"))
+    best = best.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy("far", "id"))).filter(F.col("n") <= k + 1)
+    best = best.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("far", "id"))).alias("best"))
+    members = entries.select("vec_id", "digest").distinct().join(ids.select("digest", "entry"), "digest")
+    rows = members.join(best, members["entry"] == best["a"])
+    own = F.slice(F.filter("best", lambda x: x["id"] != F.col("vec_id")), 1, k)
+    rows = rows.select("vec_id", F.posexplode(own).alias("at", "x"))
+    return rows.select("vec_id", F.col("x.id").alias("neighbour"), (-F.col("x.far")).alias("cosine"), (F.col("at") + 1).alias("rank"))
 
 
 def close_pairs(near: DataFrame, least: float) -> DataFrame:
@@ -236,48 +348,86 @@ def close_pairs(near: DataFrame, least: float) -> DataFrame:
     return rows.select(F.least("vec_id", "neighbour").alias("vec_a"), F.greatest("vec_id", "neighbour").alias("vec_b")).distinct()
 
 
-def search(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "vec", pivots_used: int = 256, listed: int = 32, share: float = 0.06, block: int = 20_000) -> DataFrame:
-    """``(vec_id, neighbour, cosine, rank)`` of a stated set of query vectors against all vectors.
+class Files:
+    """The pivot inverted files of a part of the collection: of each pivot the rows that list it, with its place in each."""
+
+    def __init__(self, lists: np.ndarray, pivots: int):
+        n, listed = lists.shape
+        order = np.argsort(lists, axis=None, kind="stable")
+        self.n, self.listed = n, listed
+        self.start = np.searchsorted(lists.ravel()[order], np.arange(pivots + 1))
+        self.row, self.place = order // listed, (order % listed).astype(np.int32)
+
+    def nearness(self, asking: np.ndarray) -> np.ndarray:
+        """What the row has in common with each asking order (see the function), read from the files of its pivots."""
+        rows, gains = [], []
+        for j, pivot in enumerate(asking):
+            part = slice(self.start[pivot], self.start[pivot + 1])
+            rows.append(self.row[part])
+            gains.append(self.listed - np.maximum(self.place[part], j))
+        return np.bincount(np.concatenate(rows), np.concatenate(gains), self.n)
+
 
-    For neighbours that are hardly more similar than any other vector, a short list of
-    candidates does not do. This is a footrule scan without inverted files: every batch of
-    the collection is ranked whole by footrule distance, and the closest ``share`` of it again
-    by their cosine. Queries are sent in blocks of ``block``.
+def search(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "vec", pivots: int = ASKED_PIVOTS, listed: int = ASKED_LISTED, files: int = ASKED_FILES, share: float = SHARE) -> DataFrame:
+    """``(vec_id, neighbour, cosine, rank)`` of a stated set of query vectors against all vectors, however far the most similar are.
+
+    Every task keeps the inverted files of its own rows. A query reads the files of its first ``files`` pivots,
+    which add up to a footrule distance for each row that is in any; the rows nearer than all but about ``share`` of a
+    bounded sample are ranked again by their cosine. As that distance comes from the sample, the result does not depend
+    on how rows lie in tasks and batches. Queries are sent in blocks of ``QUERY_ROWS``. Null and odd vectors take no part on
+    either side; ties go to the smaller id; an id that has several vectors is answered once, with the best of them.
     """
-    vectors, asked = usable(df, key, vector), usable(queries, key, vector)
-    n, total = vectors.count(), asked.count()
-    out = "a long, b long, cosine double"
-    found = df.sparkSession.createDataFrame([], out)
-    pivots = choose_pivots(vectors, min(n, int((pivots_used / PIVOTS_PER_ROOT) ** 2)))
-    if not len(pivots) or not total:
-        return found.select(F.col("a").alias("vec_id"), F.col("b").alias("neighbour"), "cosine", F.lit(1).alias("rank"))
-    entries = permutations(vectors, pivots, listed)
-    slices = math.ceil(total / block)
+    asked = usable(queries, key, vector)
+    return _each_length(usable(df, key, vector), lambda vectors, n, length: _asked(vectors, asked.filter(F.size("vec") == length), n, k, pivots, listed, files, share))
+
+
+def _asked(vectors: DataFrame, asked: DataFrame, n: int, k: int, wanted: int, listed: int, files: int, share: float) -> DataFrame:
+    spark, out = vectors.sparkSession, "a long, b long, cosine double"
+    pivots, sample = choose_pivots(vectors, max(1, min(wanted, n // 8)), 4 * SAMPLE)
+    listed = min(listed, len(pivots))
+    sample_files = Files(orders(sample, pivots, listed), len(pivots))
+    total, found = asked.count(), spark.createDataFrame([], out)
+    slices = math.ceil(total / QUERY_ROWS)
     for i in range(slices):
         rows = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(slices)) == i).toPandas()
-        units = _matrix(rows["vec"]) if len(rows) else None
-        if units is None:
+        if not len(rows):
             continue
-        lists = _nearest(units, pivots, min(listed, len(pivots)))
-        sent = df.sparkSession.sparkContext.broadcast((rows["vec_id"].to_numpy(), units.astype(np.float32), lists))
+        units = _matrix(rows["vec"])
+        lists = orders(units, pivots, listed)[:, :files]
+        # the place in the sample's order that the share takes; a row that is in no file is never ranked
+        at = max(0, sample_files.n - max(math.ceil(share * sample_files.n), min(sample_files.n, 4 * k)))
+        least = np.array([np.partition(sample_files.nearness(q), at)[at] for q in lists])
+        sent = spark.sparkContext.broadcast((rows["vec_id"].to_numpy(), units, lists, least, pivots))
 
         def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            names, asking, places = sent.value
-            for batch in batches:
-                ids, own, lists = _arrays(batch)
-                c = min(len(ids), max(4 * k, math.ceil(share * len(ids))))
-                for at in range(0, len(names), max(1, 2_000_000 // len(ids))):
-                    part = slice(at, at + max(1, 2_000_000 // len(ids)))
-                    far = footrule_order(places[part], lists)
-                    near = np.argpartition(far, c - 1, axis=1)[:, :c]
-                    cosine = np.stack([own[x] @ q for x, q in zip(near, asking[part])]).astype(np.float64)
-                    cosine[ids[near] == names[part][:, None]] = -2
-                    order = np.lexsort((ids[near], -cosine), axis=1)[:, :k]
-                    a = np.repeat(names[part], order.shape[1])
-                    b, cosine = np.take_along_axis(ids[near], order, 1).ravel(), np.take_along_axis(cosine, order, 1).ravel()
-                    yield pd.DataFrame({"a": a, "b": b, "cosine": cosine})[cosine > -2]
-
-        found = found.unionByName(entries.select("vec_id", "unit", "pivots").mapInPandas(scan, out))
+            names, asking, places, least, pivots = sent.value
+            for ids, own in _shards(batches):
+                own_files, parts = Files(orders(own, pivots, listed), len(pivots)), []
+                for q in range(len(names)):
+                    near = own_files.nearness(places[q])
+                    x = np.flatnonzero((near >= max(least[q], 1)) & (ids != names[q]))
+                    parts.append(_best(names, ids, np.full(len(x), q), x, (own[x] @ asking[q]).round(9), k))
+                yield pd.DataFrame(dict(zip(("a", "b", "cosine"), map(np.concatenate, zip(*parts)))))
+
+        found = found.unionByName(vectors.mapInPandas(scan, out))
+    found = found.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     order = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select(F.col("a").alias("vec_id"), F.col("b").alias("neighbour"), "cosine", "rank")
+
+
+def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and directions of up to ``SHARD_ROWS`` rows, or a batch if that is more."""
+    kept: list[pd.DataFrame] = []
+    for batch in batches:
+        if kept and sum(map(len, kept)) + len(batch) > SHARD_ROWS:
+            yield _shard(kept)
+            kept = []
+        kept.append(batch)
+    if kept and sum(map(len, kept)):
+        yield _shard(kept)
+
+
+def _shard(parts: list[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray]:
+    rows = pd.concat(parts)
+    return rows["vec_id"].to_numpy(), _matrix(rows["vec"])
