@@ -1,9 +1,9 @@
 """The most similar vectors of every vector, by a permutation index.
 
 A vector is represented by its nearest pivots in order. It is posted in the inverted
-file of each of its first pivots; what shares a file is ranked by the footrule distance of the two
-orders, and what is near enough by it is ranked again by the exact cosine. Only the orders and a few
-bytes of signs are posted; vectors are fetched for the pairs that are left.
+file of each of its first pivots; what shares a file, and is not far apart by some bytes of signs, is ranked by the
+footrule distance of the two orders, and what is near enough by it is ranked again by the exact cosine. Only the
+orders and the signs are posted; vectors are fetched for the pairs that are left.
 
 ``neighbours`` finds for every vector those above a cosine; where vectors crowd, so that a file
 holds more than a short list of near ones, the vector asks instead every cell of a pivot
@@ -27,8 +27,8 @@ from graphloom.tables import materialise, small
 
 PIVOTS_PER_ROOT, LISTED, POSTED = 2.0, 16, 6
 CLOSE = 0.85
-SIGNS = 192  # bits; at the cosine asked for, less than one pair in 100,000 differs in more of them than is let through
-SHORT = 64  # a vector with more near ones than this in one file asks all cells in reach
+SIGNS = 192  # bits; of pairs just at the cosine asked for, about one in 10,000 differs in more of them than is let through
+SHORT = 256  # a vector with more near ones than this in one file asks all cells in reach
 REGION = 16  # cells that are asked together
 FILE_ROWS = 10_000  # of either side, that one task compares
 SAMPLE = 1_000  # vectors from which it is read how near by footrule a vector at the cosine asked for is
@@ -84,28 +84,38 @@ def _signs(rows: np.ndarray) -> np.ndarray:
     return np.packbits(rows.astype(np.float32) @ planes > 0, axis=1)
 
 
-def most_signs(least: float) -> int:
-    """How many signs of two vectors with that cosine differ at most."""
+def most_signs(least: float, bits: int = SIGNS) -> int:
+    """How many of some signs of two vectors with that cosine differ at most."""
     p = math.acos(min(1.0, max(-1.0, least))) / math.pi
-    return math.ceil(SIGNS * p + 4.5 * math.sqrt(SIGNS * p * (1 - p)))
+    return math.ceil(bits * p + 4 * math.sqrt(bits * p * (1 - p)))
 
 
-def nearness(asking: np.ndarray, lists: np.ndarray) -> np.ndarray:
-    """What two ordered lists have in common: ``listed * (listed + 1)`` less twice this is their footrule distance.
+def alike(asking: np.ndarray, held: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows whose signs differ as little as at that cosine; two words in three are enough to leave most pairs out."""
+    first, most = most_signs(least, 128), most_signs(least)
+    out_q, out_x = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i in range(0, len(asking), 64):  # blocks that stay in the processor's cache
+        part = asking[i : i + 64]
+        differ = np.bitwise_count(part[:, :1] ^ held[:, 0])
+        differ += np.bitwise_count(part[:, 1:2] ^ held[:, 1])
+        at = np.flatnonzero(differ.ravel() <= first)
+        q, x = at // len(held), at % len(held)
+        keep = np.bitwise_count(part[q] ^ held[x]).sum(1) <= most
+        out_q.append(q[keep] + i)
+        out_x.append(x[keep])
+    return np.concatenate(out_q), np.concatenate(out_x)
 
-    A pivot that is not listed counts as one place after the last. A row for each list, a column for each asking one.
+
+def nearness(a: np.ndarray, b: np.ndarray, pivots: int) -> np.ndarray:
+    """What two ordered lists have in common, row by row: ``listed * (listed + 1)`` less twice this is their footrule distance.
+
+    A pivot that is not listed counts as one place after the last.
     """
-    listed = lists.shape[1]
-    kind = np.uint8 if listed * (listed + 1) // 2 < 256 else np.uint16
-    names = np.unique(asking)
-    weights = np.zeros((len(names) + 1, len(asking)), dtype=kind)  # the last row is for pivots that nobody asks for
-    weights[np.searchsorted(names, asking), np.arange(len(asking))[:, None]] = np.arange(listed, 0, -1, dtype=kind)
-    at = np.minimum(np.searchsorted(names, lists), len(names) - 1)
-    codes = np.where(names[at] == lists, at, len(names))
-    total, part = np.zeros((len(lists), len(asking)), dtype=kind), np.empty((len(lists), len(asking)), dtype=kind)
-    for j in range(listed):
-        np.take(weights, codes[:, j], axis=0, out=part, mode="clip")
-        total += np.minimum(part, kind(listed - j), out=part)
+    listed, total = a.shape[1], np.zeros(len(a), dtype=np.int32)
+    for i in range(0, len(a), step := max(1, 4_000_000 // pivots)):
+        left = np.zeros((len(a[i : i + step]), pivots), dtype=np.int16)
+        np.put_along_axis(left, a[i : i + step], np.broadcast_to(np.arange(listed, 0, -1, dtype=np.int16), left[:, :listed].shape), 1)
+        total[i : i + step] = np.minimum(np.take_along_axis(left, b[i : i + step], 1), np.arange(listed, 0, -1, dtype=np.int16)).sum(1)
     return total
 
 
@@ -117,9 +127,7 @@ def least_nearness(sample: np.ndarray, pivots: np.ndarray, listed: int, least: f
     norm = np.linalg.norm(off, axis=1, keepdims=True)
     other = least * sample + math.sqrt(1 - least**2) * off / np.where(norm > 0, norm, 1)
     a, b = orders(sample, pivots, listed), orders(other, pivots, listed)
-    same = a[:, :, None] == b[:, None, :]
-    left = np.arange(listed, 0, -1)
-    return int(np.quantile((same * np.minimum(left[:, None], left[None, :])).sum((1, 2)), 0.01))
+    return int(np.quantile(nearness(a, b, len(pivots)), 0.01))
 
 
 def permutations(vectors: DataFrame, pivots: np.ndarray, listed: int, posted: int) -> DataFrame:
@@ -195,9 +203,10 @@ def in_parts(rows: DataFrame, file: str, file_rows: int | None = None) -> DataFr
     return rows.withColumns(own).drop("a", "h", "u", "w")
 
 
-def _shortlists(entries: DataFrame, listed: int, kind: str, common: int, signs: int, short: int) -> DataFrame:
+def _shortlists(entries: DataFrame, listed: int, pivots: int, common: int, least: float, short: int) -> DataFrame:
     """``(a, b, crowded)``: pairs that share a file and are near by footrule, and crowded entries, with more than a short list in a file, as a pair of their own."""
     posts = entries.select("vec_id", "code", F.explode("posted").alias("pivot"), F.lit(True).alias("asks"), F.lit(True).alias("held"))
+    kind = _code_type(pivots)
     width = np.dtype(kind).itemsize * listed
 
     def search(file: pd.DataFrame) -> pd.DataFrame:
@@ -206,17 +215,18 @@ def _shortlists(entries: DataFrame, listed: int, kind: str, common: int, signs:
         sides = np.ascontiguousarray(codes[:, width:]).view(np.uint64)
         asks, held = np.flatnonzero(file["asks"].to_numpy()), np.flatnonzero(file["held"].to_numpy())
         out_a, out_b, crowded = [], [], []
-        step = max(1, 4_000_000 // max(1, len(held)))
+        local = np.unique(lists, return_inverse=True)[1].reshape(lists.shape)
+        step = max(1, 1_000_000 // max(1, len(held)))
         for i in range(0, len(asks) if len(held) else 0, step):
             own = asks[i : i + step]
-            near = nearness(lists[own], lists[held])
-            x, q = np.nonzero(near >= common)
-            keep = (np.bitwise_count(sides[own[q]] ^ sides[held[x]]).sum(1) <= signs) & (ids[own[q]] != ids[held[x]])
-            x, q = x[keep], q[keep]
+            q, x = alike(sides[own], sides[held], least)
+            near = nearness(local[own[q]], local[held[x]], int(local.max()) + 1)
+            keep = (near >= common) & (ids[own[q]] != ids[held[x]])
+            q, x, near = q[keep], x[keep], near[keep]
             many = np.bincount(q, minlength=len(own)) > short
             if many.any():
                 crowded.append(ids[own[many]])
-                a, b, _ = _best(ids[own], ids[held], q, x, near[x, q].astype(np.float64), short)
+                a, b, _ = _best(ids[own], ids[held], q, x, near.astype(np.float64), short)
             else:
                 a, b = ids[own[q]], ids[held[x]]
             out_a.append(np.minimum(a, b))
@@ -309,7 +319,7 @@ def neighbours(df: DataFrame, k: int = 5, least: float = CLOSE, key: str = "vec_
 def _close_ones(vectors: DataFrame, n: int, k: int, least: float, short: int) -> DataFrame:
     pivots, sample = choose_pivots(vectors, max(8, math.ceil(PIVOTS_PER_ROOT * math.sqrt(n))))
     listed = min(LISTED, len(pivots))
-    common, kind = least_nearness(sample, pivots, listed, least), _code_type(len(pivots))
+    common = least_nearness(sample, pivots, listed, least)
     entries = materialise(permutations(vectors, pivots, listed, POSTED), "permutations")
     # of each direction: the entry with the smallest id, and the k + 1 smallest ids of its copies
     order = Window.partitionBy("digest").orderBy("vec_id")
@@ -320,7 +330,7 @@ def _close_ones(vectors: DataFrame, n: int, k: int, least: float, short: int) ->
 
     spare = entries.select("vec_id", "digest").join(copied.select("digest", "entry"), "digest").filter("vec_id <> entry").select("vec_id", "digest")
     kept = entries.join(spare, ["vec_id", "digest"], "left_anti")
-    found = materialise(_shortlists(kept, listed, kind, common, most_signs(least), short), "shortlists")
+    found = materialise(_shortlists(kept, listed, len(pivots), common, least, short), "shortlists")
     near = _cosines(found.filter("not crowded").select("a", "b").distinct(), vectors)
     crowd = found.filter("crowded").select(F.col("a").alias("vec_id")).distinct()
     both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")

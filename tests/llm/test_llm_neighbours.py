@@ -118,9 +118,18 @@ def test_odd_vectors_take_no_part(spark):
 def test_footrule_by_definition():
     rng = np.random.default_rng(3)
     lists = np.array([rng.permutation(12)[:5] for _ in range(40)])
-    got, place = nb.nearness(lists[:7], lists), [{p: r for r, p in enumerate(x)} for x in lists]
+    place = [{p: r for r, p in enumerate(x)} for x in lists]
     files = nb.Files(lists, 12)
     for i in range(7):
         full = [sum(abs(place[i].get(p, 5) - x.get(p, 5)) for p in range(12)) for x in place]
-        assert [5 * 6 - 2 * int(g) for g in got[:, i]] == full
-        assert files.nearness(lists[i]).tolist() == got[:, i].tolist()
+        got = nb.nearness(np.repeat(lists[i : i + 1], 40, 0), lists, 12)
+        assert [5 * 6 - 2 * int(g) for g in got] == full
+        assert files.nearness(lists[i]).tolist() == got.tolist()
+
+
+def test_alike_by_definition():
+    sides = np.ascontiguousarray(nb._signs(clustered(300))).view(np.uint64)
+    q, x = nb.alike(sides[:100], sides, 0.85)
+    differ = np.bitwise_count(sides[:100, None] ^ sides[None]).sum(2)
+    want = set(zip(*np.nonzero(differ <= nb.most_signs(0.85))))
+    assert set(zip(q, x)) <= want and len(q) >= 0.99 * len(want)
