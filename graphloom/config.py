@@ -3,6 +3,23 @@
 from dataclasses import dataclass
 
 
+@dataclass(frozen=True)
+class Service:
+    """Where answers come from: ``kind`` is ``rule``, ``replay``, ``http`` or ``http-async``.
+
+    The key of an HTTP service is in the environment variable ``key_variable`` of the workers, if it needs one.
+    """
+
+    kind: str = "rule"
+    url: str = "http://localhost:11434/v1/chat/completions"
+    model: str = ""
+    key_variable: str = "MODEL_API_KEY"
+    temperature: float = 0.0
+    max_tokens: int = 2048
+    timeout_s: float = 120.0
+    width: int = 8
+
+
 @dataclass(frozen=True)
 class Config:
     """Limits and thresholds of graph construction; one instance per run.
@@ -25,3 +42,4 @@ class Config:
     model_delay_s: float = 5.0
     sample_min_chars: int = 2000
     sample_articles: int = 5
+    service: Service = Service()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 
 import pandas as pd
@@ -34,21 +35,47 @@ def parse(raw: str | None, kind: str | None = None):
     for candidate in tries:
         try:
             value = json.loads(candidate)
-        except ValueError:
+        except (ValueError, RecursionError):  # nested deeper than can be read is no answer either
             continue
         return value if kind is None or isinstance(value, KINDS[kind]) else None
     return None
 
 
+def finite(value):
+    """``value`` with null for the numbers that JSON has no text for."""
+    if isinstance(value, float):
+        return value if math.isfinite(value) else None
+    if isinstance(value, list):
+        return [finite(v) for v in value]
+    return {k: finite(v) for k, v in value.items()} if isinstance(value, dict) else value
+
+
+def strict(raw: str | None, kind: str) -> str | None:
+    """The value of the wanted kind as strict JSON text, else None."""
+    value = parse(raw, kind)
+    if value is None:
+        return None
+    try:
+        return json.dumps(finite(value), ensure_ascii=False)
+    except RecursionError:
+        return None
+
+
 def parsed(raw: Column, kind: str) -> Column:
-    """The value of the wanted kind as strict JSON text, else null."""
+    """The value of the wanted kind as strict JSON text, else null.
+
+    An answer that is strict JSON once its fence is off stays in the JVM; only the others are sent to
+    Python. The parser reads no further than the end of a value, so the text is parsed as the only element of a list.
+    """
 
     @F.pandas_udf("string")
-    def text(answers: pd.Series) -> pd.Series:
-        values = (parse(a, kind) for a in answers)
-        return pd.Series([None if v is None else json.dumps(v, ensure_ascii=False) for v in values], dtype=object)
+    def python(answers: pd.Series) -> pd.Series:
+        return pd.Series([strict(a, kind) for a in answers], dtype=object)
 
-    return text(raw)
+    text = unfenced(raw)
+    alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).cast("array<variant>")
+    good = F.coalesce((F.size(alone) == 1) & text.startswith("[" if kind == "list" else "{"), F.lit(False))
+    return F.when(good, text).otherwise(python(F.when(~good, raw)))
 
 
 def repaired(raw: Column) -> Column:

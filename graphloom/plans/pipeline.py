@@ -2,19 +2,36 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.config import Config
 from graphloom.functions import prompts as P
 from graphloom.functions.vectors import embedder
 from graphloom.operators import chunking, concepts, graph, resolution, similarity, triples
-from graphloom.plans.backends import Backend, ask
+from graphloom.plans.backends import Backend, Store, ask
 from graphloom.tables import materialise
 
 
+class Asking:
+    """Puts prompts to a backend and remembers whose calls failed, in any step."""
+
+    def __init__(self, backend: Backend, store: Store | None = None):
+        self.backend, self.store, self._failed = backend, store, []
+
+    def __call__(self, rows: DataFrame, step: str, user: Column) -> DataFrame:
+        answers = ask(rows, step, P.SYSTEM[step], user, self.backend, self.store)
+        self._failed.append(answers.filter("error is not null").select("doc_id", F.concat(F.lit(f"{step}: "), "error").alias("error")))
+        return answers
+
+    def failed(self) -> DataFrame:
+        """``(doc_id, error)`` of every article with a failed call so far, with one of its errors."""
+        return functools.reduce(DataFrame.unionByName, self._failed).groupBy("doc_id").agg(F.min("error").alias("error"))
+
+
 @dataclass(frozen=True)
 class Graphs:
     """The tables of a run; ``status`` has one row for every record."""
@@ -41,7 +58,7 @@ def _list(rows: DataFrame, keys: list[str], item, name: str, order: str) -> Data
     return got.select(*keys, F.col("l.item").alias(name))
 
 
-def resolve_entities(facts: DataFrame, titles: DataFrame, backend: Backend, cfg: Config, embed) -> DataFrame:
+def resolve_entities(facts: DataFrame, titles: DataFrame, ask: Asking, cfg: Config, embed) -> DataFrame:
     """``(doc_id, variant, canonical)`` for the subjects of each article."""
     ordered = materialise(triples.entity_order(facts), "entity-order")
     seen = materialise(triples.context_lists(facts, cfg.context_triples), "entity-context")
@@ -53,20 +70,20 @@ def resolve_entities(facts: DataFrame, titles: DataFrame, backend: Backend, cfg:
     found = found.join(seen.select("doc_id", F.col("name").alias("candidate"), "context"), ["doc_id", "candidate"], "left")
     listed = _list(found, ["doc_id", "target"], F.struct(F.col("candidate").alias("name"), "context"), "candidates", "rank")
     listed = listed.join(seen.select("doc_id", F.col("name").alias("target"), "context"), ["doc_id", "target"], "left").join(titles, "doc_id", "left")
-    answers = ask(listed, "entities", P.SYSTEM["entities"], P.same_entity(F.col("article_title"), F.col("target"), F.col("context"), F.col("candidates")), backend)
+    answers = ask(listed, "entities", P.same_entity(F.col("article_title"), F.col("target"), F.col("context"), F.col("candidates")))
     return resolution.entity_map(ordered, resolution.decisions(answers))
 
 
-def define_relations(facts: DataFrame, titles: DataFrame, backend: Backend, cfg: Config) -> DataFrame:
+def define_relations(facts: DataFrame, titles: DataFrame, ask: Asking, cfg: Config) -> DataFrame:
     """``(doc_id, relation, definition, ord)`` of the relations that got one."""
     used = triples.batches(triples.relation_examples(facts), cfg.definition_batch)
     item = F.struct("relation", F.struct("subject", "relation", "object").alias("example"))
     listed = _list(used, ["doc_id", "batch"], item, "asked", "ord").join(titles, "doc_id", "left")
-    answers = ask(listed, "definitions", P.SYSTEM["definitions"], P.define(F.col("article_title"), F.col("asked")), backend)
+    answers = ask(listed, "definitions", P.define(F.col("article_title"), F.col("asked")))
     return concepts.definitions(answers, used.select("doc_id", "batch", "ord", "relation"))
 
 
-def canonicalize_relations(facts: DataFrame, defined: DataFrame, titles: DataFrame, backend: Backend, cfg: Config, embed) -> DataFrame:
+def canonicalize_relations(facts: DataFrame, defined: DataFrame, titles: DataFrame, ask: Asking, cfg: Config, embed) -> DataFrame:
     """``(doc_id, variant, canonical)`` for the defined relations of each article."""
     ordered = materialise(triples.relation_order(facts, defined), "relation-order")
     examples = triples.relation_examples(facts)
@@ -78,58 +95,62 @@ def canonicalize_relations(facts: DataFrame, defined: DataFrame, titles: DataFra
     listed = _list(found, ["doc_id", "target"], F.struct(F.col("candidate").alias("name"), "definition", "example"), "candidates", "rank")
     listed = listed.join(about.withColumnRenamed("relation", "target"), ["doc_id", "target"]).join(titles, "doc_id", "left")
     text = P.same_relation(F.col("article_title"), F.col("target"), F.col("definition"), F.col("example"), F.col("candidates"))
-    answers = ask(listed, "relations", P.SYSTEM["relations"], text, backend)
+    answers = ask(listed, "relations", text)
     groups = materialise(resolution.relation_groups(ordered, resolution.decisions(answers)), "relation-groups")
 
     single = triples.batches(groups.filter("ord is not null").select("doc_id", F.col("variant").alias("relation"), "ord"), cfg.singleton_batch)
     shown = _list(_example(single, examples), ["doc_id", "batch"], F.struct("relation", "example"), "asked", "ord").join(titles, "doc_id", "left")
-    short = ask(shown, "singletons", P.SYSTEM["singletons"], P.shorten(F.col("article_title"), F.col("asked")), backend)
+    short = ask(shown, "singletons", P.shorten(F.col("article_title"), F.col("asked")))
     short = concepts.definitions(short, single).select("doc_id", "relation", F.col("definition").alias("short"))
     return resolution.relation_map(ordered, groups, short)
 
 
-def induce_schema(facts: DataFrame, defined: DataFrame, titles: DataFrame, backend: Backend, cfg: Config) -> tuple[DataFrame, DataFrame]:
+def induce_schema(facts: DataFrame, defined: DataFrame, titles: DataFrame, ask: Asking, cfg: Config) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, name, concepts)`` of the entities, and of the relations as they were defined."""
     ordered = triples.batches(triples.entity_order(facts), cfg.concept_batch)
     rows = ordered.join(triples.context_lists(facts, cfg.context_triples), ["doc_id", "name"], "left")
     listed = _list(rows, ["doc_id", "batch"], F.struct("name", "context"), "asked", "ord").join(titles, "doc_id", "left")
-    answers = ask(listed, "entity_concepts", P.SYSTEM["entity_concepts"], P.entity_kinds(F.col("article_title"), F.col("asked")), backend)
+    answers = ask(listed, "entity_concepts", P.entity_kinds(F.col("article_title"), F.col("asked")))
     entities = concepts.concepts(answers, ordered, "name")
 
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1
     asked = triples.batches(defined.withColumn("ord", place), cfg.concept_batch)
     rows = _example(asked, triples.relation_examples(facts))
     listed = _list(rows, ["doc_id", "batch"], F.struct("relation", "definition", "example"), "asked", "ord").join(titles, "doc_id", "left")
-    answers = ask(listed, "relation_concepts", P.SYSTEM["relation_concepts"], P.relation_kinds(F.col("article_title"), F.col("asked")), backend)
+    answers = ask(listed, "relation_concepts", P.relation_kinds(F.col("article_title"), F.col("asked")))
     return entities, concepts.concepts(answers, asked, "relation")
 
 
-def build_graphs(records: DataFrame, backend: Backend, cfg: Config = Config(), strategy: str = "sections", embed=None) -> Graphs:
+def build_graphs(records: DataFrame, backend: Backend, cfg: Config = Config(), strategy: str = "sections", embed=None, store: Store | None = None) -> Graphs:
     """Graphs of ``(doc_id, title, text)`` records.
 
-    A record without chunks, or with a failed call while its triples were extracted, is
-    ``failed`` in ``status`` with its error, and the others are not affected. An article with two
-    records is an error of its own: keys must be unique and not null.
+    A record without chunks, or with a call that failed in any step, is ``failed`` in ``status`` with its
+    error and in no other table but ``chunks``; the others are not affected. An article with two
+    records is an error of its own: keys must be unique and not null. With ``store`` answers are kept, and
+    a run after a failure asks only what was not answered.
     """
-    embed = embed or embedder()
+    embed, ask = embed or embedder(), Asking(backend, store)
     repeated = records.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
     if not repeated.isEmpty():
         raise ValueError("records need a doc_id that is unique and not null")
     chunks = materialise(chunking.chunk(records, cfg, strategy), "chunks")
     titles = materialise(chunks.groupBy("doc_id").agg(F.min_by("article_title", "chunk_index").alias("article_title")), "titles")
 
-    answers = ask(chunks, "extract", P.SYSTEM["extract"], P.extract(F.col("article_title"), F.col("section_path"), F.col("chunk_text")), backend)
-    failed = materialise(answers.filter("error is not null").groupBy("doc_id").agg(F.min("error").alias("error")), "failed")
-    raw = triples.answered_triples(answers.join(failed, "doc_id", "left_anti"))
+    answers = ask(chunks, "extract", P.extract(F.col("article_title"), F.col("section_path"), F.col("chunk_text")))
+    # an article that failed asks nothing more
+    raw = triples.answered_triples(answers.join(ask.failed(), "doc_id", "left_anti"))
     facts = materialise(triples.dedup(raw), "triples")
 
-    entity_map = materialise(resolve_entities(facts, titles, backend, cfg, embed), "entity-map")
+    entity_map = materialise(resolve_entities(facts, titles, ask, cfg, embed), "entity-map")
     facts = materialise(resolution.apply_map(facts, entity_map, "subject", "object"), "resolved")
-    defined = materialise(define_relations(facts, titles, backend, cfg), "definitions")
-    relation_map = materialise(canonicalize_relations(facts, defined, titles, backend, cfg, embed), "relation-map")
+    defined = materialise(define_relations(facts, titles, ask, cfg), "definitions")
+    relation_map = materialise(canonicalize_relations(facts, defined, titles, ask, cfg, embed), "relation-map")
     facts = materialise(resolution.apply_map(facts, relation_map, "relation"), "canonical")
-    entity_concepts, relation_concepts = induce_schema(facts, defined, titles, backend, cfg)
+    entity_concepts, relation_concepts = induce_schema(facts, defined, titles, ask, cfg)
 
+    failed = materialise(ask.failed(), "failed")
+    whole = lambda rows: rows.join(failed, "doc_id", "left_anti")
+    facts, entity_map, relation_map = whole(facts), whole(entity_map), whole(relation_map)
     nodes = materialise(graph.nodes(facts, entity_concepts), "nodes")
     relations = materialise(graph.relations(facts, defined, relation_concepts), "relations")
     documents = graph.document(titles, facts, nodes, relations, entity_map, relation_map)

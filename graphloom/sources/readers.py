@@ -53,6 +53,14 @@ def graphs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     return spark.read.schema(GRAPH).option("multiLine", not lines).json(path)
 
 
+def graph_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Graphs of JSON files with their ``file``, and ``(file, value)`` of the files that hold none; a broken file stops no other."""
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    good = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
+    rows = rows.withColumns({"good": good, "g": F.from_json("value", GRAPH)})
+    return rows.filter("good and g.triples is not null").select("file", "g.*"), rows.filter("not good or g.triples is null").select("file", "value")
+
+
 def progress(spark: SparkSession, path: str) -> DataFrame:
     """``key`` of every record that is done; nothing is done where nothing was written."""
     try:

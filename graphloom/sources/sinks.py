@@ -14,11 +14,33 @@ def write_json_lines(documents: DataFrame, path: str, mode: str = "append") -> N
     documents.write.mode(mode).json(path)
 
 
+def append_graphs(documents: DataFrame, path: str) -> None:
+    """Appends graphs, one a line, each with the ``key`` of its record.
+
+    The lines are the progress as well (``readers.progress`` reads them): a graph and the note that it
+    is done are one write, so that a run that breaks off leaves neither without the other.
+    """
+    rows = documents.withColumn("key", F.col("doc_id").cast("string")).drop("doc_id")
+    write_json_lines(rows.filter("key is not null"), path)
+
+
 def write_json_files(documents: DataFrame, path: str) -> None:
-    """One folder a document, named after its title; a later document of the same title replaces the earlier one."""
+    """One file a document, named after its title; a later document of the same title replaces the earlier one.
+
+    The files are written by the tasks and then renamed; for people and small exports, the tables are what scales.
+    """
+    spark = documents.sparkSession
     named = documents.withColumn("file", file_name(F.coalesce("article_title", F.lit(""))))
     last = named.groupBy("file").agg(F.max_by(F.to_json(F.struct(*documents.columns)), "doc_id").alias("value"))
     last.write.mode("overwrite").partitionBy("file").text(path)
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for part in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/file=*/part-*")) or []:
+        parent = part.getPath().getParent()
+        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(parent.getName().removeprefix("file="))
+        fs.rename(part.getPath(), jvm.org.apache.hadoop.fs.Path(folder, name))
+        fs.delete(parent, True)
 
 
 def write_tables(documents_path: str, **tables: DataFrame) -> None:

@@ -61,6 +61,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What a parquet folder holds, or no rows where nothing was written yet."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
 def forget(spark: SparkSession) -> None:
     """Deletes what ``materialise`` wrote in this process; DataFrames that read it can no longer be evaluated."""
     while _WRITTEN:

@@ -3,10 +3,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.config import Config
+from graphloom.config import Config, Service
 from graphloom.functions import prompts
 from graphloom.operators.chunking import chunk
-from graphloom.plans.backends import AsyncBackend, CallableBackend, ReplayBackend, RuleBackend, ask, prompt_key
+from graphloom.plans.backends import AsyncBackend, CallableBackend, ReplayBackend, RuleBackend, Store, ask, backend, chat, prompt_key
 from graphloom.plans.pipeline import build_graphs
 from graphloom.plans.queries import rule_answers
 from graphloom.sources import readers, sinks
@@ -66,6 +66,89 @@ def test_a_failed_call_fails_its_article_only(spark):
     assert got == {"a": "success", "c": "failed"}
 
 
+ALIKE = Config(max_tokens=20, min_tokens=3, entity_threshold=0.5, relation_threshold=0.5)
+
+
+def replies(down=False, asked=None):
+    """Answers of every step by shape; with ``down``, the calls of an article fail in the step that its title names."""
+    import re
+
+    steps = {v: k for k, v in prompts.SYSTEM.items()}
+
+    def call(system, user):
+        step, title = steps[system], re.match("Article: (.*)", user)[1]
+        if asked is not None:
+            asked.add(1)
+        if down and step == title:
+            raise RuntimeError("down")
+        names = list(dict.fromkeys(re.findall(r'(?m)^(?:- |[A-Z]\. )?"([^"\n]*)"', user)))
+        if step == "extract":
+            facts = [("Ann Smith", "likes to see", "tower"), ("Ann Smith", "likes to seek", "mill"), ("Ann Smithe", "owns", "mill")]
+            return json.dumps([dict(zip(("subject", "relation", "object"), f)) for f in facts])
+        if step in ("entities", "relations"):
+            return json.dumps({"matches": names, "canonical_name": re.search(r'(?:Name|Relation): "([^"\n]*)"', user)[1]})
+        return json.dumps({n: [n, "thing"] if "concepts" in step else f"{n}." for n in names})
+
+    return call
+
+
+def test_a_failed_call_in_any_step_fails_its_article_only(spark, tmp_path):
+    records = spark.createDataFrame([(t, t, TEXT) for t in ("fine", *prompts.SYSTEM)], RECORDS)
+    store, asked = Store(str(tmp_path / "answers")), spark.sparkContext.accumulator(0)
+    got = build_graphs(records, CallableBackend(replies(down=True), 1, 0), ALIKE, store=store)
+    status = {r["doc_id"]: (r["status"], r["error"]) for r in got.status.collect()}
+    assert status == {"fine": ("success", None)} | {s: ("failed", f"{s}: RuntimeError: down") for s in prompts.SYSTEM}
+    for rows in (got.triples, got.nodes, got.relations, got.entity_map, got.relation_map, got.documents):
+        assert {r["doc_id"] for r in rows.select("doc_id").collect()} == {"fine"}
+    assert got.entity_map.filter("variant <> canonical").count() == 1 and got.relation_map.filter("variant <> canonical").count() >= 1
+    before = store.read(spark).count()
+    again = build_graphs(records, CallableBackend(replies(asked=asked), 1, 0), ALIKE, store=store)
+    assert {r["status"] for r in again.status.collect()} == {"success"}
+    assert 0 < asked.value == store.read(spark).count() - before  # only what was not answered
+
+
+def test_backends_by_name(spark, tmp_path):
+    assert isinstance(backend(spark, Config(), rule=rule_answers), RuleBackend)
+    assert type(backend(spark, Config(service=Service("http")))) is CallableBackend
+    assert isinstance(backend(spark, Config(service=Service("http-async"))), AsyncBackend)
+    spark.createDataFrame([("k", "r")], "key string, response string").write.parquet(str(tmp_path / "a"))
+    assert isinstance(backend(spark, Config(service=Service("replay")), str(tmp_path / "a")), ReplayBackend)
+    with pytest.raises(ValueError, match="no backend"):
+        backend(spark, Config(service=Service("x")))
+
+
+def test_http_service():
+    import http.server
+    import threading
+
+    class Service_(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            got = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            text = "|".join(m["content"] for m in got["messages"]) + f"|{got['model']}|{got['temperature']}"
+            body = json.dumps({"choices": [{"message": {"content": text}}]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Service_)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    call = chat(Service("http", f"http://127.0.0.1:{server.server_port}/", "m"))
+    assert call("s", "u") == "s|u|m|0.0"
+    server.shutdown()
+
+
+def test_broken_graph_files_stop_no_other(spark, built, tmp_path):
+    sinks.write_json_files(built.documents, str(tmp_path / "g"))
+    assert sorted(p.name for p in (tmp_path / "g").iterdir() if p.suffix == ".json") == ["A.json", "C.json"]
+    (tmp_path / "g" / "bad.json").write_text('{"article_title": ')
+    good, broken = readers.graph_files(spark, str(tmp_path / "g/*.json"))
+    assert sorted(r["article_title"] for r in good.collect()) == ["A", "C"]
+    assert [r["file"] for r in broken.collect()] == ["bad.json"]
+
+
 def test_keys_must_be_unique(spark):
     for rows in ([("a", "A", TEXT)] * 2, [(None, "A", TEXT)]):
         with pytest.raises(ValueError, match="unique"):
@@ -119,7 +202,7 @@ def test_graph_round_trip(spark, built, tmp_path):
     assert sorted(r["article_title"] for r in got.collect()) == ["A", "C"]
     assert got.filter("article_title = 'A'").select("triples").head() == built.documents.filter("doc_id = 'a'").select("triples").head()
     sinks.write_json_files(built.documents, files)
-    assert readers.graphs(spark, f"{files}/*").count() == 2
+    assert readers.graphs(spark, f"{files}/*.json").count() == 2
     sinks.write_property_graph(built.triples, built.nodes, built.relations, str(tmp_path / "pg"))
     ends = spark.read.parquet(str(tmp_path / "pg/edges")).select(F.explode(F.array("src", "dst")).alias("name")).distinct()
     assert ends.join(spark.read.parquet(str(tmp_path / "pg/nodes")), "name", "left_anti").count() == 0

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +62,20 @@ def test_json(spark, raw, kind, want):
     assert (got is None) == (want is None)
 
 
+def test_odd_answers_give_null_and_no_error(spark):
+    deep, nan = "[" * 100_000, '[{"a": NaN, "b": -Infinity, "c": [1e999]}]'
+    assert json_repair.parse(deep, "list") is None and one(spark, lambda c: json_repair.parsed(c, "list"), deep) is None
+    assert one(spark, lambda c: json_repair.parsed(c, "list"), "[" * 3000 + "]" * 3000) is None
+    assert json.loads(one(spark, lambda c: json_repair.parsed(c, "list"), nan)) == [{"a": None, "b": None, "c": [None]}]
+
+
+@pytest.mark.parametrize("raw", ['[{"a": "b"}]', "```json\n[1]\n```", "[1] [2]", "[1], [2]", "[]", '{"a": 1}', "[1] x"])
+def test_strict_answers_stay_in_the_jvm(spark, raw):
+    want = json_repair.parse(raw, "list")
+    got = one(spark, lambda c: json_repair.parsed(c, "list"), raw)
+    assert (None if got is None else json.loads(got)) == want
+
+
 def test_json_in_the_jvm(spark):
     assert one(spark, json_repair.repaired, '[1, , ]{"a": 2,\n}') == '[1]{"a": 2\n}'.replace("\n", "")
     assert one(spark, json_repair.block, 'so {"a": 1} it is') == '{"a": 1}'
