@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -72,14 +73,14 @@ def test_very_long_texts(spark):
     assert {r["doc_id"]: r["count"] for r in got}[1] == 50_000 and len(got) == 4
 
 
-def leaks_by_brute_force(docs, items, share=0.5, errors=0.1):
-    skip = dict(zip([i for i, _ in items], lk.instruction_units([t for _, t in items])))
+def leaks_by_brute_force(docs, items, line, share=0.5, errors=0.1):
+    skip = {i: len(lk.units(line)) if t.startswith(line) else 0 for i, t in items}
     found = set()
     for d, text in docs:
         words = lk.units(text)
         for i, item in items:
             want = lk.units(item)[skip[i] :]
-            for n in range(-(-len(want) // 2) or 1, len(want) + 1):
+            for n in range(max(1, math.ceil(share * len(want))), len(want) + 1):
                 if any(sum(a != b for a, b in zip(want[s : s + n], words[p : p + n])) <= int(errors * n + 1e-9) for s in range(len(want) - n + 1) for p in range(len(words) - n + 1)):
                     found.add((d, i))
                     break
@@ -101,8 +102,15 @@ def test_leaks_like_brute_force(spark):
         docs.append((d, " ".join([*random.choices(vocabulary, k=15), *part, *random.choices(vocabulary, k=15)]).upper()))
     docs += [(200, "前言汉字，测试文章！内容后记"), (201, "A tiny ONE here"), (202, "汉字")]
     D, I = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    want = leaks_by_brute_force(docs, [(i, t) for i, t in items if t])
+    texts = [(i, t) for i, t in items if t]
+    want = leaks_by_brute_force(docs, texts, line)
     assert {tuple(r) for r in lk.leaks(D, I).collect()} == want and len(want) > 50
+    assert {tuple(r) for r in lk.leaks(D, I, block=3).collect()} == want
+    # so many errors leave no shingle of five units whole: they are made shorter
+    want = leaks_by_brute_force(docs[:40], texts[:6], line, errors=0.25)
+    assert {tuple(r) for r in lk.leaks(D.filter("doc_id < 40"), I.filter("item_id < 6"), errors=0.25).collect()} == want and want
+    with pytest.raises(ValueError, match="errors"):
+        lk.leaks(D, I, errors=1)
     assert lk.leaks(D.limit(0), I).count() == 0 == lk.leaks(D, I.limit(0)).count()
 
 
@@ -116,4 +124,5 @@ def test_instructions_are_told_over_all_blocks(spark):
 def test_units():
     assert lk.units("L'Été @-@ 4 @,@ 312 Straße!") == ["l", "ete", "4", "312", "strasse"]
     assert lk.units("柏岚 No.5") == ["柏", "岚", "no", "5"] and lk.units(None) == []
-    assert lk.kept_shingles(20, 5, 0.5, 0.1) == 1
+    assert lk.kept_shingles(20, 5, 0.5, 0.1) == 1 and lk.kept_shingles(20, 5, 0.5, 0.2) == 0
+    assert lk.shingle_length(20, 0.5, 0.1) == 5 and lk.shingle_length(20, 0.5, 0.25) == 3 and lk.shingle_length(3, 0.5, 0.1) == 2
