@@ -17,27 +17,37 @@ ENDS = ".!?…。！？؟।॥"
 BLANKS = "".join(map(chr, (9, 11, 12, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)))
 LINE_ENDS = "".join(map(chr, (0x2028, 0x2029)))
 
-QUOTED = 1000  # how far before a closing mark without an opening one of its own ends are masked
-
-# Abbreviations after which a sentence goes on, by language.
+# Abbreviations after which a sentence goes on, by language. Chinese, Japanese and Thai have none that end in a full stop.
 ABBREVIATIONS = {
-    "en": "Dr Mr Mrs Ms Prof Rev Hon Gen Col Capt Lt Sgt Gov Sen Rep St Mt Ft Jr Sr No Nos vol vols pp cf vs fig figs ed eds approx sq viz ca al Intl Cttee Assn Coll Mus Jan Feb Aug Sept Oct Nov Dec",
-    "de": "Nr vgl bzw Abb Bd Str Hr Hrsg Jh geb gest evtl ggf inkl",
-    "fr": "Mme Mlle MM env av apr Mgr chap éd",
-    "es": "Sra Srta Dra Dña Ud Uds núm aprox pág págs ej Sta Sto Avda",
-    "ru": "гг тт стр рис им см тыс млн млрд ул проф акад доц напр табл обл",
-    "hi": "डॉ पृ श्री सं",
+    "en": (
+        "Dr Mr Mrs Ms Messrs Prof Rev Revd Hon Gen Col Maj Cmdr Adm Capt Lt Sgt Cpl Gov Sen Rep Pres Supt Msgr St Ste Mt Mts Ft Rd Ave Blvd Hwy Pkwy Jr Sr No Nos Vol Vols pp cf vs fig figs eq eqs "
+        "ed eds transl approx sq viz ca c al Intl Natl Cttee Assn Assoc Coll Univ Inst Dept Mus Acad Soc Hist Jan Feb Aug Sept Oct Nov Dec incl excl esp resp est temp tel ext"
+    ),
+    "de": "Nr Nrn vgl bzw Abb Abs Abg Abt Anm Aufl Bd Bde Bez Bhf Bsp Dipl Fr Frl Hr Hrn Hrsg hrsg Ing Jh Jhd Kap Lkr Mag Min Mio Mrd Nov Pfr Pol Reg Sekr Str Tab Univ Verf Vors dgl ebd etw evtl exkl geb gegr gest ggf ggfs inkl insb lfd sog spez urspr vorm zzgl zit",
+    "fr": "M Mme Mlle Mmes MM Me Mgr Pr av apr env chap éd coll fasc fig hab ill intr janv févr juill oct nov déc not p.ex réf St Ste vol",
+    "es": "Sr Sra Srta Sres Dr Dra Dña Ud Uds Vd Vds Lic Ing Arq Prof Gral Cnel Tte núm núms aprox pág págs ej Sta Sto Avda Dpto cap fig vol ene feb abr ago sept oct nov dic admón edo prov",
+    "ru": "гг вв тт стр рис им см ср тыс млн млрд трлн ул пер просп пл наб проф акад доц канд чл напр табл обл р-н гр гл изд ред св соч экз кв ок англ нем фр лат греч рус укр",
+    "hi": "डॉ प्रो पृ श्री सं क्र कि",
     "ar": "أ د ص",
 }
 # Abbreviations that often are the last word of a sentence.
-CLOSING = "Co Cía Cia Cie Ltd Inc Corp Bros etc usw руб др"
+CLOSING = "Co Cía Cia Cie Ltd Inc Corp Bros Esq etc usw usf ff uvm руб коп др пр"
 # The same, made of several parts, with the blanks that may stand in them.
-CLOSING_PARTS = (r"a\. ?m", r"p\. ?m", r"u\. ?a\. ?m", r"т\. ?д", r"т\. ?п", r"u\. ?s\. ?w")
-# Words that go on with a sentence after such an abbreviation, for texts in one letter case.
+CLOSING_PARTS = (r"a\. ?m", r"p\. ?m", r"u\. ?a\. ?m", r"u\. ?v\. ?m", r"т\. ?д", r"т\. ?п", r"u\. ?s\. ?w")
+# Function words that go on with a sentence after such an abbreviation, for texts in one letter case. Left out are
+# those that as often begin one: articles, pronouns, and what opens a statement of time or place (in, by, after, when).
 CONTINUATIONS = (
-    "and or on of at to with for from near beside despite though while much as who which "
-    "und oder seit trotz unweit wie sehr mit bei et ou avec depuis non au malgré près "
-    "y o desde cerca con como para pese и или в на а где как вопреки недалеко с"
+    # English
+    "and or but nor though although whereas unless than that which who whom whose as of at to from with without within for on onto "
+    "near beside behind below above under over between among against along across around about through towards despite except per via while much "
+    # German
+    "und oder aber denn sondern obwohl dass ob bei mit ohne vom von zu zum zur aus für gegen durch um an am auf über unter hinter neben zwischen seit trotz wegen unweit sowie wie sehr "
+    # French
+    "et ou mais ni car donc que qui dont où comme avec sans depuis chez sur sous entre vers par pour près malgré non de du des "
+    # Spanish
+    "y e o u pero ni sino que quien donde como con sin desde hasta según sobre bajo entre hacia para por cerca pese contra a al de del "
+    # Russian
+    "и или а но да что который где как чтобы с со без во на над под из от для при об о у ко за между около через вопреки недалеко"
 )
 # What follows a German ordinal.
 AFTER_ORDINAL = "Jahrhunderts? Jh Januar Februar März April Mai Juni Juli August September Oktober November Dezember"
@@ -55,6 +65,8 @@ def working_copy(text: Column) -> Column:
     """``text`` with plain blanks and line ends, quotation marks that are open or closed, and no placeholder; of equal length."""
     text = F.regexp_replace(text, r"\r(?!\n)", "\n")
     text = F.regexp_replace(text, r"„([^„“”\n]*(?:\n[^„“”\n]+)*)[“”]", f"{OPEN}$1{CLOSE}")  # this style opens with what closes elsewhere
+    turned = r"»(?<=(?:\A|[\s(\[„“])»)(?=[\p{L}\p{N}])([^«»\n]*(?:\n[^«»\n]+)*)«"  # and this one turns them round
+    text = F.regexp_replace(text, turned, f"{OPEN}$1{CLOSE}")
     taken, marks = MASK + MAYBE + CUT, "«“「『»”」』"
     to = " " * (1 + len(BLANKS)) + "\n" * len(LINE_ENDS) + "x" * len(taken) + OPEN * 4 + CLOSE * 4
     return F.translate(text, "\r" + BLANKS + LINE_ENDS + taken + marks, to)
@@ -112,11 +124,11 @@ def _abbreviations(b: Column, mixed: Column, linked: Column) -> Column:
         # spaced dots stand for something left out
         r"(?<=[ \n]\.)(?=\.)|(?<=[ \n]\.\.)|(?<=[ \n]\.\.\.)",
     )
-    url = r"(?<=(?:://|www\.)[^ \n]{0,300}\.)(?=[^ \n])"
-    stops = rf"{SHORT}(?:{'|'.join(inside)})"
-    b = F.regexp_replace(b, F.when(linked, rf"(?iu)\.(?:{stops}|{url})").otherwise(rf"(?iu)\.{stops}"), F.lit(MASK))
+    b = F.regexp_replace(b, rf"(?iu)\.{SHORT}(?:{'|'.join(inside)})", MASK)
+    # from the start of a link on, each match goes on where the last one ended
+    b = F.when(linked, F.regexp_replace(b, rf"((?:(?:://|www[.{MASK}])|(?!\A)\G)[^ \n.]*+)\.(?=[^ \n])", f"$1{MASK}")).otherwise(b)
     starts = rf"[ \n]*(?:\z|[\p{{Lu}}\p{{Lt}}\p{{Lo}}\p{{N}}¿¡—{OPEN}{CLOSE}]|\p{{Ll}}\p{{Lu}})"
-    goes_on = rf"(?iu)[ \n]*(?:{_words(CONTINUATIONS)})(?![\p{{L}}\p{{M}}])"
+    goes_on = rf"(?iu)[ \n]*(?:{_words(CONTINUATIONS)})(?![\p{{L}}\p{{M}}.{MASK}])"
     one_case = rf"(?=[ \n]*(?:\z|[\p{{L}}\p{{N}}¿¡—{OPEN}{CLOSE}]))(?!{goes_on})"
     return F.regexp_replace(b, F.when(mixed, f"{MAYBE}(?={starts})").otherwise(f"(?<![гГ]){MAYBE}{one_case}"), F.lit("."))
 
@@ -131,15 +143,19 @@ def _plain(b: Column, mixed: Column) -> Column:
 
 
 def _quoted(b: Column, mixed: Column) -> Column:
-    """The same, and masks ends inside quotations and before a reporting clause."""
-    inner = rf"(?![ \n]*{CLOSE})(?=[^{OPEN}{CLOSE}]{{0,{QUOTED}}}+{CLOSE})|{GOES_ON}"
-    b = F.regexp_replace(b, F.when(mixed, f"[{ENDS}](?:{inner}|{SMALL})").otherwise(f"[{ENDS}](?:{inner})"), F.lit(MASK))
-    opens = rf"{OPEN}(?<=(?:\A|\A[ \n]{{1,8}}|[{ENDS}]|[{ENDS}][ \n]?[{CLOSE})\]]|[{ENDS}][ \n]{{1,4}}|[{ENDS}][ \n]?[{CLOSE})\]][ \n]{{1,4}}){OPEN})"
-    report = rf"({opens}[^{OPEN}{CLOSE}]*)[!?！？؟。]([ \n]*{CLOSE})(?![ \n]*(?:{OPEN}|\z))"
-    b = F.regexp_replace(b, report, f"$1{MASK}$2")
-    # from an opening mark on to its own closing one, however far, each match goes on where the last one ended
-    far = rf"((?:{OPEN}(?=[^{OPEN}{CLOSE}]{{{QUOTED},}}+{CLOSE})|(?!\A)\G)[^{ENDS}{OPEN}{CLOSE}]*+)[{ENDS}](?![ \n]*{CLOSE})"
-    return F.regexp_replace(b, far, f"$1{MASK}")
+    """The same, and masks ends inside quotations and before a reporting clause.
+
+    What lies before a closing mark, back to the next mark of either kind or to the start of the block, is
+    quoted, however long it is: each match goes on where the last one ended. So marks may be nested,
+    and a quotation may have begun in an earlier block.
+    """
+    marks = rf"[^{OPEN}{CLOSE}]"
+    inner = rf"((?:(?:\A|[{OPEN}{CLOSE}])(?={marks}*+{CLOSE})|(?!\A)\G)[^{ENDS}{OPEN}{CLOSE}]*+)[{ENDS}](?![ \n]*{CLOSE})"
+    b = F.regexp_replace(b, rf"[{ENDS}]((?:[ \n]*{CLOSE})+)(?={marks}*+{CLOSE})", f"{MASK}$1")  # of a quotation in a quotation
+    b = F.regexp_replace(b, inner, f"$1{MASK}")
+    b = _plain(b, mixed)
+    report = rf"((?:\A|[{ENDS}][ \n]?[{CLOSE})\]]?)[ \n]*{OPEN}{marks}*)[!?！？؟。]([ \n]*{CLOSE})(?![ \n]*(?:{OPEN}|\z))"
+    return F.regexp_replace(b, report, f"$1{MASK}$2")
 
 
 def _cut(rows: DataFrame, block: str) -> DataFrame:
@@ -157,7 +173,7 @@ def _cut(rows: DataFrame, block: str) -> DataFrame:
     rows = rows.withColumns({block: _abbreviations(b, F.col("__mixed"), F.col("__linked")), "__quoted": F.contains(b, F.lit(CLOSE))})
     rows = rows.withColumn(block, F.when(F.col("__quoted"), _quoted(b, F.col("__mixed"))).otherwise(_plain(b, F.col("__mixed"))))
     end = rf"([{ENDS}](?<![{ENDS}]{{2}})[{ENDS}]*+(?:[ \n]*{CLOSE}|[)\]’'])*+[ \n]*+)(?=[^,;:.)\]，；：、{MASK}])"
-    blank = rf"([ \n]++)(?:(?<={thai}[ \n]{{1,20}})(?={free})|(?<={free}[ \n]{{1,20}})(?={thai}))"
+    blank = rf"((?:{thai}(?=[ \n]++{free})|{free}(?=[ \n]++{thai}))[ \n]++)"
     rows = rows.withColumn(block, F.regexp_replace(b, end, f"$1{CUT}"))
     rows = rows.withColumn(block, F.when(F.col("__thai"), F.regexp_replace(b, blank, f"$1{CUT}")).otherwise(b))
     return rows.withColumn("parts", F.split(b, CUT)).drop(block, "__mixed", "__linked", "__thai", "__quoted")

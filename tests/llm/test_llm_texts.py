@@ -37,6 +37,23 @@ def test_sentences(spark, marked):
     assert [text[r["start"] : r["end"]] for r in rows] == want
 
 
+@pytest.mark.parametrize(
+    "parts",
+    [
+        ["Fr. Novak und Abg. Meier kamen.", "Die Univ. Bonn liegt dort."],
+        ["He lives at 12 Mill Rd. 5 miles away.", "So it is."],
+        ["Er sagte: „Sie rief: »" + "Komm her. Nun. " * 100 + "Geh.« Dann ging sie.“", "Ende."],
+        ["So it went. Yes. " * 60 + "It did,» said Ann.", "Then he left."],  # begun in an earlier block
+        ["See https://x.org/" + "a.b" * 400 + " for it.", "Go."],
+        ["ชาวบ้านรักเมืองนี้" + " " * 60, "โรงสีเก่า"],
+        ["Who knew?" + " " * 30, "«Who?»" + " " * 20 + "asked Bo.", "End."],
+    ],
+)
+def test_no_rule_ends_at_a_length(spark, parts):
+    rows = se.sentences(spark.createDataFrame([(1, text := " ".join(parts))], "doc_id long, text string")).orderBy("start").collect()
+    assert [text[r["start"] : r["end"]] for r in rows] == [p.strip() for p in parts]
+
+
 def test_long_quotations(spark):
     long = "We saw it. Was it so? " * 200
     parts = [f'He said: "{long}It was."', f'"{long}Is it?" asked Bo.', "Then he left.", "So did we."]
