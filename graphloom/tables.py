@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DataType, DateType, NumericType, TimestampType
 
 
 _WRITTEN: list[str] = []
@@ -76,9 +77,15 @@ def forget(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``max_rows`` rows, else ``df`` as it is.
+def small(df: DataFrame, max_rows: int = 10_000, max_bytes: int = 16 << 20) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``max_rows`` rows and ``max_bytes`` of values, else ``df`` as it is.
 
-    The rows are counted first, so that nothing is broadcast on trust.
+    Both are measured first, so that nothing is broadcast on trust.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    size = F.length(F.to_json(F.struct(*df.columns))) if any(not _fixed(f.dataType) for f in df.schema) else F.lit(8 * len(df.columns))
+    got = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).head()
+    return F.broadcast(df) if got["n"] <= max_rows and got["b"] <= max_bytes else df
+
+
+def _fixed(kind: DataType) -> bool:
+    return isinstance(kind, (NumericType, BooleanType, DateType, TimestampType))
