@@ -2,9 +2,9 @@
 
 Each name gets a few normalised forms: as it is written, as a sorted bag of its
 words, as initial and family name, as family name, as acronym. Forms are points of
-a metric space under the Levenshtein distance. A crowded scope is cut into cells by
-the nearest of some pivots, and a point is copied into every cell whose pivot is
-hardly farther than its own one; by the triangle inequality each pair within the radius
+a metric space under the Levenshtein distance. Every scope is cut into cells by
+the nearest of some pivots, about as many as the root of its number of points, and a point is copied into every
+cell whose pivot is hardly farther than its own one; by the triangle inequality each pair within the radius
 then meets in a cell, and the exact distance decides. Forms that can stand for several entities
 (initials, family names, acronyms) link only where one entity is meant.
 """
@@ -20,25 +20,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import fold
-from graphloom.tables import materialise
+from graphloom.tables import materialise, small
 
 RADIUS = 2
-CELL_ROWS = 200  # a scope with more forms of a class is cut into cells
+PIVOTS_PER_ROOT = 0.5  # of the number of points in a scope
 
 # Short for.
 ABBREVIATIONS = dict(
     intl="international", natl="national", cttee="committee", comm="commission", assn="association", assoc="association", soc="society",
     fdn="foundation", found="foundation", coll="college", co="company", corp="corporation", univ="university", mus="museum", inst="institute",
     dept="department", bros="brothers", ltd="limited", st="saint", mt="mount", ft="fort", hist="historical", acad="academy",
+    admin="administration", agcy="agency", bd="board", bur="bureau", cncl="council", conf="conference", coop="cooperative", corpn="corporation", eng="engineering",
+    fed="federation", govt="government", gp="group", hosp="hospital", inc="incorporated", ind="industries", lab="laboratory", lib="library", mfg="manufacturing", mgmt="management",
+    min="ministry", orch="orchestra", org="organisation", organization="organisation", sch="school", sci="science", sec="secretariat", svc="service", tech="technology", trib="tribunal", vol="volunteer",
 )
 # Words before a person's name.
 TITLES = {"dr", "prof", "professor", "sir", "lady", "lord", "mr", "mrs", "ms", "miss", "mme", "rev", "capt", "col", "gen", "dame"}
 # Words that say nothing about who is meant.
 STOP = {"the", "of", "for", "in", "and", "at"}
-# Words of names that are no persons' names.
+# Words of names that are no persons' names: of places and buildings, of bodies and firms, of events and works.
 KINDS = {
-    *"port lake mount valley lighthouse river bay island cape hill fort abbey church saint expedition university museum institute academy society".split(),
-    *"association committee commission company corporation foundation college club brothers limited sons international national royal historical survey".split(),
+    *"airport archipelago avenue bay beach bridge canal cape cave city coast county creek desert district falls fort forest garden glacier gorge gulf harbour harbor highlands hill hills island islands isle lagoon lake".split(),
+    *"lighthouse moor mount mountain mountains ocean park pass peninsula plain plateau point pond port province reef region reserve river road rock sea sound square station strait street town valley village volcano".split(),
+    *"abbey castle cathedral chapel church cloister college hall hospital hotel house inn library mill mosque museum observatory palace prison saint school shrine synagogue temple theatre theater tower university".split(),
+    *"academy administration agency alliance archive army assembly association authority bank board brigade brothers bureau cabinet centre center chamber choir club commission committee company conference confederation congress".split(),
+    *"consortium cooperative corporation council court department enterprise faculty federation fleet force foundation fund government group guild incorporated industries initiative institute institution laboratory league limited".split(),
+    *"ministry movement network observatory office orchestra order organisation parliament partnership party police press railway regiment secretariat senate service society sons squadron syndicate team tribunal trust union works".split(),
+    *"award battle championship cup exhibition expedition fair festival games mission operation prize programme project revolution survey tournament treaty voyage war".split(),
+    *"central european federal historical international municipal national northern provincial regional royal southern state united western eastern".split(),
 }
 # Everyday forms of given names.
 NICKNAMES = {
@@ -96,7 +105,7 @@ def forms(raw: str) -> list[tuple[str, str, str, str]]:
         letters = letters[1:]
     full = [ABBREVIATIONS.get(w, w) for w in letters]
     content = [w for w in full if w not in STOP] or full
-    person = not digits and not KINDS & set(full) and len(content) == len(full) <= 3
+    person = not digits and not KINDS & set(full) and len(content) == len(full) <= 4
     if person and len(content) == 3:  # a middle name may be left out
         content = [content[0], content[2]] if len(content[1]) > 1 or len(content[0]) > 1 else content[1:]
     out, bag_class = [], "b" + digits
@@ -112,54 +121,49 @@ def forms(raw: str) -> list[tuple[str, str, str, str]]:
                 out.append((f"i{a[0]}", b, b[0], "meant"))
                 out.append(("l", b, b[0], "meant"))
     elif person and len(content) == 1:
-        if len(content[0]) > 4:
-            out.append(("l", content[0], content[0][0], "asks"))
-        if 2 < len(content[0]) < 8:
-            out.append(("a" + content[0], "", "", "asks"))
-    elif len(content) > 2:
+        word = letters[0]  # as it is written: an acronym may look like an abbreviation
+        if len(word) > 2:
+            out.append(("l", word, word[0], "asks"))
+        if len(word) > 1:
+            out.append(("a" + word, "", "", "asks"))
+    elif len(content) > 1:
+        if person:  # four words: the last may be the family name
+            out += [(f"i{content[0][0]}", content[-1], content[-1][0], "meant"), ("l", content[-1], content[-1][0], "meant")]
         out.append(("a" + "".join(w[0] for w in content), "", "", "meant"))
     bag = sorted(content)
     return list(dict.fromkeys([tuple(written), *out, (bag_class, " ".join(bag), initials(bag), "")]))
 
 
 def points(names: DataFrame) -> DataFrame:
-    """``(scope, name, class, form, initials, role)`` from ``(scope, name, raw)``."""
+    """``(scope, name, class, form, initials, role)`` from ``(scope, name, raws)``: the forms of all spellings of a name."""
     schema = "scope long, name string, class string, form string, initials string, role string"
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(s, n, *f) for s, n, r in zip(batch["scope"], batch["name"], batch["raw"]) for f in forms(r)]
+            rows = [(s, n, *f) for s, n, raws in zip(batch["scope"], batch["name"], batch["raws"]) for f in dict.fromkeys(f for r in raws for f in forms(r))]
             yield pd.DataFrame(rows, columns=["scope", "name", "class", "form", "initials", "role"])
 
-    return names.select("scope", "name", "raw").mapInPandas(parse, schema)
+    return names.select("scope", "name", "raws").mapInPandas(parse, schema)
 
 
-def cells(found: DataFrame, radius: int = RADIUS, cell_rows: int = CELL_ROWS) -> DataFrame:
+def cells(found: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Adds ``cell`` (a point may be in several) and ``home`` (in one of them).
 
-    Only crowded groups have more than one cell. Their pivots are a sample by hash, about the
-    root of their number.
+    The pivots of a scope are a sample of its points by hash, about ``PIVOTS_PER_ROOT`` times the root of their
+    number; those of one class are pivots for its points. A class without two of them is one cell.
     """
     group = ["scope", "class"]
-    one_cell = [*found.columns, F.lit("").alias("cell"), F.lit(True).alias("home")]
-    wide = materialise(found.groupBy("scope").agg(F.count("*").alias("n")).filter(F.col("n") > cell_rows), "wide-scopes")
-    if wide.isEmpty():  # no class can be crowded
-        return found.select(*one_cell)
-    sizes = found.join(wide.select("scope"), "scope", "left_semi").groupBy(*group).agg(F.count("*").alias("n")).filter(F.col("n") > cell_rows)
-    crowded = materialise(found.join(sizes, group), "crowded-names")
-    one = found.join(sizes, group, "left_anti").select(*one_cell)
-    if crowded.isEmpty():
-        return one
-    share = 2.0 / F.sqrt("n")
-    pivots = crowded.select(*group, "form", "n").distinct().filter(F.pmod(F.xxhash64(F.lit(3), "form"), F.lit(1 << 30)) / float(1 << 30) < share)
-    pivots = pivots.select(*group, F.col("form").alias("pivot"))
-    lone = crowded.join(pivots.select(*group).distinct(), group, "left_anti").select(*one_cell)
-    # each form is compared with the pivots of its group once, however many names have it
-    distinct = crowded.select(*group, "form").distinct().join(pivots, group).withColumn("far", F.levenshtein("form", "pivot"))
-    best = distinct.groupBy(*group, "form").agg(F.min(F.struct("far", "pivot")).alias("best"))
-    near = distinct.join(best, [*group, "form"]).filter(F.col("far") <= F.col("best.far") + 2 * radius)
-    near = near.select(*group, "form", F.col("pivot").alias("cell"), (F.col("pivot") == F.col("best.pivot")).alias("home"))
-    return one.unionByName(lone).unionByName(crowded.drop("n").join(near, [*group, "form"]))
+    sizes = materialise(found.groupBy("scope").agg(F.count("*").alias("n")), "name-scopes")
+    drawn = F.pmod(F.xxhash64(F.lit(3), "class", "form"), F.lit(1 << 30)) / float(1 << 30)
+    sample = found.select(*group, "form").join(small(sizes, 1_000_000), "scope").filter(drawn < PIVOTS_PER_ROOT / F.sqrt("n"))
+    pivots = materialise(sample.groupBy(*group).agg(F.sort_array(F.collect_set("form")).alias("pivots")).filter(F.size("pivots") > 1), "name-pivots")
+    rows = found.join(small(pivots, 1_000_000), group, "left")
+    rows = rows.withColumn("far", F.transform("pivots", lambda p: F.levenshtein(F.col("form"), p))).withColumn("best", F.array_min("far"))
+    near = F.filter(F.arrays_zip("pivots", "far"), lambda x: x["far"] <= F.col("best") + 2 * radius)
+    own = F.get("pivots", (F.array_position("far", F.col("best")) - 1).cast("int"))
+    one = F.array(F.struct(F.lit("").alias("cell"), F.lit(True).alias("home")))
+    cell = F.when(F.col("pivots").isNull(), one).otherwise(F.transform(near, lambda x: F.struct(x["pivots"].alias("cell"), (x["pivots"] == own).alias("home"))))
+    return rows.select(*found.columns, F.explode(cell).alias("c")).select(*found.columns, "c.cell", "c.home")
 
 
 def _close(a: str, b: str) -> Column:
@@ -265,9 +269,7 @@ def variants(mentions: DataFrame, hints: DataFrame | None = None) -> DataFrame:
     """
     spark = mentions.sparkSession
     mentions = mentions.select(F.col("scope").cast("long").alias("scope"), "raw", fold(F.col("raw")).alias("name")).filter("scope is not null and length(name) > 0")
-    # of the spellings of a folded name, the one that shows best where its words begin
-    clear = F.struct(F.col("raw").rlike(r"(?U)[\p{L}.,][ ,.]+[\p{L}\p{N}]").alias("a"), (F.col("raw").rlike(r"\p{Lu}") & F.col("raw").rlike(r"\p{Ll}")).alias("b"), F.contains("raw", F.lit(",")).alias("c"), (-F.length("raw")).alias("d"), F.col("raw").alias("e"))
-    names = mentions.groupBy("scope", "name").agg(F.max(clear).alias("best")).select("scope", "name", F.col("best.e").alias("raw"))
+    names = mentions.groupBy("scope", "name").agg(F.collect_set("raw").alias("raws"))
     if hints is None:
         hints = spark.createDataFrame([], "scope long, raw string, meant string")
     hints = hints.select("scope", fold(F.col("raw")).alias("name"), fold(F.col("meant")).alias("meant")).filter("length(name) > 0 and length(meant) > 0 and name <> meant").distinct()
