@@ -11,6 +11,7 @@ then meets in a cell, and the exact distance decides. Forms that can stand for s
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ from graphloom.functions.text import fold
 from graphloom.tables import materialise, small
 
 RADIUS = 2
-PIVOTS_PER_ROOT = 0.5  # of the number of points in a scope
+PIVOTS_PER_ROOT = 0.25  # of the number of points in a scope
 
 # Short for.
 ABBREVIATIONS = dict(
@@ -65,14 +66,18 @@ NICKNAMES = {
 # Cyrillic letters in Latin ones.
 CYRILLIC = str.maketrans(dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "a b v g d e e zh z i y k l m n o p r s t u f kh ts ch sh shch  y  e yu ya".split(" "), strict=True)))
 _PLAIN = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i"})
+_ENDING = re.compile("iy|yy|ij")
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
 
 
+@functools.lru_cache(maxsize=100_000)
 def plain(text: str) -> str:
     """Small Latin letters without accents, as far as there is a rule."""
-    text = text.lower().translate(CYRILLIC).translate(_PLAIN)
-    text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).translate(CYRILLIC)
-    return re.sub("iy|yy|ij", "y", text)
+    text = text.lower()
+    if not text.isascii():
+        text = text.translate(CYRILLIC).translate(_PLAIN)
+        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).translate(CYRILLIC)
+    return _ENDING.sub("y", text)
 
 
 def words(raw: str) -> tuple[list[str], bool]:
@@ -135,15 +140,15 @@ def forms(raw: str) -> list[tuple[str, str, str, str]]:
 
 
 def points(names: DataFrame) -> DataFrame:
-    """``(scope, name, class, form, initials, role)`` from ``(scope, name, raws)``: the forms of all spellings of a name."""
+    """``(scope, name, class, form, initials, role)`` from ``(scope, name, raw)``: the forms of every spelling of a name."""
     schema = "scope long, name string, class string, form string, initials string, role string"
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(s, n, *f) for s, n, raws in zip(batch["scope"], batch["name"], batch["raws"]) for f in dict.fromkeys(f for r in raws for f in forms(r))]
+            rows = [(s, n, *f) for s, n, r in zip(batch["scope"], batch["name"], batch["raw"]) for f in forms(r)]
             yield pd.DataFrame(rows, columns=["scope", "name", "class", "form", "initials", "role"])
 
-    return names.select("scope", "name", "raws").mapInPandas(parse, schema)
+    return names.select("scope", "name", "raw").mapInPandas(parse, schema)
 
 
 def cells(found: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -268,8 +273,9 @@ def variants(mentions: DataFrame, hints: DataFrame | None = None) -> DataFrame:
     wrong.
     """
     spark = mentions.sparkSession
-    mentions = mentions.select(F.col("scope").cast("long").alias("scope"), "raw", fold(F.col("raw")).alias("name")).filter("scope is not null and length(name) > 0")
-    names = mentions.groupBy("scope", "name").agg(F.collect_set("raw").alias("raws"))
+    # spellings are made distinct before they are folded, and those of one name stay apart
+    names = mentions.select(F.col("scope").cast("long").alias("scope"), "raw").filter("scope is not null and raw is not null").distinct()
+    names = names.select("scope", "raw", fold(F.col("raw")).alias("name")).filter("length(name) > 0")
     if hints is None:
         hints = spark.createDataFrame([], "scope long, raw string, meant string")
     hints = hints.select("scope", fold(F.col("raw")).alias("name"), fold(F.col("meant")).alias("meant")).filter("length(name) > 0 and length(meant) > 0 and name <> meant").distinct()
