@@ -2,8 +2,9 @@
 
 A record is described as a tree. Each leaf is normalised and hashed; an inner
 node is the hash of its children's digests, which are sorted first where their
-order does not matter. Records with the same root digest form a group, and the
-full normalised form is compared within it, so a hash collision joins nothing.
+order does not matter. Records with the same root digest form a group. The full normalised forms are compared
+once, when a group's smallest id is found, which needs one form for each distinct record; ids then find
+their group by two digests, and by the form again only where these say the same of different forms.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import fold
+from graphloom.tables import materialise, small
 
 
 @dataclass(frozen=True)
@@ -61,8 +63,12 @@ def form(tree) -> Column:
     return framed(F.array_join(parts if tree.ordered else F.sort_array(parts), ""))
 
 
+def second_digest(text: Column) -> Column:
+    return F.xxhash64(F.lit(29), text)
+
+
 def records(df: DataFrame, record_id: str, scope: Sequence[str], tree, require_leaves: bool = True) -> DataFrame:
-    """``(scope..., root, form, id)``, once for each record id and content.
+    """``(scope..., root, check, form, id)`` of each row: digest, a second digest, full normalised form.
 
     Rows with a null in ``scope`` or a null id do not count; with ``require_leaves``
     neither do rows with a leaf that is null or normalises to nothing. Other columns
@@ -72,36 +78,48 @@ def records(df: DataFrame, record_id: str, scope: Sequence[str], tree, require_l
     for c in scope:
         keep &= F.col(c).isNotNull()
     names = [f"s{i}" for i in range(len(scope))]
-    rows = df.filter(keep).select(*(F.col(c).alias(n) for c, n in zip(scope, names, strict=True)), digest(tree).alias("root"), form(tree).alias("form"), F.col(record_id).alias("id"), *(_text(x).alias(f"l{i}") for i, x in enumerate(leaves(tree))))
+    own = [F.col(c).alias(n) for c, n in zip(scope, names, strict=True)]
+    fields = F.struct(*(_text(x).alias(f"l{i}") for i, x in enumerate(leaves(tree))))
+    # exploding a single struct keeps the filter from being evaluated apart, which would normalise twice
+    rows = df.filter(keep).select(*own, F.col(record_id).alias("id"), F.explode(F.array(fields)).alias("l")).select(*names, "id", "l.*")
     if require_leaves:
         for i, leaf in enumerate(leaves(tree)):
             rows = rows.filter((F.size(f"l{i}") if leaf.is_list else F.length(f"l{i}")) > 0)
-    return rows.select(*names, "root", "form", "id").distinct()
-
+    plain = _plain(tree, iter(range(len(leaves(tree)))))
+    rows = rows.select(*names, "id", digest(plain).alias("root"), form(plain).alias("form"))
+    return rows.select(*names, "root", second_digest(F.col("form")).alias("check"), "form", "id")
 
-def groups(members: DataFrame) -> DataFrame:
-    """One row for each distinct record: smallest id and number of copies (distinct ids).
 
-    Copies are counted where they lie before anything is sent, so that a group with
-    a large part of all rows is no burden to one task.
-    """
-    keys = [c for c in members.columns if c != "id"]
-    return members.groupBy(*keys).agg(F.min("id").alias("first_id"), F.count("*").alias("n_copies"))
+def _plain(tree, at):
+    """The tree over the columns l0, l1, ..., whose leaves are normalised already."""
+    if isinstance(tree, Leaf):
+        return Leaf(f"l{next(at)}", lambda x: x, tree.is_list)
+    return Node(tuple(_plain(c, at) for c in tree.children), tree.ordered)
 
 
 def collapse(df: DataFrame, record_id: str, scope: Sequence[str], tree, require_leaves: bool = True) -> DataFrame:
-    """Every distinct record once: ``scope`` columns, ``first_id`` and ``n_copies``.
+    """Every distinct record once: ``scope`` columns, ``first_id`` and ``n_copies`` (distinct ids).
 
-    An empty table gives an empty result; a record without copies has ``n_copies`` 1.
+    An empty table gives an empty result; a record without copies has ``n_copies`` 1. Rows are counted where
+    they lie before anything is sent, so that a group with a large part of all rows is no burden to one task.
     """
-    found = groups(records(df, record_id, scope, tree, require_leaves))
+    rows = records(df, record_id, scope, tree, require_leaves)
+    keys = [c for c in rows.columns if c not in ("id", "check")]
+    found = rows.select(*keys, "id").distinct().groupBy(*keys).agg(F.min("id").alias("first_id"), F.count("*").alias("n_copies"))
     return found.select(*(F.col(f"s{i}").alias(c) for i, c in enumerate(scope)), "first_id", "n_copies")
 
 
 def copies(df: DataFrame, record_id: str, scope: Sequence[str], tree, require_leaves: bool = True) -> DataFrame:
     """``(first_id, copy_id)`` for every record that repeats one with a smaller id."""
-    members = records(df, record_id, scope, tree, require_leaves)
-    keys = [c for c in members.columns if c != "id"]
-    repeated = groups(members).filter("n_copies > 1").drop("n_copies")
-    pairs = members.join(repeated, keys).filter("id > first_id")
-    return pairs.select("first_id", F.col("id").alias("copy_id")).distinct()
+    rows = records(df, record_id, scope, tree, require_leaves)
+    names = [f"s{i}" for i in range(len(scope))]
+    short = [*names, "root", "check"]
+    heads = rows.groupBy(*short, "form").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).filter("last_id > first_id")
+    heads = materialise(heads.select(*short, "form", "first_id"), "copied-records")
+    doubtful = materialise(heads.groupBy(*short).agg(F.count("*").alias("n")).filter("n > 1").select(*short), "doubtful-digests")
+    clear, members = heads.join(small(doubtful), short, "left_anti"), rows.select(*short, "id")
+    pairs = members.join(clear.select(*short, "first_id"), short).filter("id > first_id").select("first_id", F.col("id").alias("copy_id"))
+    if not doubtful.isEmpty():  # two digests of 64 bits are the same for different forms
+        exact = rows.join(heads.join(doubtful, short, "left_semi"), [*short, "form"]).filter("id > first_id")
+        pairs = pairs.unionByName(exact.select("first_id", F.col("id").alias("copy_id")))
+    return pairs.distinct()

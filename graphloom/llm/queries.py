@@ -64,7 +64,7 @@ def _terms(spark: SparkSession, d: str) -> DataFrame:
     relations = triples.select(F.lit("relation").alias("field"), fold(F.col("relation")).alias("term"), F.col("doc_id").alias("record_id"))
     concepts = nodes.select(F.col("doc_id").alias("record_id"), F.explode("concepts").alias("concept"))
     concepts = concepts.select(F.lit("concept").alias("field"), fold(F.col("concept")).alias("term"), "record_id")
-    return termstats.frequencies(termstats.postings(relations.unionByName(concepts)))
+    return termstats.frequencies(termstats.unite(termstats.postings(relations), termstats.postings(concepts)))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
