@@ -21,13 +21,13 @@ LINE_ENDS = "".join(map(chr, (0x2028, 0x2029)))
 ABBREVIATIONS = {
     "en": (
         "Dr Mr Mrs Ms Messrs Prof Rev Revd Hon Gen Col Maj Cmdr Adm Capt Lt Sgt Cpl Gov Sen Rep Pres Supt Msgr St Ste Mt Mts Ft Rd Ave Blvd Hwy Pkwy Jr Sr No Nos Vol Vols pp cf vs fig figs eq eqs "
-        "ed eds transl approx sq viz ca c al Intl Natl Cttee Assn Assoc Coll Univ Inst Dept Mus Acad Soc Hist Jan Feb Aug Sept Oct Nov Dec incl excl esp resp est temp tel ext"
+        "ed eds transl approx sq viz ca c al Intl Natl Cttee Assn Assoc Coll Univ Inst Dept Mus Acad Soc Hist Jan Feb Aug Sept Oct Nov Dec incl excl esp resp"
     ),
-    "de": "Nr Nrn vgl bzw Abb Abs Abg Abt Anm Aufl Bd Bde Bez Bhf Bsp Dipl Fr Frl Hr Hrn Hrsg hrsg Ing Jh Jhd Kap Lkr Mag Min Mio Mrd Nov Pfr Pol Reg Sekr Str Tab Univ Verf Vors dgl ebd etw evtl exkl geb gegr gest ggf ggfs inkl insb lfd sog spez urspr vorm zzgl zit",
-    "fr": "M Mme Mlle Mmes MM Me Mgr Pr av apr env chap éd coll fasc fig hab ill intr janv févr juill oct nov déc not p.ex réf St Ste vol",
-    "es": "Sr Sra Srta Sres Dr Dra Dña Ud Uds Vd Vds Lic Ing Arq Prof Gral Cnel Tte núm núms aprox pág págs ej Sta Sto Avda Dpto cap fig vol ene feb abr ago sept oct nov dic admón edo prov",
-    "ru": "гг вв тт стр рис им см ср тыс млн млрд трлн ул пер просп пл наб проф акад доц канд чл напр табл обл р-н гр гл изд ред св соч экз кв ок англ нем фр лат греч рус укр",
-    "hi": "डॉ प्रो पृ श्री सं क्र कि",
+    "de": "Nr Nrn vgl bzw Abb Abs Abg Abt Anm Aufl Bd Bde Bez Bhf Bsp Dipl Fr Frl Hr Hrn Hrsg hrsg Ing Jh Jhd Kap Lkr Mio Mrd Pfr Sekr Str Tab Univ Verf Vors dgl ebd etw evtl exkl geb gegr gest ggf ggfs inkl insb lfd sog spez urspr vorm zzgl zit",
+    "fr": "M Mme Mlle Mmes MM Me Mgr Pr av apr env chap éd coll fasc fig janv févr juill oct déc réf St Ste vol",
+    "es": "Sr Sra Srta Sres Dr Dra Dña Ud Uds Vd Vds Lic Ing Arq Prof Gral Cnel Tte núm núms aprox pág págs ej Sta Sto Avda Dpto fig vol ene feb abr sept oct dic admón",
+    "ru": "гг вв тт стр рис им см ср тыс млн млрд трлн ул пер просп пл наб проф акад доц канд чл напр табл обл р-н гр гл изд ред св соч экз кв ок англ фр лат греч",
+    "hi": "डॉ प्रो पृ श्री सं क्र",
     "ar": "أ د ص",
 }
 # Abbreviations that often are the last word of a sentence.

@@ -1,9 +1,9 @@
 """Oversized texts cut into overlapping pieces at natural boundaries, by packing a structure tree.
 
-The tree has sections (headings) at the top, then paragraphs, lines and list items,
-sentences, clauses, words and characters. Only a node that is over the limit is
-taken apart into its children; what fits is merged with its siblings from the bottom up, as
-long as the limit holds.
+The tree has sections at the top, nested by the level of their headings, then paragraphs, list items nested by
+their indentation, lines, sentences, clauses, words and characters. Only a node that is over the limit is
+taken apart into its children; consecutive siblings that fit are merged as long as the limit holds, and what
+is left of a node that was taken apart is not mixed with its siblings.
 """
 
 from __future__ import annotations
@@ -23,18 +23,22 @@ MAX_TOKENS, MAX_CHARS, OVERLAP_TOKENS, OVERLAP_CHARS = 550, 4000, 50, 300
 
 _SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()], dtype=np.uint32)
 _CLOSERS = "\"'”’“»)\\]）」』"
-_LINE = r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ])"
-#: The end of a match is a boundary; a boundary of one level may be one of a deeper level too.
+_LINE = r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])"
+_HEADING = re.compile(rf"(?:\A|{_LINE})([^\S\n\r]*)((?:=[^\S\n\r]*)+(?=[^=\n\r]*[^=\s])[^\n\r]*=|#{{1,6}}(?= )[^\n\r]*)[^\S\n\r]*(?=[\n\r]|\Z)")
+_ITEM = re.compile(rf"(?:\A|{_LINE})([^\S\n\r]*)(?:[-*+•‣◦–]|\(?[0-9]{{1,3}}[.)]|\(?[^\W\d_][.)])[^\S\n\r]+")
+_DEEPEST = 64  # what is nested deeper counts as if it were so deep
+_HEADINGS, _PARAGRAPHS, _ITEMS, _LINES, _SENTENCES = range(5)
+#: Of the other levels: the end of a match is a boundary; a boundary of one level may be one of a deeper level too.
 _LEVELS = (
-    re.compile(rf"{_LINE}(?=[^\S\n\r]*(?:=[^\n\r]*=|#{{1,6}} [^\n\r]*)[^\S\n\r]*(?:[\n\r]|\Z))"),
+    None,
     re.compile(rf"{_LINE}(?:[^\S\n\r]*{_LINE})+\s*"),
+    None,
     re.compile(rf"{_LINE}\s*"),
-    re.compile(rf"[.!?…؟।॥][{_CLOSERS}]*\s+|[。！？][{_CLOSERS}]*\s*|(?<=[฀-๿])\s+(?=[฀-๿])"),
-    re.compile(r"[;；]\s*|[:,، ]\s+|[，、：]\s*"),
+    re.compile(rf"[.!?…؟।॥][{_CLOSERS}]*\s+|[。！？][{_CLOSERS}]*\s*|(?<=[\u0e00-\u0e7f])\s+(?=[\u0e00-\u0e7f])"),
+    re.compile(r"[;；]\s*|[:,،\u2014]\s+|[，、：]\s*"),
     re.compile(r"\s+"),
 )
 _ABBREVIATION = re.compile(rf"(?<!\w)(?:{'|'.join(' '.join(ABBREVIATIONS.values()).split())}|[^\W\d_])\.\s+", re.I)
-_SENTENCES = 4  # levels whose boundaries are natural
 
 
 class Tree:
@@ -48,7 +52,7 @@ class Tree:
         # tokens that begin, and characters with each run of white space as one, up to a position
         self.tokens = np.concatenate(([0], np.cumsum(~space & before)))
         self.chars = np.concatenate(([0], np.cumsum(~space | ~before)))
-        self.cuts: dict[int, np.ndarray] = {}
+        self.cuts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def size(self, a: int, b: int) -> tuple[int, int]:
         inside = a > 0 and a < len(self.space) and not self.space[a] and not self.space[a - 1]
@@ -58,35 +62,54 @@ class Tree:
         tokens, chars = self.size(a, b)
         return tokens <= self.max_tokens and chars <= self.max_chars
 
-    def boundaries(self, level: int, a: int, b: int) -> np.ndarray:
-        """Boundaries of a level strictly between two positions."""
+    def _found(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Boundaries of a level and how deep each lies: a heading's level, an item's indentation, else 0."""
+        if level == _HEADINGS:
+            marks = [(m.start(1), m[2].count("=", 0, len(m[2]) - len(m[2].lstrip("= \t"))) or len(m[2]) - len(m[2].lstrip("#"))) for m in _HEADING.finditer(self.text)]
+        elif level == _ITEMS:
+            marks = [(m.start(1), len(m[1].expandtabs(4))) for m in _ITEM.finditer(self.text)]
+        else:
+            marks = [(m.end(), 0) for m in _LEVELS[level].finditer(self.text)]
+        at, depth = np.array([m[0] for m in marks], dtype=np.int64), np.array([min(m[1], _DEEPEST) for m in marks], dtype=np.int64)
+        if level == _SENTENCES and len(at):  # a sentence goes on after these
+            kept = ~np.isin(at, [m.end() for m in _ABBREVIATION.finditer(self.text)])
+            at, depth = at[kept], depth[kept]
+        return at, depth
+
+    def boundaries(self, level: int, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Boundaries of a level strictly between two positions, and their depths."""
         if level not in self.cuts:
-            found = np.array([m.end() for m in _LEVELS[level].finditer(self.text)], dtype=np.int64)
-            if level == _SENTENCES - 1 and len(found):  # a sentence goes on after these
-                found = np.setdiff1d(found, [m.end() for m in _ABBREVIATION.finditer(self.text)])
-            self.cuts[level] = found
-        cuts = self.cuts[level]
-        return cuts[np.searchsorted(cuts, a, "right") : np.searchsorted(cuts, b, "left")]
+            self.cuts[level] = self._found(level)
+        at, depth = self.cuts[level]
+        inside = slice(np.searchsorted(at, a, "right"), np.searchsorted(at, b, "left"))
+        return at[inside], depth[inside]
+
+    def children(self, a: int, b: int, level: int) -> tuple[list[int], int]:
+        """Where the children of a node begin and the last one ends, and their level; none below words."""
+        for k in range(level, len(_LEVELS)):
+            at, depth = self.boundaries(k, a, b)
+            if len(at):  # the uppermost headings or items part siblings, deeper ones lie inside them
+                return [a, *at[depth == depth.min()].tolist(), b], k
+        return [], level
 
     def pack(self, a: int, b: int, level: int = 0) -> list[tuple[int, int]]:
-        """Consecutive spans under the limits that make up the span from ``a`` to ``b``."""
+        """Consecutive spans under the limits that make up the node from ``a`` to ``b``."""
         if self.fits(a, b):
             return [(a, b)]
-        for k in range(level, len(_LEVELS)):
-            cuts = self.boundaries(k, a, b).tolist()
-            if cuts:
-                edges = [a, *cuts, b]
-                return self.merge([p for x, y in zip(edges, edges[1:]) for p in self.pack(x, y, k + 1)])
-        return self.characters(a, b)
-
-    def merge(self, parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        merged = parts[:1]
-        for a, b in parts[1:]:
-            if self.fits(merged[-1][0], b):
-                merged[-1] = (merged[-1][0], b)
+        edges, level = self.children(a, b, level)
+        if not edges:
+            return self.characters(a, b)
+        spans, whole = [], False
+        for x, y in zip(edges, edges[1:]):
+            if not self.fits(x, y):
+                spans += self.pack(x, y, level)
+                whole = False
+            elif whole and self.fits(spans[-1][0], y):
+                spans[-1] = (spans[-1][0], y)
             else:
-                merged.append((a, b))
-        return merged
+                spans.append((x, y))
+                whole = True
+        return spans
 
     def characters(self, a: int, b: int) -> list[tuple[int, int]]:
         """A span without any boundary: cut by length, but not before a combining mark where that can be helped."""
@@ -104,10 +127,10 @@ class Tree:
     def repeated(self, a: int, b: int, tokens: int, chars: int) -> int:
         """Where the stretch of a piece begins that the next one repeats: as much as the overlap allows, from a natural boundary if it holds one."""
         low = max(a, int(np.searchsorted(self.chars, self.chars[b] - chars, "left")), int(np.searchsorted(self.tokens, self.tokens[b] - tokens, "left")))
-        natural = [int(c[0]) for k in range(_SENTENCES) if len(c := self.boundaries(k, low - 1, b))]
+        natural = [int(c[0]) for k in range(_SENTENCES + 1) if len(c := self.boundaries(k, low - 1, b)[0])]
         if natural and min(natural) < b:
             return min(natural)
-        words = self.boundaries(len(_LEVELS) - 1, low - 1, b)
+        words = self.boundaries(len(_LEVELS) - 1, low - 1, b)[0]
         return int(words[0]) if len(words) else low
 
 

@@ -37,6 +37,19 @@ def test_structure_first():
     assert all("Dr." not in p[-5:] for p in check("We saw Dr. Who at No. 5 today. " * 12)[:-1])
 
 
+def test_siblings_are_packed_under_their_parent():
+    words = lambda w, n: (w + " ") * n + "\n"
+    text = f"= A =\n{words('a', 14)}= = B = =\n{words('b', 9)}= C =\n{words('c', 14)}= = D = =\n{words('d', 9)}"
+    assert [p.split()[1] for p in check(text, (40, 200, 3, 20))] == ["A", "C"]  # B stays with A
+    # A is over the limit: its sections are packed, and what is left of it does not go with C
+    text = f"# A\n{words('a', 20)}## B\n{words('b', 17)}### E\n{words('e', 8)}## F\n{words('f', 4)}# C\n{words('c', 10)}"
+    assert [p.split()[1] for p in check(text, (40, 200, 3, 20))] == ["A", "B", "C"]
+    items = "".join(f"- item {i} {'x ' * 6}\n  - sub {'y ' * 5}\n  - sub {'z ' * 5}\n" for i in range(6))
+    assert all(p.startswith("- item") for p in check(items, (40, 200, 3, 20)))
+    deep = "".join(" " * i + f"- item {i}\n" for i in range(1500))
+    check(deep)
+
+
 @pytest.mark.parametrize("text", ["x" * 5000, "字" * 5000, "é" * 3000, " " * 500, "a" + " " * 5000 + "b", "", "ไทย" * 2000])
 def test_no_boundaries(text):
     check(text)
