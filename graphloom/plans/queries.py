@@ -14,9 +14,10 @@ from graphloom.operators import chunking, concepts, graph, resolution, similarit
 from graphloom.plans.backends import RuleBackend
 from graphloom.plans.pipeline import build_graphs
 from graphloom.plans.sql import SQL  # noqa: F401
+from graphloom.sources import readers, sinks
 from graphloom.sources.readers import remaining
 from graphloom.streaming.resume import append_chunks, process_new
-from graphloom.tables import shared_dir, table
+from graphloom.tables import materialise, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CONFIG = Config()
@@ -220,8 +221,13 @@ def _named_vectors(spark, d, kind):
     return rows.filter("doc_id is not null").select("doc_id", "name", place.alias("ord"), "vec")
 
 
+# The invented relations of one article are hardly alike: with the default threshold of 0.8 none would be a candidate.
+THRESHOLD = {"entity": CONFIG.entity_threshold, "relation": 0.3}
+MATCHES = {"entity": 0.9, "relation": 0.32}
+
+
 def _candidates(spark, d, kind):
-    rows = similarity.candidates(_named_vectors(spark, d, kind), CONFIG.entity_threshold, CONFIG.entity_top_k)
+    rows = similarity.candidates(_named_vectors(spark, d, kind), THRESHOLD[kind], CONFIG.entity_top_k)
     return rows.select("doc_id", "target", "candidate", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -236,8 +242,8 @@ def relation_candidates(spark, d):
 
 
 def _decided(spark, d, kind):
-    """A rule in the verifier's place: what is at least 0.9 similar matches, the longest name is canonical."""
-    rows = _candidates(spark, d, kind).groupBy("doc_id", "target").agg(F.array_sort(F.collect_list(F.when(F.col("score") >= 0.9, F.struct("rank", "candidate")))).alias("c"))
+    """A rule in the verifier's place: what is as similar as ``MATCHES`` says matches, the longest name is canonical."""
+    rows = _candidates(spark, d, kind).groupBy("doc_id", "target").agg(F.array_sort(F.collect_list(F.when(F.col("score") >= MATCHES[kind], F.struct("rank", "candidate")))).alias("c"))
     names = F.transform("c", lambda c: c["candidate"])
     longest = F.array_max(F.transform(F.concat(F.array("target"), names), lambda n: F.struct(F.length(n).alias("a"), n.alias("b"))))["b"]
     answer = F.to_json(F.struct(names.alias("matches"), longest.alias("canonical_name")))
@@ -344,13 +350,96 @@ def has_entity(spark, d):
     return graph.has_entity(_nodes(spark, d))
 
 
+def _documents(spark, d):
+    """The nested documents of all articles of ``kg``; the valid triples are read and stripped once."""
+    rows = materialise(triples.dedup(facts(spark, d)), "facts")
+    titles = table(spark, d, "kg").groupBy("doc_id").agg(F.max("article_title").alias("article_title"))
+    return graph.document(titles, rows, graph.nodes(rows, known_concepts(spark, d)), graph.relations(rows, defined(spark, d), _no_concepts(spark)), mapping(spark, d, "entity_map"), mapping(spark, d, "relation_map"))
+
+
 @query
 def kg_documents(spark, d):
-    """One nested document an article, as JSON text."""
-    rows = triples.dedup(facts(spark, d))
-    titles = table(spark, d, "kg").groupBy("doc_id").agg(F.max("article_title").alias("article_title"))
-    got = graph.document(titles, rows, graph.nodes(rows, known_concepts(spark, d)), graph.relations(rows, defined(spark, d), _no_concepts(spark)), mapping(spark, d, "entity_map"), mapping(spark, d, "relation_map"))
-    return got.select("doc_id", F.to_json(F.struct(*(c for c in got.columns if c != "doc_id"))).alias("document"))
+    """All that the nested documents hold: one row for each node, relation, triple and entry of a map."""
+    entry = lambda part, key, value: F.struct(F.lit(part).alias("part"), key.alias("key"), value.alias("value"))
+    joined = lambda *parts: F.concat_ws("|", *parts)
+    parts = [
+        F.transform(F.map_entries("nodes"), lambda e: entry("node", e["key"], F.array_join(e["value"]["concepts"], "|"))),
+        F.transform(F.map_entries("relations"), lambda e: entry("relation", e["key"], joined(e["value"]["definition"], F.array_join(e["value"]["concepts"], "|")))),
+        F.transform("triples", lambda t, i: entry("triple", i.cast("string"), joined(t["subject"], t["relation"], t["object"]))),
+        F.transform(F.map_entries("entity_map"), lambda e: entry("entity_map", e["key"], e["value"])),
+        F.transform(F.map_entries("relation_map"), lambda e: entry("relation_map", e["key"], e["value"])),
+    ]
+    rows = _documents(spark, d).select("doc_id", "article_title", F.explode(F.concat(*parts)).alias("e"))
+    return rows.select("doc_id", "article_title", "e.part", "e.key", "e.value")
+
+
+# ---------------------------------------------------------------- sources and sinks, there and back
+
+
+def _folder(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def wiki_records(spark, d):
+    """All documents written as JSON lines and read as wiki records."""
+    path = _folder(spark, "wiki")
+    documents(spark, d).select(F.col("doc_id").cast("string").alias("id"), "title", "text").write.json(path)
+    return readers.wiki_records(spark, path)
+
+
+@query
+def essay_records(spark, d):
+    """All essays written as JSON lines and read as essay records; the title is the key."""
+    path = _folder(spark, "essays")
+    table(spark, d, "essay").select("essay_title", "essay_content").write.json(path)
+    return readers.essay_records(spark, path)
+
+
+@query
+def article_files(spark, d):
+    """All essays written as a file each and read with the name of the file as their title."""
+    path = _folder(spark, "articles")
+    rows = essays(spark, d).filter("text is not null").groupBy("doc_id").agg(F.max("text").alias("value"))
+    sinks.write_named_files(rows.select(F.concat(F.lit("essay_"), "doc_id", F.lit(".v1.txt")).alias("file"), "value"), path)
+    return readers.article_files(spark, f"{path}/*.txt")
+
+
+def _triples_of(graphs):
+    rows = graphs.select("article_title", F.posexplode("triples").alias("place", "t"))
+    return rows.select("article_title", F.col("place").cast("long").alias("place"), "t.subject", "t.relation", "t.object")
+
+
+@query
+def graph_lines(spark, d):
+    """All graphs appended as JSON lines in two runs, the second for what the first left, and read back."""
+    path, rows = _folder(spark, "graphs"), materialise(_documents(spark, d), "documents")
+    for part in (rows.filter("doc_id % 2 = 0"), rows):
+        keyed = part.withColumn("key", F.col("doc_id").cast("string"))
+        sinks.append_graphs(remaining(keyed, readers.progress(spark, path), "key").drop("key"), path)
+    return _triples_of(readers.graphs(spark, path, lines=True))
+
+
+@query
+def graph_files(spark, d):
+    """All graphs written as a JSON file each, of one title the last, with a broken file among them that stops no other."""
+    path = _folder(spark, "graph-files")
+    sinks.write_json_files(_documents(spark, d), path)
+    spark.createDataFrame([("broken.json", '{"article_title": ')], "file string, value string").write.mode("append").partitionBy("file").text(path)
+    sinks.unfold_files(spark, path)
+    good, broken = readers.graph_files(spark, f"{path}/*.json")
+    return _triples_of(good).drop("place").unionByName(broken.select(F.col("file").alias("article_title"), *(F.lit("").alias(c) for c in triples.FIELDS)))
+
+
+@query
+def progress_keys(spark, d):
+    """The keys of the graphs appended twice: what is left to do is every document without one."""
+    path = _folder(spark, "progress")
+    done = table(spark, d, "kg").select("doc_id")
+    for _ in range(2):
+        sinks.write_progress(done, path)
+    left = remaining(documents(spark, d).select(F.col("doc_id").cast("string").alias("doc_id")), readers.progress(spark, path))
+    return left.select("doc_id", F.lit(False).alias("done")).unionByName(readers.progress(spark, path).select(F.col("key").alias("doc_id"), F.lit(True).alias("done")))
 
 
 # ---------------------------------------------------------------- answers and the whole pipeline
@@ -369,12 +458,12 @@ def json_answers(spark, d):
 def rule_answers(step: Column, system: Column, user: Column) -> Column:
     """Answers by rule to every prompt of the pipeline: facts from the first words of sentences, no merges, plain definitions."""
     words = F.transform(text.sentences(text.clean(F.substring_index(user, "Text:\n", -1))), text.tokens)
-    fact = lambda w: F.struct(F.get(w, F.lit(0)).alias("subject"), F.get(w, F.lit(1)).alias("relation"), F.array_join(F.slice(w, 3, 1000), " ").alias("object"))
+    fact = lambda w: F.struct(F.get(w, F.lit(0)).alias("subject"), F.get(w, F.lit(1)).alias("relation"), F.array_join(F.slice(w, 3, 1 << 30), " ").alias("object"))
     found = F.to_json(F.transform(F.filter(words, lambda w: F.size(w) >= 3), fact))
     names = F.array_distinct(F.regexp_extract_all(user, F.lit(r'(?m)^(?:- )?"([^"\n]*)"'), F.lit(1)))
     about = lambda value: F.to_json(F.map_from_arrays(names, F.transform(names, value)))
     kinds = about(lambda n: F.array(F.lit("thing"), F.lower(n)))
-    none = F.to_json(F.struct(F.array().cast("array<string>").alias("matches"), F.regexp_extract(user, r'(?:Name|Relation): "([^"\n]*)"', 1).alias("canonical_name")))
+    none = F.to_json(F.struct(F.array().cast("array<string>").alias("matches"), F.regexp_extract(user, r'(?m)^(?:Name|Relation): "(.*?)"(?: in |: )', 1).alias("canonical_name")))
     plain = about(lambda n: F.concat(F.lit("relates by: "), n))
     return F.when(step == "extract", found).when(step.isin("entities", "relations"), none).when(step == "definitions", plain).when(step == "singletons", about(lambda n: n)).otherwise(kinds)
 
@@ -382,4 +471,5 @@ def rule_answers(step: Column, system: Column, user: Column) -> Column:
 @query
 def pipeline_status(spark, d):
     """All steps for all essays, with answers by rule: one status row an essay."""
-    return build_graphs(essays(spark, d).dropDuplicates(["doc_id"]), RuleBackend(rule_answers), CONFIG, "packed").status
+    rows = essays(spark, d).groupBy("doc_id").agg(F.max(F.struct("title", "text")).alias("e")).select("doc_id", "e.title", "e.text")
+    return build_graphs(rows, RuleBackend(rule_answers), CONFIG, "packed").status

@@ -93,13 +93,29 @@ def _map(column: str) -> str:
   WHERE e.value <> '' GROUP BY doc_id, e.key)"""
 
 
-def _candidates(kind: str) -> str:
+def _candidates(kind: str, least: float = 0.8) -> str:
     return f"""
-WITH v AS (SELECT doc_id, name || '#' || vec_id AS name, row_number() OVER (PARTITION BY doc_id ORDER BY length(name) DESC, vec_id) AS ord, CAST(vec AS DOUBLE[]) AS vec
+WITH RECURSIVE v AS (SELECT doc_id, name || '#' || vec_id AS name, row_number() OVER (PARTITION BY doc_id ORDER BY length(name) DESC, vec_id) AS ord, CAST(vec AS DOUBLE[]) AS vec
   FROM name_vectors WHERE kind = '{kind}' AND doc_id IS NOT NULL),
 u AS (SELECT *, sqrt(list_dot_product(vec, vec)) AS n FROM v WHERE vec IS NOT NULL AND list_dot_product(vec, vec) > 0),
 p AS (SELECT a.doc_id, a.name AS target, b.name AS candidate, a.ord AS x, b.ord AS y, list_dot_product(a.vec, b.vec) / (a.n * b.n) AS score FROM u a JOIN u b ON a.doc_id = b.doc_id AND a.ord <> b.ord)
-SELECT doc_id, target, candidate, round(score, 6) AS score, row_number() OVER (PARTITION BY doc_id, x ORDER BY score DESC, y) AS rank FROM p WHERE score >= 0.8 QUALIFY rank <= 5"""
+SELECT doc_id, target, candidate, round(score, 6) AS score, row_number() OVER (PARTITION BY doc_id, x ORDER BY score DESC, y) AS rank FROM p WHERE score >= {least} QUALIFY rank <= 5"""
+
+
+def _fold(kind: str, least: float, match: float) -> str:
+    """The fold over an article's names in their order, as a recursion whose state are the mapping, the names that are done and the singletons."""
+    return f"""{_candidates(kind, least).replace("SELECT doc_id, target", ", ca AS (SELECT doc_id, target").rstrip()}),
+n AS (SELECT doc_id, list(name ORDER BY ord) AS names FROM v GROUP BY doc_id HAVING count(*) > 1),
+an AS (SELECT doc_id, target, coalesce(list(candidate ORDER BY rank) FILTER (score >= {match}), []) AS m FROM ca GROUP BY doc_id, target),
+aw AS (SELECT *, list_reduce([target] || m, lambda a, b: CASE WHEN length(b) > length(a) OR (length(b) = length(a) AND b > a) THEN b ELSE a END) AS proposed FROM an),
+f AS (SELECT doc_id, names, 0 AS i, CAST(MAP {{}} AS MAP(VARCHAR, VARCHAR)) AS canon, CAST([] AS VARCHAR[]) AS done, CAST([] AS VARCHAR[]) AS single FROM n
+  UNION ALL SELECT doc_id, names, i + 1,
+    CASE WHEN skip OR (m IS NULL AND ({kind == 'relation'} OR canon[t] IS NOT NULL)) THEN canon WHEN m IS NULL THEN map_concat(canon, MAP {{t: t}})
+      ELSE map_concat(canon, map_from_entries(list_transform(g, lambda x: struct_pack(k := x, v := coalesce(nullif(list_filter(list_transform(g, lambda y: canon[y]), lambda y: y IS NOT NULL)[1], ''), proposed))))) END,
+    CASE WHEN skip OR m IS NULL THEN done ELSE done || m END, CASE WHEN m IS NULL AND NOT skip THEN single || [t] ELSE single END
+  FROM (SELECT f.*, names[i + 1] AS t, list_contains(done, names[i + 1]) AS skip, aw.m, aw.proposed, list_filter([names[i + 1]] || list_filter(aw.m, lambda x: x <> names[i + 1]), lambda x: list_contains(names, x)) AS g
+    FROM f LEFT JOIN aw ON aw.doc_id = f.doc_id AND aw.target = names[i + 1] WHERE i < len(names)) s),
+e AS (SELECT doc_id, canon, single, unnest(names) AS variant FROM f WHERE i = len(names))"""
 
 
 _ASKED = "(SELECT DISTINCT doc_id, subject AS name FROM facts)"
@@ -156,7 +172,10 @@ FROM (SELECT DISTINCT chunk_id, article_title, section_path, chunk_text FROM chu
 WITH {_FACTS}, o AS (SELECT doc_id, name, row_number() OVER (PARTITION BY doc_id ORDER BY length(name) DESC, name) - 1 AS ord FROM {_ASKED})
 SELECT doc_id, name, ord, ord // 8 AS batch FROM o""",
     "entity_candidates": _candidates("entity"),
-    "relation_candidates": _candidates("relation"),
+    "relation_candidates": _candidates("relation", 0.3),
+    "entity_map_fold": _fold("entity", 0.8, 0.9) + " SELECT doc_id, variant, coalesce(canon[variant], variant) AS canonical FROM e",
+    "relation_map_fold": _fold("relation", 0.3, 0.32)
+    + " SELECT doc_id, variant, CASE WHEN list_contains(single, variant) THEN split_part(variant, '#', 1) ELSE coalesce(canon[variant], variant) END AS canonical FROM e",
     "apply_entity_map": f"""
 WITH {_FACTS}, {_map('entity_map')}
 SELECT f.doc_id, f.pos, coalesce(a.canonical, f.subject) AS subject, f.relation, coalesce(b.canonical, f.object) AS object
@@ -189,6 +208,44 @@ WITH {_FACTS}, {_RELATIONS}, e AS (SELECT subject AS src, upper(replace(translat
 SELECT src, rel_type, dst, l.relation AS relation_name, l.definition AS definition, l.concepts AS concepts
 FROM (SELECT src, rel_type, dst, max(struct_pack(doc_id := doc_id, pos := pos, relation := relation, definition := definition, concepts := concepts)) AS l FROM e GROUP BY src, rel_type, dst)""",
     "has_entity": f"WITH {_NODES} SELECT doc_id, name FROM nd WHERE len(concepts) > 0",
-    "json_answers": """
-SELECT chunk_id, form, form NOT IN ('two', 'object') AS parsed FROM (SELECT DISTINCT chunk_id, doc_id, chunk_index, chunk_text FROM chunks WHERE chunk_text IS NOT NULL AND doc_id IS NOT NULL), (SELECT unnest(['fenced', 'prose', 'comma', 'two', 'object']) AS form)""",
+    "kg_documents": f"""
+WITH {_NODES}, {_DEFINED}, rl AS (SELECT DISTINCT doc_id, relation FROM facts), {_map('entity_map').replace('mp AS', 'em AS')}, {_map('relation_map').replace('mp AS', 'rm AS')},
+ti AS (SELECT doc_id, max(article_title) AS article_title FROM kg WHERE doc_id IN (SELECT doc_id FROM facts) GROUP BY doc_id),
+p AS (SELECT doc_id, 'node' AS part, name AS key, array_to_string(concepts, '|') AS value FROM nd
+  UNION ALL SELECT doc_id, 'relation', relation, coalesce(definition, '') || '|' FROM rl LEFT JOIN defs USING (doc_id, relation)
+  UNION ALL SELECT doc_id, 'triple', CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos, subject, relation, object) - 1 AS VARCHAR), concat_ws('|', subject, relation, object) FROM dd
+  UNION ALL SELECT doc_id, 'entity_map', variant, canonical FROM em UNION ALL SELECT doc_id, 'relation_map', variant, canonical FROM rm)
+SELECT doc_id, article_title, part, key, value FROM p JOIN ti USING (doc_id)""",
+    "wiki_records": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, title, text FROM documents",
+    "essay_records": "SELECT essay_title AS doc_id, essay_title AS title, essay_content AS text FROM essay",
+    "article_files": r"""
+SELECT 'essay_' || essay_id || '.v1' AS doc_id, 'essay_' || essay_id || '.v1' AS title, regexp_replace(max(essay_content), '\r\n?', chr(10), 'g') || chr(10) AS text FROM essay WHERE essay_content IS NOT NULL GROUP BY essay_id""",
+    "graph_lines": f"""
+WITH {_FACTS}, ti AS (SELECT doc_id, max(article_title) AS article_title FROM kg GROUP BY doc_id)
+SELECT article_title, row_number() OVER (PARTITION BY doc_id ORDER BY pos, subject, relation, object) - 1 AS place, subject, relation, object FROM dd JOIN ti USING (doc_id)""",
+    "graph_files": f"""
+WITH {_FACTS}, ti AS (SELECT doc_id, max(article_title) AS article_title FROM kg WHERE doc_id IN (SELECT doc_id FROM facts) GROUP BY doc_id),
+la AS (SELECT max(doc_id) AS doc_id FROM ti GROUP BY translate(coalesce(article_title, ''), ' /', '__'))
+SELECT article_title, subject, relation, object FROM dd JOIN ti USING (doc_id) JOIN la USING (doc_id) UNION ALL SELECT 'broken.json', '', '', ''""",
+    "progress_keys": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, doc_id IN (SELECT doc_id FROM kg WHERE doc_id IS NOT NULL) AS done FROM (SELECT doc_id FROM documents UNION SELECT doc_id FROM kg WHERE doc_id IS NOT NULL)",
+    "pipeline_status": chunks("SELECT essay_id AS doc_id, (max(struct_pack(t := essay_title, c := essay_content))).t AS title, (max(struct_pack(t := essay_title, c := essay_content))).c AS text FROM essay GROUP BY essay_id", headings=False)
+    + f""", r AS (SELECT essay_id AS doc_id, max(essay_title) AS title FROM essay GROUP BY essay_id),
+w AS (SELECT doc_id, {words("unnest(" + sentences("chunk_text") + ")")} AS w FROM ch),
+t AS (SELECT DISTINCT doc_id, w[1] AS s, w[2] AS r, array_to_string(w[3:], ' ') AS o FROM w WHERE len(w) >= 3),
+n AS (SELECT doc_id, count(*) AS nodes FROM (SELECT doc_id, s FROM t UNION SELECT doc_id, o FROM t) GROUP BY doc_id),
+k AS (SELECT doc_id, count(DISTINCT r) AS relations, count(*) AS triples FROM t GROUP BY doc_id),
+a AS (SELECT DISTINCT doc_id FROM ch)
+SELECT r.doc_id, r.title AS article, coalesce(nodes, 0) AS nodes, coalesce(relations, 0) AS relations, coalesce(triples, 0) AS triples,
+  CASE WHEN a.doc_id IS NULL THEN 'failed' ELSE 'success' END AS status, CASE WHEN a.doc_id IS NULL THEN 'no chunks' END AS error
+FROM r LEFT JOIN a USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    # the ladder of repairs: the first text that is valid decides; a loose comma makes a text invalid, whatever the engine's own view of it
+    "json_answers": r"""
+WITH c AS (SELECT DISTINCT chunk_id, doc_id, chunk_index, chunk_text FROM chunks WHERE chunk_text IS NOT NULL AND doc_id IS NOT NULL),
+j AS (SELECT chunk_id, CAST(to_json(struct_pack(a := chunk_text)) AS VARCHAR) AS j FROM c),
+x AS (SELECT chunk_id, unnest([struct_pack(form := 'fenced', raw := '```json' || chr(10) || '[' || j || ']' || chr(10) || '```'), struct_pack(form := 'prose', raw := 'Sure: [' || j || '] I hope so.'),
+  struct_pack(form := 'comma', raw := '[' || j || ', ,]'), struct_pack(form := 'two', raw := '[' || j || '] [2]'), struct_pack(form := 'object', raw := j)]) AS f FROM j),
+u AS (SELECT chunk_id, f.form AS form, regexp_replace(regexp_replace(f.raw, '^```(json)?\s*', ''), '\s*```$', '') AS t FROM x),
+b AS (SELECT *, regexp_extract(t, '(?s)\{.*\}|\[.*\]') AS block FROM u),
+l AS (SELECT chunk_id, form, list_filter([t, block, regexp_replace(block, '(,\s*)+([}\]])', '\2', 'g'), regexp_replace(t, '(,\s*)+([}\]])', '\2', 'g')], lambda v: json_valid(v)) AS good FROM b)
+SELECT chunk_id, form, coalesce(json_type(good[1]) = 'ARRAY', false) AS parsed FROM l""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import file_name
@@ -25,14 +25,19 @@ def append_graphs(documents: DataFrame, path: str) -> None:
 
 
 def write_json_files(documents: DataFrame, path: str) -> None:
-    """One file a document, named after its title; a later document of the same title replaces the earlier one.
-
-    The files are written by the tasks and then renamed; for people and small exports, the tables are what scales.
-    """
-    spark = documents.sparkSession
+    """One file a document, named after its title; a later document of the same title replaces the earlier one."""
     named = documents.withColumn("file", file_name(F.coalesce("article_title", F.lit(""))))
-    last = named.groupBy("file").agg(F.max_by(F.to_json(F.struct(*documents.columns)), "doc_id").alias("value"))
-    last.write.mode("overwrite").partitionBy("file").text(path)
+    write_named_files(named.groupBy("file").agg(F.max_by(F.to_json(F.struct(*documents.columns)), "doc_id").alias("value")), path)
+
+
+def write_named_files(files: DataFrame, path: str) -> None:
+    """A file for each row of ``(file, value)``, written by the tasks and renamed afterwards; for people and exports, tables are what scales."""
+    files.select("file", "value").write.mode("overwrite").partitionBy("file").text(path)
+    unfold_files(files.sparkSession, path)
+
+
+def unfold_files(spark: SparkSession, path: str) -> None:
+    """Turns each folder ``file=NAME`` with one part into the file NAME."""
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
