@@ -141,5 +141,11 @@ SELECT DISTINCT src, item_id FROM t WHERE length(t) > 4000 OR len(string_split(t
     "p4_found": _TRIPLES_SQL + " SELECT first_id, triple_id AS copy_id FROM (SELECT triple_id, min(triple_id) OVER (PARTITION BY doc_id, r, a, b) AS first_id FROM k) WHERE triple_id > first_id",
     "p4_collapsed": _TRIPLES_SQL + " SELECT doc_id, min(triple_id) AS first_id, count(DISTINCT triple_id) AS n_copies FROM k GROUP BY doc_id, r, a, b",
     "p5_found": _TERMS_SQL + " SELECT field, term FROM m WHERE mark IS NOT NULL",
+    # the answer is the same for tokens of any tokenizer: bytes will do
+    "p7_found": r"""
+WITH t AS (SELECT source, lower(regexp_replace(source, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS key, target_share, max_repeats FROM source_targets),
+d AS (SELECT lower(regexp_replace(source, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS key, sum(strlen(text)) AS tokens FROM documents WHERE source IS NOT NULL GROUP BY ALL),
+s AS (SELECT t.*, coalesce(tokens, 0) AS tokens FROM t LEFT JOIN d USING (key))
+SELECT source FROM s WHERE max_repeats * tokens < target_share * (SELECT sum(tokens) FROM s)""",
     "p5_frequencies": _TERMS_SQL + " SELECT field, term, occurrences, articles, mark FROM m",
 }
