@@ -142,7 +142,7 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, errors: fl
     Up to ``errors`` of the passage's units may be others. An item's instruction line
     does not count. Null and empty texts hold nothing and leak nothing, rows without an id do not
     count; of items with the same id the last in letter order counts. The items are held against all documents in blocks of
-    ``block``, which bounds what is sent to the workers; the corpus itself is never sent anywhere.
+    ``block``, which bounds what is sent to the workers.
     """
     if not (0 < share <= 1 and 0 <= errors < 1):
         raise ValueError("share must be above 0 and at most 1, errors at least 0 and below 1")
@@ -202,4 +202,6 @@ def _block(docs: DataFrame, index: ItemIndex) -> DataFrame:
     overlap = F.least("units", F.col("n") - F.col("offset")) - F.greatest(F.lit(0), -F.col("offset"))
     pairs = pairs.filter(overlap >= F.ceil(index.share * F.col("units") - 1e-9)).select("doc_id", "item_id", "offset").distinct()
     candidates = pairs.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "offset")).alias("candidates"))
+    # few documents have any: unless they are many, the texts of the rest stay where they are
+    candidates = small(materialise(candidates, "leak-candidates"), 1_000_000, 32 << 20)
     return docs.join(candidates, "doc_id").mapInPandas(verify, "doc_id long, item_id long").distinct()
