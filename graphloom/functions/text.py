@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 SEPARATORS = "\x1c-\x1f"
 SPACE = rf"[\s{SEPARATORS}]"
 NON_SPACE = rf"[^\s{SEPARATORS}]"
+#: Unicode White_Space and these separators, one by one.
+SPACES = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
 HYPHEN_MARK, COMMA_MARK = " @-@ ", " @,@ "
 
@@ -24,7 +26,7 @@ def token_count(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """``text`` without Unicode white space at either end."""
-    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))  # looks at the ends only, where a pattern would try every run of blanks
 
 
 def unmark(text: Column) -> Column:

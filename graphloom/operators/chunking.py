@@ -1,8 +1,9 @@
 """Texts cut into chunks of bounded size along their headings, lines and sentences.
 
 The packing depends on a running total that is reset by its own value, which no window
-expresses. It is a fold over the lines of one text, in one expression: nothing is shuffled, and
-every text is chunked where it is read.
+expresses. It is a fold over the lines of one text: nothing is shuffled, and every text is chunked where it
+is read. The fold carries numbers only, where each chunk starts; the lines are cut into chunks afterwards, so that
+a text as long as a book costs no more a line than a short one.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from graphloom.functions.text import clean, heading, lines, sentences, strip, to
 
 INTRODUCTION, PARAGRAPH, WHOLE = "Introduction", "paragraph", "full_article"
 _STACK = "array<struct<level:int,name:string>>"
-_CHUNKS = "array<struct<article_title:string,section_path:string,chunk_text:string>>"
+_PLACES = "array<struct<at:int,title:string,stack:array<struct<level:int,name:string>>>>"
+_INTS = "array<int>"
 
 
 def _items(text: Column, limit: int, headings: bool) -> Column:
@@ -37,42 +39,60 @@ def _items(text: Column, limit: int, headings: bool) -> Column:
     return F.flatten(F.transform(F.transform(kept, lambda line: F.struct(line.alias("line"), token_count(line).alias("n"))), of))
 
 
-def pack(text: Column, title: Column, cfg: Config, headings: bool = True, titled: bool = False) -> Column:
-    """Chunks of a text in order, before cleaning: ``array<struct(article_title, section_path, chunk_text)>``.
-
-    A line joins the current chunk while the total stays within the limit. A heading ends the
-    chunk under the old path; level 1 clears the path, and with ``titled`` it sets the title, which
-    is empty before. The sentences of a line over the limit are packed by themselves; a
-    sentence over the limit is a chunk of its own.
-    """
-    zero = F.struct(
-        F.lit(0).alias("total"), F.lit(None).cast("string").alias("buffer"), F.lit(False).alias("over"), (F.lit("") if titled else title).alias("title"),
-        F.array().cast(_STACK).alias("stack"), F.array().cast(_CHUNKS).alias("chunks"),
-    )
-
-    def flushed(s: Column) -> Column:
-        path = F.array_join(F.transform(s["stack"], lambda h: h["name"]), " / ")
-        path = F.when(F.size(s["stack"]) == 0, INTRODUCTION).otherwise(path)
-        chunk = F.struct(s["title"].alias("article_title"), path.alias("section_path"), s["buffer"].alias("chunk_text"))
-        return F.when(s["buffer"].isNull(), s["chunks"]).otherwise(F.concat(s["chunks"], F.array(chunk)))
+def _starts(items: Column, limit: int) -> Column:
+    """Where the chunks start among the items."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("total"), F.lit(False).alias("open"), F.lit(False).alias("over"), F.array().cast(_INTS).alias("starts"))
 
     def step(s: Column, x: Column) -> Column:
         head = x["level"] > 0
-        full = head | x["first"] | (s["over"] & ~x["over"]) | (s["total"] + x["n"] > cfg.max_tokens)
-        fresh = full | s["buffer"].isNull()
-        upper = F.filter(s["stack"], lambda h: h["level"] < x["level"])
-        entry = F.array(F.struct(x["level"].alias("level"), x["line"].alias("name")))
-        stack = F.when(~head, s["stack"]).when(x["level"] == 1, F.array().cast(_STACK)).otherwise(F.concat(upper, entry))
+        fresh = ~s["open"] | x["first"] | (s["over"] & ~x["over"]) | (s["total"] + x["n"] > limit)
         return F.struct(
+            (s["at"] + 1).alias("at"),
             F.when(head, 0).when(fresh, x["n"]).otherwise(s["total"] + x["n"]).alias("total"),
-            F.when(head, F.lit(None).cast("string")).when(fresh, x["line"]).otherwise(F.concat(s["buffer"], F.lit(" "), x["line"])).alias("buffer"),
+            (~head).alias("open"),
             (x["over"] & ~head).alias("over"),
-            (F.when(head & (x["level"] == 1), x["line"]).otherwise(s["title"]) if titled else s["title"]).alias("title"),
-            stack.alias("stack"),
-            F.when(full, flushed(s)).otherwise(s["chunks"]).alias("chunks"),
+            F.when(fresh & ~head, F.array_append(s["starts"], s["at"])).otherwise(s["starts"]).alias("starts"),
         )
 
-    return F.aggregate(_items(text, cfg.max_tokens, headings), zero, step, flushed)
+    return F.aggregate(items, zero, step, lambda s: s["starts"])
+
+
+def _places(items: Column, title: Column) -> Column:
+    """After each heading: its place among the items, the title and the stack of names from there on."""
+    heads = F.filter(F.transform(items, lambda x, i: F.struct(i.alias("at"), x["level"].alias("level"), x["line"].alias("name"))), lambda h: h["level"] > 0)
+    first = F.array(F.struct(F.lit(-1).alias("at"), title.alias("title"), F.array().cast(_STACK).alias("stack"))).cast(_PLACES)
+
+    def step(done: Column, h: Column) -> Column:
+        last = F.element_at(done, -1)
+        upper = F.filter(last["stack"], lambda e: e["level"] < h["level"])
+        deeper = F.concat(upper, F.array(F.struct(h["level"].alias("level"), h["name"].alias("name"))))
+        stack = F.when(h["level"] == 1, F.array().cast(_STACK)).otherwise(deeper)
+        return F.array_append(done, F.struct(h["at"].alias("at"), F.when(h["level"] == 1, h["name"]).otherwise(last["title"]).alias("title"), stack.alias("stack")))
+
+    return F.aggregate(heads, first, step)
+
+
+def _packed(rows: DataFrame, cfg: Config, headings: bool, titled: bool) -> DataFrame:
+    """Replaces ``text`` by ``found``, its chunks in order, before cleaning: ``array<struct(article_title, section_path, chunk_text)>``.
+
+    A line joins the current chunk while the total stays within the limit. A heading ends the
+    chunk under the old path; level 1 clears the path, and with ``titled`` it sets the title, which
+    is empty before. The sentences of a line over the limit are packed by themselves; a
+    sentence over the limit is a chunk of its own.
+    """
+    rows = rows.withColumn("items", _items(F.col("text"), cfg.max_tokens, headings)).drop("text")
+    rows = rows.withColumns({"starts": _starts(F.col("items"), cfg.max_tokens), "places": _places(F.col("items"), F.lit("") if titled else F.col("title"))})
+
+    def cut(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("starts", k + 1), F.size("items"))
+        own = F.filter(F.slice("items", start + 1, end - start), lambda x: x["level"] == 0)
+        text = F.array_join(F.transform(own, lambda x: x["line"]), " ")
+        place = F.element_at(F.filter("places", lambda p: p["at"] < start), -1)
+        path = F.array_join(F.transform(place["stack"], lambda h: h["name"]), " / ")
+        title = place["title"] if titled else F.col("title")
+        return F.struct(title.alias("article_title"), F.when(F.size(place["stack"]) == 0, INTRODUCTION).otherwise(path).alias("section_path"), text.alias("chunk_text"))
+
+    return rows.withColumn("found", F.transform("starts", cut)).drop("items", "starts", "places")
 
 
 def chunk(docs: DataFrame, cfg: Config = Config(), strategy: str = "sections", key: str = "doc_id", title: str = "title", text: str = "text") -> DataFrame:
@@ -89,13 +109,13 @@ def chunk(docs: DataFrame, cfg: Config = Config(), strategy: str = "sections", k
     if strategy == "paragraph":
         body = F.regexp_replace(strip(F.coalesce("text", F.lit(""))), r"\r\n?", "\n")
         found = F.filter(F.transform(F.split(body, "\n\n"), strip), lambda p: p != "")
-        found = F.transform(found, lambda p: named(PARAGRAPH, p))
+        rows = rows.withColumn("found", F.transform(found, lambda p: named(PARAGRAPH, p)))
     elif strategy == "whole":
-        found = F.array(named(WHOLE, clean(F.coalesce("text", F.lit("")))))
+        rows = rows.withColumn("found", F.array(named(WHOLE, clean(F.coalesce("text", F.lit(""))))))
     else:
-        found = pack(F.col("text"), F.col("title"), cfg, strategy in ("sections", "file"), strategy == "file")
-        found = F.transform(found, lambda c: F.struct(c["article_title"], c["section_path"], clean(c["chunk_text"]).alias("chunk_text")))
-    rows = rows.select("doc_id", found.alias("found"))
+        rows = _packed(rows, cfg, strategy in ("sections", "file"), strategy == "file")
+        rows = rows.withColumn("found", F.transform("found", lambda c: F.struct(c["article_title"], c["section_path"], clean(c["chunk_text"]).alias("chunk_text"))))
+    rows = rows.select("doc_id", "found")
     counted = F.transform("found", lambda c: F.struct(c["article_title"], c["section_path"], c["chunk_text"], token_count(c["chunk_text"]).alias("token_approx")))
     rows = rows.select("doc_id", counted.alias("found"))
     least = 1 if strategy == "paragraph" else cfg.min_tokens

@@ -117,3 +117,35 @@ def test_sampler(spark):
     text = "x\n = One = \n" + words(1500) + "\n = = Sub = = \nmore\n = Two = \nshort\n = Three = \n" + words(1200)
     got = chunking.sample(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).collect()
     assert [(r.pos, r.article[:8]) for r in got] == [(1, "= One = "), (3, "= Three ")]
+
+
+def test_a_text_as_long_as_a_book(spark):
+    text = "\n".join(f"= = Part {i} = =\n" + "\n".join(f"line {i} {j} " + "word " * 17 for j in range(90)) for i in range(250))
+    rows = chunks(spark, text)
+    assert len(rows) == 1000 and [r[1] for r in rows[::4]] == [f"Part {i}" for i in range(250)]
+    assert " ".join(r[2] for r in rows).split() == " ".join(x for x in text.split("\n") if not x.startswith("=")).split()
+
+
+def article(*sections):
+    """Text with the line sizes of an article's sections; ``(n, marks)`` is a line that loses two tokens for each mark."""
+    lines = ["= T ="]
+    for i, sizes in enumerate(sections):
+        lines += [f" = = Section {i} = = "] * (i > 0)
+        for size in sizes:
+            n, marks = size if isinstance(size, tuple) else (size, 0)
+            lines.append(" ".join(["a @-@ b"] * marks + ["w"] * (n - 3 * marks)))
+    return "\r\n".join(lines)
+
+
+@pytest.mark.parametrize(
+    ("sections", "sizes"),
+    [
+        ([[315], [211, 296, 84], [188, 221, 203], [515], [304], [353], [413], [62], [528]], [315, 507, 84, 409, 203, 515, 304, 353, 413, 62, 528]),
+        ([[n] for n in (244, 164, 203, 158, 287, 241, 138)] + [[], []] + [[n] for n in (215, 212, 337, 100, 21, 308, 89, 166)], [244, 164, 203, 158, 287, 241, 138, 215, 212, 337, 100, 308, 89, 166]),
+        ([[(126, 4)], [(350, 13)], [184]], [118, 324, 184]),
+        ([[235], [262], [316], [111], [202], [131]], [235, 262, 316, 111, 202, 131]),
+    ],
+)
+def test_sizes_of_whole_articles(spark, sections, sizes):
+    rows = chunks(spark, article(*sections), strategy="file")
+    assert [r[4] for r in rows] == sizes and [r[3] for r in rows] == list(range(len(sizes))) and {r[0] for r in rows} == {"T"}

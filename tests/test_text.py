@@ -93,3 +93,11 @@ def test_embedder(spark):
     assert (same[0] == same[1]).all() and not same[2].any() and abs((same[0] ** 2).sum() - 1) < 1e-5
     rows = spark.createDataFrame([("a b",), (None,)], "x string").select(embedder()("x").alias("v")).collect()
     assert all(len(r["v"]) == 64 for r in rows)
+
+
+def test_strip_takes_what_the_pattern_takes(spark):
+    for code in range(0x3100):
+        if chr(code).isspace():
+            assert chr(code) in text.SPACES, hex(code)
+    assert all(c.isspace() for c in text.SPACES)
+    assert one(spark, text.strip, f"{text.SPACES}a {text.SPACES[::-1]} b{text.SPACES}") == f"a {text.SPACES[::-1]} b"
