@@ -16,6 +16,7 @@ from graphloom.plans.backends import Store, backend
 from graphloom.plans.pipeline import build_graphs
 from graphloom.plans.queries import rule_answers
 from graphloom.sources import readers, sinks
+from graphloom.tables import forget
 
 KINDS = {"wiki": (readers.wiki_records, "sections"), "essays": (readers.essay_records, "paragraph"), "files": (readers.article_files, "file")}
 
@@ -42,6 +43,7 @@ def main(argv: list[str] | None = None) -> None:
     graphs = build_graphs(todo, backend(spark, cfg, a.answers, rule_answers), cfg, strategy, store=store)
     sinks.append_graphs(graphs.documents, f"{a.output}/graphs")
     graphs.status.orderBy("doc_id").show(1000, truncate=60)
+    forget(spark)
 
 
 if __name__ == "__main__":

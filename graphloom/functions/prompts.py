@@ -29,7 +29,7 @@ def facts(context: Column, limit: int = 3) -> Column:
 def fact_lines(context: Column) -> Column:
     """One fact a line, or a note that there is none."""
     text = F.array_join(F.transform(context, lambda t: F.to_json(F.struct(t["subject"], t["relation"], t["object"]))), "\n")
-    return F.when(context.isNull() | (F.size(context) == 0), "(no context triples)").otherwise(text)
+    return F.when(context.isNull() | (F.size(context) == 0), "(nothing is said about it)").otherwise(text)
 
 
 def example(t: Column) -> Column:

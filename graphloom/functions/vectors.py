@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -44,3 +45,20 @@ def embedder(embed=embed_texts):
         return pd.Series(list(embed(texts.fillna("").tolist())))
 
     return vectors
+
+
+_LOADED: dict = {}
+
+
+def model_embedder(load):
+    """The same with a model: ``load()`` gives the function from a list of texts to vectors, and is called once a worker process."""
+    name = (load.__module__, load.__qualname__)
+
+    @F.pandas_udf("array<float>")
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        if name not in _LOADED:
+            _LOADED[name] = load()
+        for texts in batches:
+            yield pd.Series(list(_LOADED[name](texts.fillna("").tolist())))
+
+    return vectors

@@ -194,6 +194,54 @@ def extract_prompts(spark, d):
     return rows.select("chunk_id", prompts.extract(F.col("article_title"), F.col("section_path"), F.col("chunk_text")).alias("prompt"))
 
 
+def _titles(spark, d):
+    return table(spark, d, "kg").filter("doc_id is not null").groupBy("doc_id").agg(F.max("article_title").alias("article_title"))
+
+
+def _asked(spark, d, size):
+    """Batches of the relations of each article with their first triples, as a model would be asked about them."""
+    rows = triples.batches(triples.relation_examples(triples.dedup(facts(spark, d))), size)
+    rows = rows.join(defined(spark, d).select("doc_id", "relation", "definition"), ["doc_id", "relation"], "left")
+    item = F.struct("ord", "relation", F.coalesce("definition", F.lit("")).alias("definition"), F.struct("subject", "relation", "object").alias("example"))
+    rows = rows.groupBy("doc_id", "batch").agg(F.array_sort(F.collect_list(item)).alias("asked")).join(_titles(spark, d), "doc_id")
+    return rows.withColumn("batch", F.col("batch").cast("long"))
+
+
+@query
+def definition_prompts(spark, d):
+    return _asked(spark, d, CONFIG.definition_batch).select("doc_id", "batch", prompts.define(F.col("article_title"), F.col("asked")).alias("prompt"))
+
+
+@query
+def singleton_prompts(spark, d):
+    return _asked(spark, d, CONFIG.singleton_batch).select("doc_id", "batch", prompts.shorten(F.col("article_title"), F.col("asked")).alias("prompt"))
+
+
+@query
+def relation_kind_prompts(spark, d):
+    return _asked(spark, d, CONFIG.concept_batch).select("doc_id", "batch", prompts.relation_kinds(F.col("article_title"), F.col("asked")).alias("prompt"))
+
+
+@query
+def relation_strings(spark, d):
+    return defined(spark, d).select("doc_id", "relation", F.concat_ws(" ", "relation", "definition").alias("embedded"))
+
+
+@query
+def entity_prompts(spark, d):
+    """For every name of an article, whether the names that begin with the same letter mean the same; those stand in for candidates by similarity."""
+    lists = materialise(triples.context_lists(triples.dedup(facts(spark, d))), "contexts")
+    first = F.substring("name", 1, 1)
+    names = lists.select("doc_id", first.alias("letter"), "name", "context")
+    place = F.row_number().over(Window.partitionBy("doc_id", "letter").orderBy("name"))
+    few = names.withColumn("n", place).filter(F.col("n") <= CONFIG.entity_top_k + 1)  # one of them may be the name itself
+    groups = few.groupBy("doc_id", "letter").agg(F.array_sort(F.collect_list(F.struct("name", "context"))).alias("all"))
+    rows = lists.withColumn("letter", first).join(groups, ["doc_id", "letter"]).join(_titles(spark, d), "doc_id")
+    others = F.slice(F.filter("all", lambda c: c["name"] != F.col("name")), 1, CONFIG.entity_top_k)
+    rows = rows.withColumn("others", others).filter(F.size("others") > 0)
+    return rows.select("doc_id", "name", prompts.same_entity(F.col("article_title"), F.col("name"), F.col("context"), F.col("others")).alias("prompt"))
+
+
 @query
 def relation_examples(spark, d):
     rows = triples.relation_examples(triples.dedup(facts(spark, d)))

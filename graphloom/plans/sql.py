@@ -125,7 +125,29 @@ eo AS (SELECT doc_id, relation, row_number() OVER (PARTITION BY doc_id ORDER BY
 _FREQUENCY = """
 fq AS (SELECT doc_id, relation, coalesce(frequency, 0) AS frequency, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(frequency, 0) DESC, defs.ord, relation) - 1 AS ord FROM defs LEFT JOIN eo USING (doc_id, relation))"""
 
+_TITLES = "ti AS (SELECT doc_id, coalesce(max(article_title), '') AS title FROM kg WHERE doc_id IS NOT NULL GROUP BY doc_id)"
+
+
+def _asked(size: int, opening: str, line: str) -> str:
+    return f"""
+WITH {_FACTS}, {_EXAMPLES}, {_DEFINED}, {_TITLES},
+l AS (SELECT eo.doc_id, eo.ord, eo.ord // {size} AS batch, {line} AS line FROM eo LEFT JOIN defs ON defs.doc_id = eo.doc_id AND defs.relation = eo.relation)
+SELECT doc_id, batch, 'Article: ' || any_value(title) || chr(10) || '{opening}' || chr(10) || string_agg(line, chr(10) ORDER BY ord) AS prompt FROM l JOIN ti USING (doc_id) GROUP BY doc_id, batch"""
+
+
+_EXAMPLE = "' e.g. (' || eo.subject || ', ' || eo.relation || ', ' || eo.object || ')'"
+
 SQL: dict[str, str] = {
+    "definition_prompts": _asked(10, "Define:", f"""'- "' || eo.relation || '"' || {_EXAMPLE}"""),
+    "singleton_prompts": _asked(8, "Shorten where needed, leave none out:", f"""'- "' || eo.relation || '"' || {_EXAMPLE}"""),
+    "relation_kind_prompts": _asked(8, "Relations:", f"""'"' || eo.relation || '": ' || coalesce(definition, '') || {_EXAMPLE}"""),
+    "relation_strings": f"WITH {_DEFINED} SELECT doc_id, relation, relation || ' ' || definition AS embedded FROM defs",
+    "entity_prompts": f"""
+WITH {_FACTS}, {_CONTEXT}, {_TITLES},
+n AS (SELECT doc_id, name, left(name, 1) AS letter, string_agg('(' || subject || ', ' || relation || ', ' || object || ')', ' | ' ORDER BY rank) AS told FROM cr GROUP BY doc_id, name),
+p AS (SELECT a.doc_id, a.name, a.told, b.name AS other, b.told AS other_told FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.letter = b.letter AND a.name <> b.name QUALIFY row_number() OVER (PARTITION BY a.doc_id, a.name ORDER BY b.name) <= 5)
+SELECT doc_id, name, 'Article: ' || any_value(title) || chr(10) || 'Name: "' || name || '" in ' || any_value(told) || chr(10) || 'Which of these mean the same?' || chr(10)
+  || string_agg('- "' || other || '" in ' || other_told, chr(10) ORDER BY other) AS prompt FROM p JOIN ti USING (doc_id) GROUP BY doc_id, name""",
     "token_count": f"SELECT doc_id, CAST(coalesce(len({words('text')}), 0) AS BIGINT) AS n_tokens FROM documents",
     "clean_text": f"SELECT doc_id, {clean('text')} AS cleaned FROM documents",
     "heading_parse": f"WITH src AS ({DOCS}), {_LINES} SELECT doc_id, CAST(i AS BIGINT) AS line_index, CAST(lv AS BIGINT) AS level, array_to_string(k[lv + 1 : len(k) - lv], ' ') AS name FROM hd WHERE lv > 0",

@@ -224,7 +224,7 @@ def test_stream_reads_each_file_once(spark, tmp_path):
 def test_prompts(spark):
     row = spark.createDataFrame([("T", "n")], "title string, name string").withColumn("context", F.array().cast("array<struct<subject:string,relation:string,object:string>>"))
     assert row.select(prompts.facts(F.col("context"))).head()[0] == "none"
-    assert "no context" in row.select(prompts.fact_lines(F.col("context"))).head()[0]
+    assert "nothing is said" in row.select(prompts.fact_lines(F.col("context"))).head()[0]
     t = F.struct(F.lit("s").alias("subject"), F.lit("r").alias("relation"), F.lit("o").alias("object"))
     assert row.select(prompts.example(t)).head()[0] == "[s, r, o]"
     listed = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.struct(F.lit("c").alias("name"), F.lit("d").alias("definition"), t.alias("example")))

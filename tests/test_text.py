@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import json_repair, text
-from graphloom.functions.vectors import cosine, embed_texts, embedder
+from graphloom.functions.vectors import cosine, embed_texts, embedder, model_embedder
 
 
 def one(spark, f, value):
@@ -101,3 +101,21 @@ def test_strip_takes_what_the_pattern_takes(spark):
             assert chr(code) in text.SPACES, hex(code)
     assert all(c.isspace() for c in text.SPACES)
     assert one(spark, text.strip, f"{text.SPACES}a {text.SPACES[::-1]} b{text.SPACES}") == f"a {text.SPACES[::-1]} b"
+
+
+def test_a_model_is_loaded_once_a_worker(spark, tmp_path):
+    log = str(tmp_path / "loads")
+
+    def load():
+        with open(log, "a") as f:
+            f.write("x")
+        return lambda texts: [[float(len(t))] for t in texts]
+
+    rows = spark.range(100).repartition(1).select(F.when(F.col("id") > 0, F.repeat(F.lit("a"), F.col("id").cast("int"))).alias("x"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    embed = model_embedder(load)
+    for _ in range(2):
+        got = [r[0][0] for r in rows.select("x", embed("x").alias("v")).select("v").collect()]
+        assert sorted(got) == [float(i) for i in range(100)]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(open(log).read()) <= 2  # once in each of the processes that ran it, not once a batch
