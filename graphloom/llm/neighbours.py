@@ -28,7 +28,7 @@ from graphloom.tables import materialise, small
 PIVOTS_PER_ROOT, LISTED, POSTED = 2.0, 16, 6
 CLOSE = 0.85
 SIGNS = 192  # bits; of pairs just at the cosine asked for, about one in 10,000 differs in more of them than is let through
-SHORT = 256  # a vector with more near ones than this in one file asks all cells in reach
+SHORT = 256  # a vector with more near ones than this in one file, or than the root of the table if that is less, asks all cells in reach
 REGION = 16  # cells that are asked together
 FILE_ROWS = 10_000  # of either side, that one task compares
 SAMPLE = 1_000  # vectors from which it is read how near by footrule a vector at the cosine asked for is
@@ -330,6 +330,8 @@ def _close_ones(vectors: DataFrame, n: int, k: int, least: float, short: int) ->
 
     spare = entries.select("vec_id", "digest").join(copied.select("digest", "entry"), "digest").filter("vec_id <> entry").select("vec_id", "digest")
     kept = entries.join(spare, ["vec_id", "digest"], "left_anti")
+    # in a crowd of any size a file holds about three times the root of the table of near ones
+    short = min(short, max(64, math.ceil(math.sqrt(n))))
     found = materialise(_shortlists(kept, listed, len(pivots), common, least, short), "shortlists")
     near = _cosines(found.filter("not crowded").select("a", "b").distinct(), vectors)
     crowd = found.filter("crowded").select(F.col("a").alias("vec_id")).distinct()
