@@ -8,11 +8,12 @@ a text as long as a book costs no more a line than a short one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.config import Config
-from graphloom.functions.text import clean, heading, lines, sentences, strip, token_count
+from graphloom.functions.text import SPACES, clean, heading, lines, sentences, strip, token_count
+from graphloom.tables import materialise, small
 
 INTRODUCTION, PARAGRAPH, WHOLE = "Introduction", "paragraph", "full_article"
 _STACK = "array<struct<level:int,name:string>>"
@@ -141,3 +142,29 @@ def sample(docs: DataFrame, cfg: Config = Config(), key: str = "doc_id", text: s
     rows = docs.select(F.col(key).alias("doc_id"), F.posexplode(F.transform(cut, strip)).alias("pos", "article"))
     rows = rows.filter(F.length("article") > cfg.sample_min_chars)
     return rows.orderBy("doc_id", "pos").limit(cfg.sample_articles)
+
+
+def sample_corpus(rows: DataFrame, cfg: Config = Config(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(number, article)``: the first long articles of a corpus whose rows, in the order of a unique ``key``, are joined by line ends.
+
+    An article begins before each level-1 heading and goes on over rows that have none. Nulls are
+    empty rows. Where articles begin and end is counted by running sums, first inside ranges of rows and then over the ranges;
+    only the articles that are returned are put together.
+    """
+    body = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\r\n?", "\n")
+    parts = rows.select(F.col(key).alias("key"), F.split(body, r"\n(?= = (?!=))").alias("parts")).select("key", F.posexplode("parts").alias("i", "part"))
+    begins = ((F.col("i") > 0) | F.col("part").rlike(r"\A = (?!=)")).cast("long").alias("begins")
+    # blanks at the ends, and the length with the line end that joins it to the next
+    lead = F.length("part") - F.length(F.ltrim("part", F.lit(SPACES)))
+    parts = parts.select("key", "i", "part", begins, (F.length("part") + 1).cast("long").alias("n"), lead.alias("lead"), F.length(F.rtrim("part", F.lit(SPACES))).alias("full"))
+    parts = materialise(parts.repartitionByRange("key").withColumn("range", F.spark_partition_id()), "sample-parts")
+    sums = parts.groupBy("range").agg(F.sum("begins").alias("b"), F.sum("n").alias("c"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sums = sums.select("range", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("b", "c")))
+    inside = Window.partitionBy("range").orderBy("key", "i")
+    placed = parts.join(small(sums), "range").withColumn("number", F.col("b0") + F.sum("begins").over(inside))
+    placed = placed.withColumn("at", F.col("c0") + F.sum("n").over(inside) - F.col("n"))
+    ends = placed.filter("full > 0").groupBy("number").agg((F.max(F.col("at") + F.col("full")) - F.min(F.col("at") + F.col("lead"))).alias("size"))
+    chosen = materialise(ends.filter(F.col("size") > cfg.sample_min_chars).orderBy("number").limit(cfg.sample_articles).select("number"), "sampled")
+    found = placed.join(F.broadcast(chosen), "number").groupBy("number").agg(F.array_sort(F.collect_list(F.struct("key", "i", "part"))).alias("p"))  # a handful of numbers
+    return found.select("number", strip(F.array_join("p.part", "\n")).alias("article"))

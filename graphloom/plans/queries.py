@@ -121,6 +121,12 @@ def sampler(spark, d):
     return chunking.sample(documents(spark, d)).select("doc_id", F.col("pos").cast("long").alias("pos"), "article")
 
 
+@query
+def corpus_sampler(spark, d):
+    """The same over all documents joined to one corpus."""
+    return chunking.sample_corpus(documents(spark, d)).select("article")
+
+
 @query
 def resume_anti(spark, d):
     done = table(spark, d, "kg").select(F.col("doc_id").alias("key")).filter("key is not null").distinct()

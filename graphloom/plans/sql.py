@@ -166,6 +166,11 @@ SELECT doc_id, title AS article_title, 'full_article' AS section_path, CAST(0 AS
 WITH a AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n( = [^=])', chr(1) || '\1', 'g'), chr(1)) AS s FROM documents),
 p AS (SELECT doc_id, CAST(generate_subscripts(s, 1) - 1 AS BIGINT) AS pos, unnest(s) AS x FROM a)
 SELECT doc_id, pos, {strip('x')} AS article FROM p WHERE length({strip('x')}) > 2000 ORDER BY doc_id, pos LIMIT 5""",
+    "corpus_sampler": rf"""
+WITH c AS (SELECT string_agg(coalesce(regexp_replace(text, '\r\n?', chr(10), 'g'), ''), chr(10) ORDER BY doc_id) AS t FROM documents),
+a AS (SELECT string_split(regexp_replace(t, '\n( = [^=])', chr(1) || '\1', 'g'), chr(1)) AS s FROM c),
+p AS (SELECT generate_subscripts(s, 1) AS pos, unnest(s) AS x FROM a)
+SELECT {strip('x')} AS article FROM p WHERE length({strip('x')}) > 2000 ORDER BY pos LIMIT 5""",
     "resume_anti": "SELECT doc_id, title FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM kg WHERE doc_id IS NOT NULL)",
     "rule_triples": f"""
 WITH c AS (SELECT DISTINCT chunk_id, doc_id, chunk_index, chunk_text FROM chunks WHERE chunk_text IS NOT NULL AND doc_id IS NOT NULL),

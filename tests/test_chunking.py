@@ -149,3 +149,12 @@ def article(*sections):
 def test_sizes_of_whole_articles(spark, sections, sizes):
     rows = chunks(spark, article(*sections), strategy="file")
     assert [r[4] for r in rows] == sizes and [r[3] for r in rows] == list(range(len(sizes))) and {r[0] for r in rows} == {"T"}
+
+
+def test_articles_over_rows(spark):
+    texts = ["intro", " = A = \none", None, "two", " = = not a title = = \nthree\n = B = \n" + "b" * 30, "", " \n", " = C = \nshort", " = D = \n" + "d" * 40 + "\n \n"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = [r["article"] for r in chunking.sample_corpus(rows, Config(sample_min_chars=20, sample_articles=2)).orderBy("number").collect()]
+    assert got == ["= A = \none\n\ntwo\n = = not a title = = \nthree", "= B = \n" + "b" * 30]
+    assert chunking.sample_corpus(rows, Config(sample_min_chars=20)).count() == 3
+    assert chunking.sample_corpus(rows.limit(0)).count() == 0
