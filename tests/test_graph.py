@@ -51,6 +51,14 @@ def test_answered_triples(spark):
     assert got(found) == [(1, 0, "a", "r", "b"), (1, 1, "a", "r", "b")]
 
 
+def test_candidates_of_a_crowded_article(spark, monkeypatch):
+    rows = [(1 + (i % 5 == 0), f"n{i}", i, [float(i % 7), 1.0, float(i % 3)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, name string, ord int, vec array<double>")
+    whole = got(similarity.candidates(df, 0.9, 3))
+    monkeypatch.setattr(similarity, "PART_NAMES", 7)
+    assert got(similarity.candidates(df, 0.9, 3)) == whole and len(whole) > 300
+
+
 def test_candidates(spark):
     rows = [(1, "a", 0, [1.0, 0.0]), (1, "b", 1, [0.8, 0.6]), (1, "c", 2, [1.0, 0.0]), (1, "zero", 3, [0.0, 0.0]), (1, "null", 4, None), (2, "d", 0, [1.0, 0.0])]
     found = similarity.candidates(spark.createDataFrame(rows, "doc_id long, name string, ord int, vec array<double>"), 0.8, 1)
