@@ -162,13 +162,13 @@ def cells(found: DataFrame, radius: int = RADIUS) -> DataFrame:
     drawn = F.pmod(F.xxhash64(F.lit(3), "class", "form"), F.lit(1 << 30)) / float(1 << 30)
     sample = found.select(*group, "form").join(small(sizes, 1_000_000), "scope").filter(drawn < PIVOTS_PER_ROOT / F.sqrt("n"))
     pivots = materialise(sample.groupBy(*group).agg(F.sort_array(F.collect_set("form")).alias("pivots")).filter(F.size("pivots") > 1), "name-pivots")
-    rows = found.join(small(pivots, 1_000_000), group, "left")
-    rows = rows.withColumn("far", F.transform("pivots", lambda p: F.levenshtein(F.col("form"), p))).withColumn("best", F.array_min("far"))
+    pivots = small(pivots, 1_000_000)
+    alone = found.join(pivots.select(*group), group, "left_anti").select(*found.columns, F.lit("").alias("cell"), F.lit(True).alias("home"))
+    rows = found.join(pivots, group).withColumn("far", F.transform("pivots", lambda p: F.levenshtein(F.col("form"), p))).withColumn("best", F.array_min("far"))
     near = F.filter(F.arrays_zip("pivots", "far"), lambda x: x["far"] <= F.col("best") + 2 * radius)
     own = F.get("pivots", (F.array_position("far", F.col("best")) - 1).cast("int"))
-    one = F.array(F.struct(F.lit("").alias("cell"), F.lit(True).alias("home")))
-    cell = F.when(F.col("pivots").isNull(), one).otherwise(F.transform(near, lambda x: F.struct(x["pivots"].alias("cell"), (x["pivots"] == own).alias("home"))))
-    return rows.select(*found.columns, F.explode(cell).alias("c")).select(*found.columns, "c.cell", "c.home")
+    cell = F.transform(near, lambda x: F.struct(x["pivots"].alias("cell"), (x["pivots"] == own).alias("home")))
+    return alone.unionByName(rows.select(*found.columns, F.explode(cell).alias("c")).select(*found.columns, "c.cell", "c.home"))
 
 
 def _close(a: str, b: str) -> Column:
