@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import strip
@@ -33,11 +35,21 @@ def encoding(path: str):
 
 
 def token_counter(path: str = VOCABULARY):
-    """A function from a text column to its number of tokens; null and empty texts have none."""
+    """A function from a text column to its number of tokens; null and empty texts have none.
+
+    The vocabulary is sent with the job, so that only the driver needs the path.
+    """
+    spark = SparkSession.getActiveSession()
+    context = spark.sparkContext if spark else None
+    sent = context.__dict__.setdefault("_graphloom_vocabularies", set()) if context else set()
+    if context and path not in sent and os.path.exists(path):
+        context.addFile(path)
+        sent.add(path)
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
-        enc = encoding(path)
+        shipped = SparkFiles.get(os.path.basename(path))
+        enc = encoding(shipped if os.path.exists(shipped) else path)
         return pd.Series([len(enc.encode_ordinary(t)) if t else 0 for t in texts], dtype="int64")
 
     return count

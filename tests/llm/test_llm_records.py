@@ -109,3 +109,23 @@ def test_token_counts(spark):
     enc = mixing.encoding(mixing.VOCABULARY)
     assert got == [len(enc.encode_ordinary("Hello world, 12345!")), 0, 0, len(enc.encode_ordinary("<|endoftext|> é字"))]
     assert enc.decode(enc.encode_ordinary("<|endoftext|> é字")) == "<|endoftext|> é字"
+
+
+def test_the_vocabulary_is_sent_with_the_job(spark, tmp_path):
+    import shutil
+
+    own = str(tmp_path / "own.tiktoken")
+    shutil.copy(mixing.VOCABULARY, own)
+    count = mixing.token_counter(own)
+    rows = spark.createDataFrame([("Hello world",)], "t string")
+    assert rows.select(count("t")).head()[0] == 2
+
+    @F.udf("boolean")
+    def there(name):
+        import os
+
+        from pyspark import SparkFiles
+
+        return os.path.exists(SparkFiles.get(name))
+
+    assert rows.select(there(F.lit("own.tiktoken"))).head()[0]
