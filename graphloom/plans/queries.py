@@ -42,25 +42,35 @@ def facts(spark: SparkSession, d: str) -> DataFrame:
     return triples.valid(rows)
 
 
+def _definitions(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "relations").select("doc_id", text.strip(F.col("relation")).alias("relation"), text.strip(F.col("definition")).alias("definition"), "ord")
+    return rows.filter("doc_id is not null and length(relation) > 0 and length(definition) > 0")
+
+
 def defined(spark: SparkSession, d: str) -> DataFrame:
     """``(doc_id, relation, definition, ord)``; of a relation's definitions that are not blank the last in letter order."""
-    rows = table(spark, d, "relations").select("doc_id", text.strip(F.col("relation")).alias("relation"), text.strip(F.col("definition")).alias("definition"), "ord")
-    rows = rows.filter("doc_id is not null and length(relation) > 0 and length(definition) > 0")
-    return rows.groupBy("doc_id", "relation").agg(F.max("definition").alias("definition"), F.min("ord").alias("ord"))
+    return _definitions(spark, d).groupBy("doc_id", "relation").agg(F.max("definition").alias("definition"), F.min("ord").alias("ord"))
 
 
-def known_concepts(spark: SparkSession, d: str) -> DataFrame:
-    """``(doc_id, name, concepts)`` of nodes that have any concept that is not blank."""
+def _node_concepts(spark: SparkSession, d: str) -> DataFrame:
     kept = F.filter(F.transform("concepts", text.strip), lambda c: F.length(c) > 0)
     rows = table(spark, d, "nodes").select("doc_id", text.strip(F.col("name")).alias("name"), kept.alias("concepts"))
-    return rows.filter("doc_id is not null and length(name) > 0 and size(concepts) > 0").groupBy("doc_id", "name").agg(F.max("concepts").alias("concepts"))
+    return rows.filter("doc_id is not null and length(name) > 0 and size(concepts) > 0")
+
+
+def known_concepts(spark: SparkSession, d: str) -> DataFrame:
+    """``(doc_id, name, concepts)`` of nodes that have any concept that is not blank."""
+    return _node_concepts(spark, d).groupBy("doc_id", "name").agg(F.max("concepts").alias("concepts"))
+
+
+def _map_entries(spark: SparkSession, d: str, column: str) -> DataFrame:
+    rows = table(spark, d, "kg").select("doc_id", F.explode(column).alias("variant", "canonical"))
+    return rows.filter("doc_id is not null and variant is not null and length(canonical) > 0")
 
 
 def mapping(spark: SparkSession, d: str, column: str) -> DataFrame:
     """``(doc_id, variant, canonical)`` of a map column of ``kg``; of several values the first in letter order."""
-    rows = table(spark, d, "kg").select("doc_id", F.explode(column).alias("variant", "canonical"))
-    rows = rows.filter("doc_id is not null and variant is not null and length(canonical) > 0")
-    return rows.groupBy("doc_id", "variant").agg(F.min("canonical").alias("canonical"))
+    return _map_entries(spark, d, column).groupBy("doc_id", "variant").agg(F.min("canonical").alias("canonical"))
 
 
 # ---------------------------------------------------------------- text and chunks
@@ -404,11 +414,43 @@ def has_entity(spark, d):
     return graph.has_entity(_nodes(spark, d))
 
 
+_PART = {"a": "string", "b": "string", "c": "string", "pos": "long", "concepts": "array<string>", "words": "string"}
+
+
+def _part(kind, **values):
+    return F.struct(F.lit(kind).alias("kind"), *(values.get(c, F.lit(None)).cast(t).alias(c) for c, t in _PART.items()))
+
+
 def _documents(spark, d):
-    """The nested documents of all articles of ``kg``; the valid triples are read and stripped once."""
-    rows = materialise(triples.dedup(facts(spark, d)), "facts")
-    titles = table(spark, d, "kg").groupBy("doc_id").agg(F.max("article_title").alias("article_title"))
-    return graph.document(titles, rows, graph.nodes(rows, known_concepts(spark, d)), graph.relations(rows, defined(spark, d), _no_concepts(spark)), mapping(spark, d, "entity_map"), mapping(spark, d, "relation_map"))
+    """The nested documents of all articles of ``kg``.
+
+    All that they hold is one table of parts, shuffled once, by article: names and relations are taken from the
+    triples after it, and a part that is named but not in use has no ``pos``.
+    """
+    c = F.col
+    rows = triples.valid(table(spark, d, "triples")).select("doc_id", _part("triple", a=c("subject"), b=c("relation"), c=c("object"), pos=c("pos")).alias("p"))
+    rows = rows.unionByName(_node_concepts(spark, d).select("doc_id", _part("node", a=c("name"), concepts=c("concepts")).alias("p")))
+    rows = rows.unionByName(_definitions(spark, d).select("doc_id", _part("relation", a=c("relation"), words=c("definition")).alias("p")))
+    rows = rows.unionByName(table(spark, d, "kg").filter("doc_id is not null").select("doc_id", _part("title", words=c("article_title")).alias("p")))
+    for m in ("entity_map", "relation_map"):
+        rows = rows.unionByName(_map_entries(spark, d, m).select("doc_id", _part(m, a=c("variant"), words=c("canonical")).alias("p")))
+    rows = rows.select("doc_id", "p.*").repartition("doc_id").select("doc_id", F.struct("kind", *_PART).alias("p"))
+    used = [_part("node", a=c("p.a"), pos=F.lit(0)), _part("node", a=c("p.c"), pos=F.lit(0)), _part("relation", a=c("p.b"), pos=F.lit(0))]
+    rows = rows.select("doc_id", F.explode(F.when(c("p.kind") == "triple", F.array("p", *used)).otherwise(F.array("p"))).alias("p")).select("doc_id", "p.*")
+    rows = rows.groupBy("doc_id", "kind", "a", "b", "c").agg(F.min("pos").alias("pos"), F.max("concepts").alias("concepts"), F.max("words").alias("last"), F.min("words").alias("first"))
+    none = F.array().cast(graph.NO_CONCEPTS)
+    gathered = lambda kind, *fields, where=F.lit(True): F.array_sort(F.collect_list(F.when((c("kind") == kind) & where, F.struct(*fields))))
+    in_use = c("pos").isNotNull()
+    rows = rows.groupBy("doc_id").agg(
+        F.max(c("kind") == "title").alias("titled"),
+        F.max(F.when(c("kind") == "title", c("last"))).alias("article_title"),
+        F.map_from_entries(gathered("node", "a", F.struct(F.coalesce("concepts", none).alias("concepts")), where=in_use)).alias("nodes"),
+        F.map_from_entries(gathered("relation", "a", F.struct(F.coalesce("last", F.lit("")).alias("definition"), none.alias("concepts")), where=in_use)).alias("relations"),
+        gathered("triple", "pos", "a", "b", "c").alias("t"),
+        *(F.map_from_entries(gathered(m, "a", "first")).alias(m) for m in ("entity_map", "relation_map")),
+    )
+    facts_ = F.transform("t", lambda x: F.struct(x["a"].alias("subject"), x["b"].alias("relation"), x["c"].alias("object"))).alias("triples")
+    return rows.filter("titled and size(t) > 0").select("doc_id", "article_title", "nodes", "relations", facts_, "entity_map", "relation_map")
 
 
 @query
@@ -479,8 +521,7 @@ def graph_files(spark, d):
     """All graphs written as a JSON file each, of one title the last, with a broken file among them that stops no other."""
     path = _folder(spark, "graph-files")
     sinks.write_json_files(_documents(spark, d), path)
-    spark.createDataFrame([("broken.json", '{"article_title": ')], "file string, value string").write.mode("append").partitionBy("file").text(path)
-    sinks.unfold_files(spark, path)
+    sinks.write_named_files(spark.createDataFrame([("broken.json", '{"article_title": ')], "file string, value string"), path, "append")
     good, broken = readers.graph_files(spark, f"{path}/*.json")
     return _triples_of(good).drop("place").unionByName(broken.select(F.col("file").alias("article_title"), *(F.lit("").alias(c) for c in triples.FIELDS)))
 

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import fnmatch
+import functools
+import itertools
+import os
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from graphloom.tables import local_folder
+
 WIKI = "id string, title string, text string"
 ESSAY = "essay_title string, essay_content string"
 GRAPH = (
@@ -13,6 +24,7 @@ GRAPH = (
     "triples array<struct<subject:string,relation:string,object:string>>, entity_map map<string,string>, relation_map map<string,string>"
 )
 PROGRESS = "key string"
+FILES = 2_000
 
 
 def _missing(e: AnalysisException) -> bool:
@@ -55,12 +67,60 @@ def graphs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
 
 def graph_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Graphs of JSON files with their ``file``, and ``(file, value)`` of the files that hold none; a broken file stops no other."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    rows = _whole_files(spark, path)
     good = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
     rows = rows.withColumns({"good": good, "g": F.from_json("value", GRAPH)})
     return rows.filter("good and g.triples is not null").select("file", "g.*"), rows.filter("not good or g.triples is null").select("file", "value")
 
 
+def _whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, value)`` of each file that ``path`` matches.
+
+    Many small files in one folder of the file system are listed once, by a task, and read by name, ``FILES`` a task: Spark's
+    own reader lists each file by itself, counts it as 4 MB, and leaves out names that begin with ``_`` or a dot.
+    """
+    folder, _, pattern = path.rpartition("/")
+    if folder and not set(folder) & set("*?[]{}\\") and not set(pattern) & set("[]{}\\"):
+        local = local_folder(spark, folder)
+        kinds = Counter(e.is_file() for e in _matching(local, pattern)) if local and os.path.isdir(local) else {}
+        if set(kinds) == {True}:
+            tasks = max(spark.sparkContext.defaultParallelism, -(-kinds[True] // FILES))
+            names = spark.range(0, 1, 1, 1).mapInArrow(functools.partial(_list_batches, local, pattern), "file string").repartition(tasks, "file")
+            return names.mapInArrow(functools.partial(_read_batches, local), "file string, value binary").select("file", F.col("value").cast("string").alias("value"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+
+
+def _matching(folder: str, pattern: str) -> Iterator[os.DirEntry]:
+    """Entries of a folder, without the files that a writer has not finished and the checksums of Hadoop."""
+    match = re.compile(fnmatch.translate(pattern)).match
+    with os.scandir(folder) as entries:
+        for e in entries:
+            if match(e.name) and not (e.name.startswith(".") and e.name.endswith((".part", ".crc"))):
+                yield e
+
+
+def _list_batches(folder: str, pattern: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _ in batches:
+        names = (e.name for e in _matching(folder, pattern))
+        while some := list(itertools.islice(names, 10_000)):
+            yield pa.record_batch({"file": pa.array(some, pa.string())})
+
+
+def _read_batches(folder: str, batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    out = lambda rows: pa.record_batch({"file": pa.array([n for n, _ in rows], pa.string()), "value": pa.array([v for _, v in rows], pa.binary())})
+    for batch in batches:
+        rows, size = [], 0
+        for name in batch.column(0).to_pylist():
+            with open(os.path.join(folder, name), "rb") as f:
+                rows.append((name, f.read()))
+            size += len(rows[-1][1])
+            if size >= most:
+                yield out(rows)
+                rows, size = [], 0
+        if rows:
+            yield out(rows)
+
+
 def progress(spark: SparkSession, path: str) -> DataFrame:
     """``key`` of every record that is done; nothing is done where nothing was written."""
     try:

@@ -50,6 +50,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def local_folder(spark: SparkSession, path: str) -> str | None:
+    """``path`` as a path of the file system, or None where it is on another one."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.makeQualified(folder).toUri().getPath() if fs.getUri().getScheme() == "file" else None
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -149,6 +149,29 @@ def test_broken_graph_files_stop_no_other(spark, built, tmp_path):
     assert [r["file"] for r in broken.collect()] == ["bad.json"]
 
 
+def test_files_of_any_title_are_read_back_by_few_tasks(spark, tmp_path):
+    path, graph = str(tmp_path / "g"), '{"article_title": "%s", "triples": [{"subject": "s", "relation": "r", "object": "o"}]}'
+    names = ["", "_hidden", ".dot", "A: b", "a*?[x]{y}", "ü %41", *map(str, range(300))]
+    sinks.write_named_files(spark.createDataFrame([(f"{n}.json", "old") for n in (*names, "gone")], "file string, value string"), path)
+    sinks.write_named_files(spark.createDataFrame([(f"{n}.json", graph % n) for n in names], "file string, value string"), path)
+    sinks.write_named_files(spark.createDataFrame([("broken.json", "{"), ("note.txt", "{}")], "file string, value string"), path, "append")
+    assert sorted(p.name for p in (tmp_path / "g").iterdir()) == sorted([*(f"{n}.json" for n in names), "broken.json", "note.txt"])
+    assert [p.name for p in tmp_path.iterdir()] == ["g"]
+    (tmp_path / "g" / "bytes.json").write_bytes(b"\xff{")
+    (tmp_path / "g" / "empty.json").write_bytes(b"")
+    spark.sparkContext.setJobGroup("few", "")
+    good, broken = readers.graph_files(spark, f"{path}/*.json")
+    assert sorted((r["file"], r["article_title"]) for r in good.collect()) == sorted((f"{n}.json", n) for n in names)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted((r["file"], r["value"]) for r in broken.select("file", F.hex("value").alias("value")).collect()) == [("broken.json", "7B0A"), ("bytes.json", "FF7B"), ("empty.json", "")]
+    tracker = spark.sparkContext.statusTracker()
+    stages = {i for job in tracker.getJobIdsForGroup("few") for i in tracker.getJobInfo(job).stageIds}
+    assert 0 < sum(x.numTasks for i in stages if (x := tracker.getStageInfo(i))) <= 2 + 2 * spark.sparkContext.defaultParallelism
+    with pytest.raises(Exception, match="no name of a file"):
+        sinks.write_named_files(spark.createDataFrame([("../x", "")], "file string, value string"), path)
+    assert (tmp_path / "g" / "1.json").exists() and [p.name for p in tmp_path.iterdir()] == ["g"]
+
+
 def test_keys_must_be_unique(spark):
     for rows in ([("a", "A", TEXT)] * 2, [(None, "A", TEXT)]):
         with pytest.raises(ValueError, match="unique"):
