@@ -61,13 +61,27 @@ def _words(text: str) -> str:
     return "|".join(f"{first}(?:{'|'.join(dict.fromkeys(rest))})" for first, rest in by.items())
 
 
+def _one_of(chars: str) -> str:
+    """A pattern for any of the characters, which sees first that a common one is beyond them."""
+    high = sorted(c for c in chars if c > "\xff")
+    return f"[{''.join(c for c in chars if c <= '\xff')}[{high[0]}-{high[-1]}&&[{''.join(high)}]]]"
+
+
+END = _one_of(ENDS)
+
+
 def working_copy(text: Column) -> Column:
     """``text`` with plain blanks and line ends, quotation marks that are open or closed, and no placeholder; of equal length."""
+    taken, marks = MASK + MAYBE + CUT, "«“「『»”」』"
+    any_odd = text.rlike(_one_of("\r" + BLANKS + LINE_ENDS + taken + marks + "„"))  # a text without is its own copy
+    return F.when(any_odd, _replaced(text, taken, marks)).otherwise(text)
+
+
+def _replaced(text: Column, taken: str, marks: str) -> Column:
     text = F.regexp_replace(text, r"\r(?!\n)", "\n")
     text = F.regexp_replace(text, r"„([^„“”\n]*(?:\n[^„“”\n]+)*)[“”]", f"{OPEN}$1{CLOSE}")  # this style opens with what closes elsewhere
     turned = r"»(?<=(?:\A|[\s(\[„“])»)(?=[\p{L}\p{N}])([^«»\n]*(?:\n[^«»\n]+)*)«"  # and this one turns them round
     text = F.regexp_replace(text, turned, f"{OPEN}$1{CLOSE}")
-    taken, marks = MASK + MAYBE + CUT, "«“「『»”」』"
     to = " " * (1 + len(BLANKS)) + "\n" * len(LINE_ENDS) + "x" * len(taken) + OPEN * 4 + CLOSE * 4
     return F.translate(text, "\r" + BLANKS + LINE_ENDS + taken + marks, to)
 
@@ -139,7 +153,7 @@ SMALL = r"(?=[)\]]?[ \n]*\p{Ll}(?!\p{Lu}))"  # unless a capital follows the smal
 
 def _plain(b: Column, mixed: Column) -> Column:
     """Masks ends before what goes on with the sentence: a dash, a small letter."""
-    return F.regexp_replace(b, F.when(mixed, f"[{ENDS}](?:{SMALL}|{GOES_ON})").otherwise(f"[{ENDS}]{GOES_ON}"), F.lit(MASK))
+    return F.regexp_replace(b, F.when(mixed, f"{END}(?:{SMALL}|{GOES_ON})").otherwise(f"{END}{GOES_ON}"), F.lit(MASK))
 
 
 def _quoted(b: Column, mixed: Column) -> Column:
@@ -172,7 +186,7 @@ def _cut(rows: DataFrame, block: str) -> DataFrame:
     rows = rows.withColumns({"__mixed": mixed, "__linked": linked, "__thai": b.rlike(thai), block: marked})
     rows = rows.withColumns({block: _abbreviations(b, F.col("__mixed"), F.col("__linked")), "__quoted": F.contains(b, F.lit(CLOSE))})
     rows = rows.withColumn(block, F.when(F.col("__quoted"), _quoted(b, F.col("__mixed"))).otherwise(_plain(b, F.col("__mixed"))))
-    end = rf"([{ENDS}](?<![{ENDS}]{{2}})[{ENDS}]*+(?:[ \n]*{CLOSE}|[)\]’'])*+[ \n]*+)(?=[^,;:.)\]，；：、{MASK}])"
+    end = rf"({END}(?<!{END}{{2}}){END}*+(?:[ \n]*{CLOSE}|[)\]’'])*+[ \n]*+)(?=[^,;:.)\]，；：、{MASK}])"
     blank = rf"((?:{thai}(?=[ \n]++{free})|{free}(?=[ \n]++{thai}))[ \n]++)"
     rows = rows.withColumn(block, F.regexp_replace(b, end, f"$1{CUT}"))
     rows = rows.withColumn(block, F.when(F.col("__thai"), F.regexp_replace(b, blank, f"$1{CUT}")).otherwise(b))

@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import leakage as lk
 from graphloom.llm import sentences as se
@@ -143,3 +144,12 @@ def test_units():
     assert lk.units("柏岚 No.5") == ["柏", "岚", "no", "5"] and lk.units(None) == []
     assert lk.kept_shingles(20, 5, 0.5, 0.1) == 1 and lk.kept_shingles(20, 5, 0.5, 0.2) == 0
     assert lk.shingle_length(20, 0.5, 0.1) == 5 and lk.shingle_length(20, 0.5, 0.25) == 3 and lk.shingle_length(3, 0.5, 0.1) == 2
+
+
+def test_classes_and_copies_of_every_character(spark):
+    codes = [c for c in range(1, 0x10000) if not 0xD800 <= c <= 0xDFFF]
+    chars = spark.createDataFrame([(chr(c),) for c in codes], "c string")
+    assert {r["c"] for r in chars.filter(F.col("c").rlike(se.END)).collect()} == set(se.ENDS)
+    around = chars.select(F.concat(F.lit("(»a"), "c", F.lit("b« ")).alias("t")).unionByName(chars.select(F.concat(F.lit("a"), "c", F.lit("b")).alias("t")))
+    copies = around.select(se.working_copy(F.col("t")).alias("x"), se._replaced(F.col("t"), se.MASK + se.MAYBE + se.CUT, "«“「『»”」』").alias("y"))
+    assert copies.filter("x is null or x <> y").count() == 0
